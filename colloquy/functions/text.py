@@ -14,6 +14,7 @@ SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 WORD_START = rf"(?<!{WORD})"
 WORD_END = rf"(?!{WORD})"
+FOLDING_LETTERS = "[\u017f\u212a\u0130\u0131]"
 
 # Word lists and patterns behind the text flags.
 QUESTION_WORDS = (
@@ -24,6 +25,7 @@ CODE_ALTERNATIVES = (
     r"```", r"def\s+\w+\(", r"class\s+\w+", r"import\s+\w+", r"from\s+\w+\s+import",
     r"function\s+\w+\(", r"print\s*\(", r"console\.log", r"SELECT\s+.+\s+FROM",
 )
+CODE_FRAGMENTS = ("```", "def", "class", "import", "function", "print", "console.log", "select")
 COMMON_ENGLISH_WORDS = (
     "a", "an", "and", "are", "can", "do", "for", "how", "i", "in", "is", "it", "me", "my", "of",
     "on", "please", "the", "to", "what", "with", "you",
@@ -46,6 +48,15 @@ CONVERSATION_BINS = (
 )
 
 
+def any_word(words: tuple[str, ...], boundary: str) -> str:
+    """Regex for lower-cased text: one of the words between characters outside ``boundary``.
+
+    The look-ahead on the first letters comes first, so most positions fail on one comparison.
+    """
+    initials = "".join(sorted({word[0] for word in words}))
+    return f"(?=[{initials}])(?<!{boundary})(?:{'|'.join(words)})(?!{boundary})"
+
+
 def whole_phrases(phrases: tuple[str, ...]) -> str:
     """Case-insensitive regex that finds any of the phrases between word boundaries."""
     return f"(?iu){WORD_START}(?:{'|'.join(phrases)}){WORD_END}"
@@ -56,6 +67,21 @@ def code_pattern() -> str:
     return f"(?isu)(?:{body})"
 
 
+def may_hold(text: Column, fragments: tuple[str, ...]) -> Column:
+    """Cheap necessary condition for a case-insensitive match of a pattern with these fragments.
+
+    Substring tests on the lower-cased text cost far less than a case-insensitive regex. Letters
+    outside ASCII that fold to an ASCII letter are not caught by lower-casing, so a text with one of
+    them passes.
+    """
+    lowered = F.lower(text)
+    plain = F.octet_length(text) == F.char_length(text)
+    found = F.when(plain, F.lit(False)).otherwise(text.rlike(FOLDING_LETTERS))
+    for fragment in fragments:
+        found = lowered.contains(fragment) | found
+    return found
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
@@ -66,9 +92,8 @@ def normalize_whitespace(text: Column) -> Column:
 
 
 def word_count(normalized: Column) -> Column:
-    """Number of space-separated tokens of whitespace-normalized text, without splitting it."""
-    spaces = F.char_length(normalized) - F.char_length(F.replace(normalized, F.lit(" "), F.lit("")))
-    return F.when(normalized == "", F.lit(0)).otherwise(spaces + 1).cast("long")
+    """Number of space-separated tokens of whitespace-normalized text."""
+    return F.when(normalized == "", F.lit(0)).otherwise(F.size(F.split(normalized, " "))).cast("long")
 
 
 def char_count(text: Column) -> Column:
@@ -86,7 +111,7 @@ def ascii_ratio(text: Column) -> Column:
 def detect_language(text: Column) -> Column:
     """``en`` for mostly-ASCII text with a common English word or at most three distinct words."""
     lowered = F.lower(text)
-    common = rf"(?<![a-z'])(?:{'|'.join(COMMON_ENGLISH_WORDS)})(?![a-z'])"
+    common = any_word(COMMON_ENGLISH_WORDS, "[a-z']")
     few_words = F.size(F.array_distinct(F.regexp_extract_all(lowered, F.lit("[a-z']+"), F.lit(0)))) <= 3
     english = (ascii_ratio(text) >= 0.85) & (lowered.rlike(common) | few_words)
     return F.when((text != "") & english, F.lit("en")).otherwise(F.lit("unknown"))
@@ -108,11 +133,17 @@ def normalize_edges(text: Column) -> Column:
 
 
 def has_question(text: Column) -> Column:
-    return text.contains("?") | text.rlike(whole_phrases(QUESTION_WORDS))
+    """A question mark or one of the question words as a whole word."""
+    folded = F.octet_length(text) != F.char_length(text)
+    return (
+        text.contains("?")
+        | F.lower(text).rlike(any_word(QUESTION_WORDS, WORD))
+        | F.when(folded, text.rlike(FOLDING_LETTERS) & text.rlike(whole_phrases(QUESTION_WORDS))).otherwise(False)
+    )
 
 
 def contains_code(text: Column) -> Column:
-    return text.rlike(code_pattern())
+    return may_hold(text, CODE_FRAGMENTS) & text.rlike(code_pattern())
 
 
 def complexity_proxy(length: Column, words: Column, question: Column, code: Column) -> Column:
@@ -135,15 +166,18 @@ def words(normalized: Column) -> Column:
     return F.when(normalized == "", F.array().cast("array<string>")).otherwise(F.split(normalized, " "))
 
 
-def lexical_diversity(normalized: Column) -> Column:
-    """Distinct lower-cased tokens over all tokens (0 for empty text), unrounded."""
-    lowered = F.split(F.lower(normalized), " ")
-    ratio = F.size(F.array_distinct(lowered)) / F.greatest(word_count(normalized), F.lit(1))
-    return F.when(normalized == "", F.lit(0.0)).otherwise(ratio)
+def lexical_diversity(lowered_tokens: Column) -> Column:
+    """Distinct over all lower-cased tokens (0 for none), unrounded."""
+    return F.size(F.array_distinct(lowered_tokens)) / F.greatest(F.size(lowered_tokens), F.lit(1))
 
 
 def phrase_count(text: Column, phrases: tuple[str, ...]) -> Column:
-    return F.regexp_count(text, F.lit(whole_phrases(phrases)))
+    count = F.regexp_count(text, F.lit(whole_phrases(phrases)))
+    return F.when(may_hold(text, phrases), count).otherwise(F.lit(0))
+
+
+def has_phrase(text: Column, phrases: tuple[str, ...]) -> Column:
+    return may_hold(text, phrases) & text.rlike(whole_phrases(phrases))
 
 
 def clean_text(text: Column) -> Column:

@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text
 from colloquy.functions.stats import bounded, round_half_even
 from colloquy.operators.models import add_behavior_labels, add_emotion_labels
 from colloquy.operators.taxonomy import (
-    Taxonomy, default_taxonomy, lexical_form, matched_keywords, section_scores,
+    Taxonomy, add_matched_keywords, default_taxonomy, lexical_form, section_scores,
 )
 from colloquy.schema import FLAG_COLUMNS, require_columns
 from colloquy.settings import ClassifySettings
@@ -25,115 +25,97 @@ RULE_COLUMNS = (
     "vulnerability_score", "dependency_score", "reassurance_seeking_score",
     "anthropomorphism_score", "self_disclosure_score", *FLAG_COLUMNS,
 )
-WORKING = ("_lexical", "_matched", "_modes", "_tasks", "_emotions", "_signals", "_pick_mode",
-           "_pick_task", "_pick_emotion")
 
 
-def _score_of(section: str, labels: Taxonomy, key: str, column: str) -> Column:
-    """Score of one label; labels the taxonomy lacks score 0."""
-    names = [label.name for label in labels[section]]
-    if key not in names:
-        return F.lit(0.0)
-    return F.get(F.col(column), names.index(key))["score"]
+def _score_of(taxonomy: Taxonomy, section: str, column: str, label: str) -> str:
+    """SQL for the score of one label; labels the taxonomy lacks score 0."""
+    names = [entry.name for entry in taxonomy[section]]
+    return f"get({column}, {names.index(label)}).score" if label in names else "0.0D"
 
 
-def _label(pick: str, fallback: str) -> Column:
-    return F.when(F.col(f"{pick}.score") > 0, F.col(f"{pick}.label")).otherwise(F.lit(fallback))
+def _label(pick: str, fallback: str) -> str:
+    return f"if({pick}.score > 0, {pick}.label, '{fallback}')"
 
 
 def add_rule_columns(
     df: DataFrame, taxonomy: Taxonomy | None = None, text_column: str = "prompt_text",
-    threshold: float = 0.35,
+    threshold: float = 0.35, normalized: bool = False,
 ) -> DataFrame:
     """Add the label, score and flag columns named in ``RULE_COLUMNS``.
 
     The winning label has the highest score; among equals the lexicographically largest, which is
-    the order of a (score, label) struct.
+    the order of a (score, label) struct. ``normalized`` says that the text column already has
+    single spaces, as in the canonical table.
     """
     require_columns(df.columns, [text_column], "classification")
     spec = taxonomy or default_taxonomy()
-    scored = (
-        df.withColumn("_lexical", lexical_form(F.col(text_column)))
-        .withColumn("_matched", matched_keywords(F.col("_lexical"), spec))
-        .withColumns(
-            {
-                "_modes": section_scores(F.col("_matched"), spec["interaction_modes"]),
-                "_tasks": section_scores(F.col("_matched"), spec["cognitive_outsourcing"]),
-                "_emotions": section_scores(F.col("_matched"), spec["emotional_signals"]),
-                "_signals": section_scores(F.col("_matched"), spec["composite_signals"]),
-            }
-        )
-        .withColumns(
-            {
-                "_pick_mode": F.array_max("_modes"),
-                "_pick_task": F.array_max("_tasks"),
-                "_pick_emotion": F.array_max("_emotions"),
-            }
-        )
+    sections = {
+        "_modes": "interaction_modes", "_tasks": "cognitive_outsourcing",
+        "_emotions": "emotional_signals", "_signals": "composite_signals",
+    }
+    lexical = df.withColumn("_lexical", lexical_form(F.col(text_column), normalized))
+    scored = add_matched_keywords(lexical, "_lexical", spec).withColumns(
+        {column: section_scores(F.col("_matched"), spec[section]) for column, section in sections.items()}
     )
 
-    def mode(name: str) -> Column:
-        return _score_of("interaction_modes", spec, name, "_modes")
-
-    def emotion(name: str) -> Column:
-        return _score_of("emotional_signals", spec, name, "_emotions")
-
-    def signal(name: str) -> Column:
-        return _score_of("composite_signals", spec, name, "_signals")
+    def score(column: str, label: str) -> str:
+        return _score_of(spec, sections[column], column, label)
 
-    first = scored.withColumns(
-        {
-            "interaction_mode": _label("_pick_mode", "assistant_mode"),
-            "interaction_mode_score": F.col("_pick_mode.score"),
-            "cognitive_outsourcing_type": _label("_pick_task", "none"),
-            "cognitive_outsourcing_score": F.col("_pick_task.score"),
-            "emotion_primary": _label("_pick_emotion", "none"),
-            "emotion_score": F.col("_pick_emotion.score"),
-            "companionship_score": F.greatest(
-                signal("companionship"), mode("companion_mode"), emotion("loneliness"), emotion("affection")
-            ),
-            "vulnerability_score": F.greatest(
-                signal("vulnerability"), mode("therapist_surrogate_mode"), emotion("vulnerability"),
-                bounded((emotion("fear") + emotion("sadness")) / 2),
-            ),
-            "reassurance_seeking_score": signal("reassurance_seeking"),
-            "anthropomorphism_score": signal("anthropomorphism"),
-        }
+    untouched = [f"`{name}`" for name in df.columns if name not in RULE_COLUMNS]
+    picked = scored.selectExpr(
+        *untouched, *sections,
+        "array_max(_modes) AS _mode", "array_max(_tasks) AS _task", "array_max(_emotions) AS _emotion",
+    )
+    mean_fear_sadness = f"({score('_emotions', 'fear')} + {score('_emotions', 'sadness')}) / 2"
+    first = picked.selectExpr(
+        *untouched,
+        f"{_label('_mode', 'assistant_mode')} AS interaction_mode",
+        "_mode.score AS interaction_mode_score",
+        f"{_label('_task', 'none')} AS cognitive_outsourcing_type",
+        "_task.score AS cognitive_outsourcing_score",
+        f"{_label('_emotion', 'none')} AS emotion_primary",
+        "_emotion.score AS emotion_score",
+        f"""greatest({score('_signals', 'companionship')}, {score('_modes', 'companion_mode')},
+            {score('_emotions', 'loneliness')}, {score('_emotions', 'affection')}) AS companionship_score""",
+        f"""greatest({score('_signals', 'vulnerability')}, {score('_modes', 'therapist_surrogate_mode')},
+            {score('_emotions', 'vulnerability')}, least(1.0D, {mean_fear_sadness})) AS vulnerability_score""",
+        f"greatest({score('_signals', 'dependency')}, {score('_emotions', 'dependency')}) AS _dependency",
+        f"{score('_signals', 'reassurance_seeking')} AS reassurance_seeking_score",
+        f"{score('_signals', 'anthropomorphism')} AS anthropomorphism_score",
+        f"{score('_signals', 'self_disclosure')} AS _disclosure",
+    )
+    second = first.selectExpr(
+        "*",
+        "greatest(_dependency, least(1.0D, (companionship_score + vulnerability_score) / 2)) AS dependency_score",
+        "greatest(_disclosure, vulnerability_score) AS self_disclosure_score",
     )
-    second = first.withColumns(
-        {
-            "dependency_score": F.greatest(
-                signal("dependency"), emotion("dependency"),
-                bounded((F.col("companionship_score") + F.col("vulnerability_score")) / 2),
-            ),
-            "self_disclosure_score": F.greatest(signal("self_disclosure"), F.col("vulnerability_score")),
-        }
-    ).drop(*WORKING)
     sources = (
         "companionship_score", "vulnerability_score", "dependency_score", "cognitive_outsourcing_score",
         "reassurance_seeking_score", "anthropomorphism_score", "self_disclosure_score",
     )
-    flagged = second.withColumns(
-        {flag: F.col(score) >= threshold for flag, score in zip(FLAG_COLUMNS, sources, strict=True)}
-    )
-    untouched = [name for name in df.columns if name not in RULE_COLUMNS]
-    return flagged.select(*untouched, *RULE_COLUMNS)
+    flags = [
+        f"{source} >= {float(threshold)!r}D AS {flag}" for flag, source in zip(FLAG_COLUMNS, sources, strict=True)
+    ]
+    ordered = [name for name in RULE_COLUMNS if name not in FLAG_COLUMNS]
+    return second.selectExpr(*untouched, *ordered, *flags)
 
 
-def add_complexity_metrics(df: DataFrame, text_column: str = "prompt_text") -> DataFrame:
+def add_complexity_metrics(
+    df: DataFrame, text_column: str = "prompt_text", normalized: bool = False
+) -> DataFrame:
     """Sentence, diversity, instruction, role and recursion metrics with two combined scores."""
-    raw = text.text_or_empty(F.col(text_column))
-    prepared = df.withColumn("_raw", raw).withColumn("_plain", text.normalize_whitespace(F.col("_raw")))
-    plain, source = F.col("_plain"), F.col("_raw")
+    prepared = df.withColumn("_raw", text.text_or_empty(F.col(text_column)))
+    prepared = prepared.withColumn("_tokens", text.words(lexical_form(F.col("_raw"), normalized)))
+    tokens, source = F.col("_tokens"), F.col("_raw")
     prepared = prepared.withColumns(
         {
             "sentence_count": text.sentence_count(source),
-            "_words": text.word_count(plain),
-            "lexical_diversity": round_half_even(text.lexical_diversity(plain), 3),
+            "_words": F.size(tokens),
+            "lexical_diversity": round_half_even(text.lexical_diversity(tokens), 3),
             "instruction_specificity_score": F.least(
                 text.phrase_count(source, text.INSTRUCTION_PHRASES) / 4, F.lit(1.0)
             ),
-            "role_prompting_score": source.rlike(text.whole_phrases(text.ROLE_PHRASES)).cast("double"),
+            "role_prompting_score": text.has_phrase(source, text.ROLE_PHRASES).cast("double"),
             "recursive_interaction_score": F.least(
                 text.phrase_count(source, text.RECURSION_PHRASES) / 3, F.lit(1.0)
             ),
@@ -160,7 +142,7 @@ def add_complexity_metrics(df: DataFrame, text_column: str = "prompt_text") -> D
                 + F.col("prompt_sophistication_score") * 0.3
             ),
         )
-        .drop("_raw", "_plain", "_words")
+        .drop("_raw", "_tokens", "_words")
     )
 
 
@@ -170,11 +152,12 @@ def classify_prompts(
 ) -> DataFrame:
     """All classification columns: rules, complexity, optional model labels, run stamp."""
     spec = taxonomy or default_taxonomy()
-    ruled = add_rule_columns(df, spec, settings.text_column, settings.score_threshold)
+    tidy = settings.normalized_text
+    ruled = add_rule_columns(df, spec, settings.text_column, settings.score_threshold, tidy)
     ruled = ruled.withColumns(
         {"interaction_type": F.col("interaction_mode"), "disclosure_score": F.col("vulnerability_score")}
     )
-    measured = add_complexity_metrics(ruled, settings.text_column)
+    measured = add_complexity_metrics(ruled, settings.text_column, tidy)
     modelled = add_emotion_labels(measured, settings, emotion_predictor)
     modelled = add_behavior_labels(modelled, spec, settings, behavior_predictor)
     stamp = classified_at or datetime.now(UTC).isoformat()

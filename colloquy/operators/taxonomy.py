@@ -96,34 +96,78 @@ def taxonomy_table(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
     )
 
 
-def lexical_form(text: Column) -> Column:
+def lexical_form(text: Column, normalized: bool = False) -> Column:
     """Lower-cased text with whitespace runs collapsed: what keywords are matched against."""
+    if normalized:
+        return F.lower(text_or_empty(text))
     return F.trim(F.regexp_replace(F.lower(text_or_empty(text)), f"{SPACE}+", " "))
 
 
-def _literals(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+def _constant(value: object, schema: str) -> Column:
+    """A nested constant as one small expression that Spark folds to a literal when planning."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
 
 
-def matched_keywords(normalized: Column, taxonomy: Taxonomy) -> Column:
-    """Distinct taxonomy keywords the text holds.
+@dataclass(frozen=True)
+class KeywordPlan:
+    """Keywords of a taxonomy by how they are found.
+
+    ``plain`` keywords are single tokens. ``anchored`` phrases of three or more words can only occur
+    where one of their inner words is a token of the text, ``free`` phrases have no such word.
+    ``patterns`` (hyphenated keywords) need a regular expression.
+    """
+
+    plain: tuple[str, ...]
+    anchored: tuple[tuple[str, str], ...]
+    free: tuple[str, ...]
+    patterns: tuple[str, ...]
+
+
+def plan_keywords(taxonomy: Taxonomy) -> KeywordPlan:
+    every = {normalize_keyword(k) for labels in taxonomy.values() for label in labels for k in label.keywords}
+    plain, anchored, free, patterns = [], [], [], []
+    for keyword in sorted(every - {""}):
+        inner = [w for w in keyword.split(" ")[1:-1] if re.fullmatch(r"\w+", w)]
+        if inner:
+            anchored.append((max(inner, key=len), keyword))
+        elif " " in keyword:
+            free.append(keyword)
+        elif re.fullmatch(r"\w+", keyword):
+            plain.append(keyword)
+        else:
+            patterns.append(keyword)
+    return KeywordPlan(tuple(plain), tuple(anchored), tuple(free), tuple(patterns))
+
 
-    A keyword with a space is a substring test. A keyword of word characters only is a token of the
-    text, so one set lookup per token finds all of them at once. Other keywords (hyphenated ones)
-    need a regular expression between word boundaries.
+def _quoted(values: set[str] | tuple[str, ...]) -> str:
+    return ", ".join("r'" + v + "'" if "'" not in v else '"' + v + '"' for v in sorted(values))
+
+
+def add_matched_keywords(df: DataFrame, normalized: str, taxonomy: Taxonomy, output: str = "_matched") -> DataFrame:
+    """Add the distinct taxonomy keywords that the text in column ``normalized`` holds.
+
+    A keyword with a space is a substring test; a keyword of word characters must be a token. The
+    text is cut into tokens once, and one set lookup per token finds plain keywords and the inner
+    words that make a phrase worth testing.
     """
-    every = sorted({normalize_keyword(k) for labels in taxonomy.values() for l in labels for k in l.keywords} - {""})
-    phrases = [k for k in every if " " in k]
-    plain = [k for k in every if " " not in k and re.fullmatch(r"\w+", k)]
-    other = [k for k in every if " " not in k and k not in set(plain)]
-    tokens = F.regexp_extract_all(normalized, F.lit(f"({WORD}+)"), F.lit(1))
-    found = [F.filter(_literals(phrases), lambda p: normalized.contains(p))]
-    if plain:
-        found.append(F.array_distinct(F.filter(tokens, lambda t: t.isin(*plain))))
-    for keyword in other:
-        hit = normalized.rlike(_boundary(keyword))
+    plan = plan_keywords(taxonomy)
+    lookup = {*plan.plain, *(word for word, _ in plan.anchored)}
+    tokens = F.regexp_extract_all(F.col(normalized), F.lit(f"({WORD}+)"), F.lit(1))
+    tagged = df.withColumn("_tokens", tokens)
+    present = f"array_distinct(filter(_tokens, t -> t in ({_quoted(lookup)})))" if lookup else "array()"
+    tagged = tagged.withColumn("_present", F.expr(present).cast("array<string>"))
+    found = [F.array_intersect("_present", _constant(list(plan.plain), "array<string>"))]
+    text = F.col(normalized)
+    if plan.anchored:
+        spec = _constant([{"w": w, "k": k} for w, k in plan.anchored], "array<struct<w:string,k:string>>")
+        held = F.filter(spec, lambda e: F.array_contains(F.col("_present"), e["w"]) & text.contains(e["k"]))
+        found.append(F.transform(held, lambda e: e["k"]))
+    if plan.free:
+        found.append(F.filter(_constant(list(plan.free), "array<string>"), lambda k: text.contains(k)))
+    for keyword in plan.patterns:
+        hit = text.contains(keyword) & text.rlike(_boundary(keyword))
         found.append(F.when(hit, F.array(F.lit(keyword))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*found)
+    return tagged.withColumn(output, F.concat(*found)).drop("_tokens", "_present")
 
 
 def _boundary(keyword: str) -> str:
@@ -137,25 +181,23 @@ def _boundary(keyword: str) -> str:
 def section_scores(matched: Column, labels: tuple[Label, ...]) -> Column:
     """``array<struct<score, label>>`` in label order.
 
-    The section is one array literal, so the plan stays small however many keywords it holds.
+    The section is one constant, so the plan stays small however many keywords it holds.
     """
-    spec = F.array(
-        *[
-            F.struct(
-                F.lit(label.name).alias("label"),
-                F.lit(label.denominator).alias("denominator"),
-                _literals(sorted({normalize_keyword(k) for k in label.keywords} - {""})).alias("keywords"),
-            )
-            for label in labels
-        ]
-    )
+    entries = [
+        {"label": label.name, "denominator": label.denominator,
+         "keywords": sorted({normalize_keyword(k) for k in label.keywords} - {""})}
+        for label in labels
+    ]
+    spec = _constant(entries, "array<struct<label:string,denominator:double,keywords:array<string>>>")
 
     def score(entry: Column) -> Column:
-        hits = F.size(F.array_intersect(matched, entry["keywords"]))
+        hits = F.size(F.filter(matched, lambda k: F.array_contains(entry["keywords"], k)))
         return F.struct(
             F.least(F.lit(1.0), hits / entry["denominator"]).alias("score"),
             entry["label"].alias("label"),
         )
 
-    nothing = F.transform(spec, lambda e: F.struct(F.lit(0.0).alias("score"), e["label"].alias("label")))
+    nothing = _constant(
+        [{"score": 0.0, "label": label.name} for label in labels], "array<struct<score:double,label:string>>"
+    )
     return F.when(F.size(matched) == 0, nothing).otherwise(F.transform(spec, score))

@@ -56,9 +56,12 @@ class ModelSettings:
 
 @dataclass(frozen=True)
 class ClassifySettings:
+    """``normalized_text`` says that the text has single spaces already (the canonical table)."""
+
     text_column: str = "prompt_text"
     id_column: str = "record_id"
     score_threshold: float = 0.35
+    normalized_text: bool = False
     method: str = "rule_based_behavioral_taxonomy"
     emotion_model: ModelSettings = field(default_factory=ModelSettings)
     behavior_model: ModelSettings = field(default_factory=lambda: ModelSettings(batch_size=8))

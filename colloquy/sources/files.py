@@ -41,6 +41,15 @@ def read_dataset(spark: SparkSession, path: str, schema: T.StructType | str | No
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row text work one partition per core when a small scan has fewer.
+
+    Tables of cluster size have far more scan partitions than that and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write in the format the suffix names. The output is a folder of part files."""
     suffix = _check_suffix(path, "cannot write")

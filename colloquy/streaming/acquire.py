@@ -46,7 +46,8 @@ def stream_classified(
     prompts: DataFrame, source_dataset: str, settings: CanonicalSettings = CanonicalSettings()
 ) -> DataFrame:
     """Canonical columns, rule labels and complexity metrics for streamed prompts."""
-    return add_complexity_metrics(add_rule_columns(normalize_records(prompts, source_dataset, settings)))
+    canonical = normalize_records(prompts, source_dataset, settings)
+    return add_complexity_metrics(add_rule_columns(canonical, normalized=True), normalized=True)
 
 
 def write_stream(

@@ -8,7 +8,7 @@ from colloquy.operators import diagnostics, evaluation
 from colloquy.operators.classify import RULE_COLUMNS, add_complexity_metrics
 from colloquy.operators.models import add_behavior_labels, add_emotion_labels
 from colloquy.operators.taxonomy import (
-    default_taxonomy, lexical_form, matched_keywords, taxonomy_table,
+    add_matched_keywords, default_taxonomy, lexical_form, taxonomy_table,
 )
 from colloquy.schema import FLAG_COLUMNS
 from colloquy.settings import ClassifySettings, ModelSettings
@@ -48,7 +48,7 @@ def _(spark, folder):
     """How many prompts hold each taxonomy keyword: matches are counted first, then named."""
     spec = default_taxonomy()
     prompts = inputs.seeded_prompts(spark, folder).select(lexical_form(F.col("prompt")).alias("_t"))
-    found = prompts.select(F.explode(matched_keywords(F.col("_t"), spec)).alias("keyword"))
+    found = add_matched_keywords(prompts, "_t", spec).select(F.explode("_matched").alias("keyword"))
     counts = found.groupBy("keyword").agg(F.count(F.lit(1)).alias("num_prompts"))
     return taxonomy_table(spark, spec).join(counts, "keyword").select("section", "label", "keyword", "num_prompts")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colloquy.operators.canonical import normalize_records
 from colloquy.operators.classify import add_complexity_metrics, add_rule_columns
 from colloquy.operators.taxonomy import default_taxonomy, normalize_keyword
+from colloquy.sources.files import spread
 
 STAMP = "2024-06-01T00:00:00+00:00"
 
@@ -48,6 +49,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose texts are worked on row by row: small scans are spread over the cores."""
+    return spread(table(spark, folder, name))
+
+
 def _phrase(key: Column) -> Column:
     return F.get(F.array(*[F.lit(p) for p in PHRASES]), F.pmod(key, F.lit(len(PHRASES))).cast("int"))
 
@@ -70,7 +76,7 @@ def seeded_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 def seeded_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as prompts: one conversation per source, a phrase and a timestamp by id."""
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         F.col("source").alias("conversation_id"),
         F.col("doc_id").alias("turn_index"),
         F.concat("text", F.lit(" "), _phrase(F.col("doc_id"))).alias("prompt"),
@@ -81,7 +87,7 @@ def seeded_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as raw prompts with their real text (exact copies included)."""
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         F.col("source").alias("conversation_id"),
         F.col("doc_id").alias("turn_index"),
         F.col("text").alias("prompt"),
@@ -91,7 +97,8 @@ def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def classified(raw: DataFrame) -> DataFrame:
-    return add_complexity_metrics(add_rule_columns(normalize_records(raw, "suite", cleaned_at=STAMP)))
+    canonical = normalize_records(raw, "suite", cleaned_at=STAMP)
+    return add_complexity_metrics(add_rule_columns(canonical, normalized=True), normalized=True)
 
 
 def classified_prompts(spark: SparkSession, folder: str) -> DataFrame:
