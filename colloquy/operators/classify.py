@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text
+from colloquy.functions.planning import computed_once
 from colloquy.functions.stats import bounded, round_half_even
 from colloquy.operators.models import add_behavior_labels, add_emotion_labels
 from colloquy.operators.taxonomy import (
@@ -97,7 +98,9 @@ def add_rule_columns(
         f"{source} >= {float(threshold)!r}D AS {flag}" for flag, source in zip(FLAG_COLUMNS, sources, strict=True)
     ]
     ordered = [name for name in RULE_COLUMNS if name not in FLAG_COLUMNS]
-    return second.selectExpr(*untouched, *ordered, *flags)
+    packed = computed_once(F.expr(f"struct({', '.join([*ordered, *flags])})")).alias("_rules")
+    kept = [F.col(name) for name in untouched]
+    return second.select(*kept, packed).select(*kept, *[F.col(f"_rules.{name}") for name in RULE_COLUMNS])
 
 
 def add_complexity_metrics(
@@ -107,23 +110,27 @@ def add_complexity_metrics(
     prepared = df.withColumn("_raw", text.text_or_empty(F.col(text_column)))
     prepared = prepared.withColumn("_tokens", text.words(lexical_form(F.col("_raw"), normalized)))
     tokens, source = F.col("_tokens"), F.col("_raw")
-    prepared = prepared.withColumns(
-        {
-            "sentence_count": text.sentence_count(source),
-            "_words": F.size(tokens),
-            "lexical_diversity": round_half_even(text.lexical_diversity(tokens), 3),
-            "instruction_specificity_score": F.least(
-                text.phrase_count(source, text.INSTRUCTION_PHRASES) / 4, F.lit(1.0)
-            ),
-            "role_prompting_score": text.has_phrase(source, text.ROLE_PHRASES).cast("double"),
-            "recursive_interaction_score": F.least(
-                text.phrase_count(source, text.RECURSION_PHRASES) / 3, F.lit(1.0)
-            ),
-        }
+    measures = {
+        "_words": F.size(tokens),
+        "_chars": F.char_length(source),
+        "sentence_count": text.sentence_count(source),
+        "lexical_diversity": round_half_even(text.lexical_diversity(tokens), 3),
+        "instruction_specificity_score": F.least(
+            text.phrase_count(source, text.INSTRUCTION_PHRASES) / 4, F.lit(1.0)
+        ),
+        "role_prompting_score": text.has_phrase(source, text.ROLE_PHRASES).cast("double"),
+        "recursive_interaction_score": F.least(
+            text.phrase_count(source, text.RECURSION_PHRASES) / 3, F.lit(1.0)
+        ),
+    }
+    packed = computed_once(F.struct(*[measure.alias(name) for name, measure in measures.items()]))
+    untouched = [name for name in df.columns if name not in measures]
+    prepared = prepared.select(*untouched, packed.alias("_measures")).select(
+        *untouched, *[F.col(f"_measures.{name}") for name in measures]
     )
     disclosure = F.col("self_disclosure_score") if "self_disclosure_score" in df.columns else F.lit(0.0)
     sophistication = bounded(
-        F.least(F.char_length("_raw") / 1500, F.lit(1.0)) * 0.25
+        F.least(F.col("_chars") / 1500, F.lit(1.0)) * 0.25
         + F.least(F.col("_words") / 250, F.lit(1.0)) * 0.25
         + F.col("lexical_diversity") * 0.15
         + F.col("instruction_specificity_score") * 0.15
@@ -142,7 +149,7 @@ def add_complexity_metrics(
                 + F.col("prompt_sophistication_score") * 0.3
             ),
         )
-        .drop("_raw", "_tokens", "_words")
+        .drop("_words", "_chars")
     )
 
 

@@ -66,9 +66,10 @@ def _count_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     )
     partition, first, last = None, None, None
     for batch in batches:
-        if batch.num_rows == 0:
+        known = pc.and_(batch.column(1).is_valid(), batch.column(2).is_valid())
+        part, keys, states = (batch.column(i).filter(known) for i in range(3))
+        if len(keys) == 0:
             continue
-        part, keys, states = (batch.column(i) for i in range(3))
         if first is None:
             partition = part[0].as_py()
             first = (keys[0].as_py(), states[0].as_py())
@@ -100,6 +101,9 @@ def count_adjacent_states(
 ) -> DataFrame:
     """Counts of (state, next state of the same key) in the given order: ``from_state, to_state, n``.
 
+    Rows without a state are left out in the tasks: as a filter of the plan the test would be pushed
+    below the projections that compute the state and evaluate them twice.
+
     Rows are range-partitioned by key *and* order, so a key with very many rows spans many tasks.
     Each task counts its neighbours over Arrow batches. Its last row and the first row of the next
     partition share a slot and are matched afterwards: two rows per partition. Range partitions

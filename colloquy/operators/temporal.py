@@ -48,7 +48,7 @@ def transition_matrix(
 ) -> DataFrame:
     """Counts and row-wise probabilities of state changes between neighbouring prompts."""
     require_columns(df.columns, [state, conversation, turn], "transitions")
-    present = df.filter(F.col(state).isNotNull() & F.col(conversation).isNotNull())
+    present = df.filter(F.col(conversation).isNotNull())
     order: list[Column] = [F.col(turn)]
     if tie_break and tie_break in df.columns:
         order.append(F.col(tie_break))

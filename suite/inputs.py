@@ -6,6 +6,8 @@ rule over their keys, the same way on both sides.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _phrase(key: Column) -> Column:
-    return F.get(F.array(*[F.lit(p) for p in PHRASES]), F.pmod(key, F.lit(len(PHRASES))).cast("int"))
+    phrases = F.from_json(F.lit(json.dumps(PHRASES)), "array<string>")
+    return F.get(phrases, F.pmod(key, F.lit(len(PHRASES))).cast("int"))
 
 
 def _moment(key: Column, hours: Column) -> Column:
