@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def computed_once(column: Column) -> Column:
-    """Keep the optimizer from copying an expensive expression into filters it pushes down.
+def select_once(df: DataFrame, untouched: list[str], computed: dict[str, Column]) -> DataFrame:
+    """Select columns whose expressions the optimizer must not copy.
 
     A filter on a computed column is normally rewritten in terms of its inputs and moved below the
-    projection, which evaluates the expression again, once per mention. Expressions with a random
-    part are neither moved nor copied. The condition always holds, so the value is unchanged.
+    projection, which evaluates the expression again, once per mention; over chained projections the
+    copies multiply. A projection with a random column is left where it is, so the computed columns
+    travel in a struct next to one.
     """
-    return F.when(F.rand(0) < 2.0, column)
+    packed = F.struct(*[column.alias(name) for name, column in computed.items()], F.rand(0).alias("_random"))
+    kept = [F.col(name) for name in untouched]
+    return df.select(*kept, packed.alias("_computed")).select(
+        *kept, *[F.col(f"_computed.{name}").alias(name) for name in computed]
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text
-from colloquy.functions.planning import computed_once
+from colloquy.functions.planning import select_once
 from colloquy.functions.stats import bounded, round_half_even
 from colloquy.operators.models import add_behavior_labels, add_emotion_labels
 from colloquy.operators.taxonomy import (
@@ -98,9 +98,8 @@ def add_rule_columns(
         f"{source} >= {float(threshold)!r}D AS {flag}" for flag, source in zip(FLAG_COLUMNS, sources, strict=True)
     ]
     ordered = [name for name in RULE_COLUMNS if name not in FLAG_COLUMNS]
-    packed = computed_once(F.expr(f"struct({', '.join([*ordered, *flags])})")).alias("_rules")
-    kept = [F.col(name) for name in untouched]
-    return second.select(*kept, packed).select(*kept, *[F.col(f"_rules.{name}") for name in RULE_COLUMNS])
+    flagged = second.selectExpr(*untouched, *ordered, *flags)
+    return select_once(flagged, untouched, {name: F.col(name) for name in RULE_COLUMNS})
 
 
 def add_complexity_metrics(
@@ -123,11 +122,8 @@ def add_complexity_metrics(
             text.phrase_count(source, text.RECURSION_PHRASES) / 3, F.lit(1.0)
         ),
     }
-    packed = computed_once(F.struct(*[measure.alias(name) for name, measure in measures.items()]))
     untouched = [name for name in df.columns if name not in measures]
-    prepared = prepared.select(*untouched, packed.alias("_measures")).select(
-        *untouched, *[F.col(f"_measures.{name}") for name in measures]
-    )
+    prepared = select_once(prepared, untouched, measures)
     disclosure = F.col("self_disclosure_score") if "self_disclosure_score" in df.columns else F.lit(0.0)
     sophistication = bounded(
         F.least(F.col("_chars") / 1500, F.lit(1.0)) * 0.25

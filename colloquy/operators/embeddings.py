@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.arrays import cosine_similarity, doubles, literal_vector
-from colloquy.functions.planning import computed_once
 from colloquy.functions.text import clean_text, words
 from colloquy.operators.sampling import exact_sample
 from colloquy.sources.files import load_prompts
@@ -88,7 +87,7 @@ def cosine_top_k(
 
     One scan with a per-task top-k; zero vectors have similarity 0.
     """
-    target = computed_once(query.scalar()) if isinstance(query, DataFrame) else literal_vector(query)
+    target = query.scalar() if isinstance(query, DataFrame) else literal_vector(query)
     scored = vectors.withColumn("_query", doubles(target)).withColumn(
         "similarity", cosine_similarity(doubles(F.col(vector_column)), F.col("_query"))
     )

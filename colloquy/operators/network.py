@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.functions.planning import select_once
 from colloquy.schema import FLAG_COLUMNS, LABEL_COLUMNS
 
 SIGNAL_COLUMNS = ("interaction_mode", "emotion_primary", "cognitive_outsourcing_type", *FLAG_COLUMNS)
@@ -33,7 +34,8 @@ def row_signals(df: DataFrame) -> Column:
 
 def signal_combinations(df: DataFrame) -> DataFrame:
     """``signals, n``: how many prompts show exactly this set of signals."""
-    return df.groupBy(row_signals(df).alias("signals")).agg(F.count(F.lit(1)).alias("n"))
+    marked = select_once(df, [], {"signals": row_signals(df)})
+    return marked.groupBy("signals").agg(F.count(F.lit(1)).alias("n"))
 
 
 def network_edges(combinations: DataFrame) -> DataFrame:
