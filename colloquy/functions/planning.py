@@ -19,3 +19,14 @@ def select_once(df: DataFrame, untouched: list[str], computed: dict[str, Column]
     return df.select(*kept, packed.alias("_computed")).select(
         *kept, *[F.col(f"_computed.{name}").alias(name) for name in computed]
     )
+
+
+def explode_once(df: DataFrame, keep: list[str], values: Column, name: str, outer: bool = False) -> DataFrame:
+    """One row per element of an array that is expensive to build.
+
+    Spark drops rows with empty arrays below an explode, by a filter that builds the array again;
+    the array is therefore computed in a projection of its own.
+    """
+    arrays = select_once(df, keep, {"_values": values})
+    explode = F.explode_outer if outer else F.explode
+    return arrays.select(*keep, explode("_values").alias(name))

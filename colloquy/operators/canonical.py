@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions import hashing, text
+from colloquy.functions.planning import select_once
 from colloquy.operators.sequences import with_row_number
 from colloquy.schema import CANONICAL_COLUMNS, first_existing, require_one_of
 from colloquy.settings import CanonicalSettings
@@ -54,13 +55,16 @@ def base_columns(
     turn_kind = raw.schema[turn].dataType
     turn_value = F.col(turn).try_cast("double").try_cast("long") if isinstance(
         turn_kind, T.StringType) else F.col(turn).cast("long")
-    normalized = raw.select(
-        text.normalize_whitespace(F.col(prompt)).alias("prompt_text"),
+    sources = raw.select(
+        F.col(prompt).alias("_prompt"),
         (F.col(conversation).cast("string") if conversation else null_string).alias("_conversation"),
         turn_value.alias("turn_index"),
         timestamp.alias("timestamp"),
         (F.col(language).cast("string") if language else null_string).alias("language_original"),
     )
+    normalized = select_once(
+        sources, sources.columns[1:], {"prompt_text": text.normalize_whitespace(F.col("_prompt"))}
+    )
     hashed = normalized.withColumn("raw_text_hash", text_hash_column())
     short_hash = F.substring("raw_text_hash", 1, 16)
     known = F.col("_conversation") if conversation else F.concat(F.lit("conversation_"), short_hash)

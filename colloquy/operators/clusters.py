@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.arrays import (
     dot, doubles, literal_vector, squared_distance, vector_mean,
 )
+from colloquy.functions.planning import explode_once
 from colloquy.functions.stats import safe_ratio
 from colloquy.functions.text import SPACE
 from colloquy.operators.sequences import top_n_per_group
@@ -216,7 +217,7 @@ def label_clusters(
     tokens = F.filter(
         F.split(F.lower(F.col(text_column)), f"{SPACE}+"), lambda t: F.char_length(t) >= min_length
     )
-    counts = texts.select(cluster, F.explode(tokens).alias("_token")).groupBy(cluster, "_token").agg(
+    counts = explode_once(texts, [cluster], tokens, "_token").groupBy(cluster, "_token").agg(
         F.count(F.lit(1)).alias("_n")
     )
     best = top_n_per_group(counts, [cluster], [F.desc("_n"), F.col("_token")], top_n, ["_token"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.functions.planning import explode_once, select_once
 from colloquy.functions.stats import safe_ratio
 from colloquy.functions.text import clean_text, content_tokens, conversation_category, ngrams, words
 from colloquy.operators.canonical import keep_first, quantile
@@ -190,7 +191,7 @@ def category_shares(
 def word_frequencies(df: DataFrame, text_column: str, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """``word, n`` over the cleaned content tokens of all texts."""
     tokens = content_tokens(clean_text(F.col(text_column)), stopwords)
-    return df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return explode_once(df, [], tokens, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def word_totals(frequencies: DataFrame) -> DataFrame:
@@ -207,8 +208,8 @@ def top_ngrams(
     df: DataFrame, text_column: str, size: int, n: int = 20, stopwords: tuple[str, ...] = ()
 ) -> DataFrame:
     """Most frequent runs of ``size`` content tokens over all texts."""
-    tokens = df.select(content_tokens(clean_text(F.col(text_column)), stopwords).alias("_t"))
-    grams = tokens.select(F.explode(ngrams(F.col("_t"), size)).alias("ngram"))
+    tokens = select_once(df, [], {"_t": content_tokens(clean_text(F.col(text_column)), stopwords)})
+    grams = explode_once(tokens, [], ngrams(F.col("_t"), size), "ngram")
     counts = grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "ngram").limit(n)
 
@@ -221,9 +222,8 @@ def lexicon_sentiment(
     Texts without tokens are neutral. The lexicon joins on the token; all counts of one text are
     combined before the shuffle by id.
     """
-    tokens = df.select(
-        id_column, F.explode_outer(words(clean_text(F.col(text_column)))).alias("term")
-    )
+    cleaned = select_once(df, [id_column], {"_clean": clean_text(F.col(text_column))})
+    tokens = explode_once(cleaned, [id_column], words(F.col("_clean")), "term", outer=True)
     valued = tokens.join(lexicon.select("term", "valence"), "term", "left")
     valence = F.coalesce("valence", F.lit(0.0))
     sums = valued.groupBy(id_column).agg(

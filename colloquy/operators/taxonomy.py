@@ -11,6 +11,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions.planning import select_once
 from colloquy.functions.text import SPACE, WORD, WORD_END, WORD_START, text_or_empty
 from colloquy.operators.default_taxonomy import DEFAULT_KEYWORDS
 
@@ -152,8 +153,9 @@ def add_matched_keywords(df: DataFrame, normalized: str, taxonomy: Taxonomy, out
     """
     plan = plan_keywords(taxonomy)
     lookup = {*plan.plain, *(word for word, _ in plan.anchored)}
+    others = [name for name in df.columns if name not in (normalized, output)]
     tokens = F.regexp_extract_all(F.col(normalized), F.lit(f"({WORD}+)"), F.lit(1))
-    tagged = df.withColumn("_tokens", tokens)
+    tagged = select_once(df, others, {normalized: F.col(normalized)}).withColumn("_tokens", tokens)
     present = f"array_distinct(filter(_tokens, t -> t in ({_quoted(lookup)})))" if lookup else "array()"
     tagged = tagged.withColumn("_present", F.expr(present).cast("array<string>"))
     found = [F.array_intersect("_present", _constant(list(plan.plain), "array<string>"))]
@@ -167,7 +169,7 @@ def add_matched_keywords(df: DataFrame, normalized: str, taxonomy: Taxonomy, out
     for keyword in plan.patterns:
         hit = text.contains(keyword) & text.rlike(_boundary(keyword))
         found.append(F.when(hit, F.array(F.lit(keyword))).otherwise(F.array().cast("array<string>")))
-    return tagged.withColumn(output, F.concat(*found)).drop("_tokens", "_present")
+    return select_once(tagged, [*others, normalized], {output: F.concat(*found)})
 
 
 def _boundary(keyword: str) -> str:

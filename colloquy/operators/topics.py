@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.functions.planning import explode_once, select_once
 from colloquy.functions.stats import safe_ratio
 from colloquy.functions.text import WORD, clean_text, content_tokens
 from colloquy.operators.clusters import NOISE, density_clusters
@@ -32,12 +33,12 @@ def term_counts(df: DataFrame, text_column: str, topic: str, stopwords: tuple[st
     Occurrences and distinct terms of a document are exploded together as (1, 0) and (0, 1), so both
     counts are plain sums that combine map-side, also for a topic that holds most documents.
     """
-    tokens = df.select(topic, topic_tokens(F.col(text_column), stopwords).alias("_t"))
+    tokens = select_once(df, [topic], {"_t": topic_tokens(F.col(text_column), stopwords)})
     occurrences = F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
     distinct = F.transform(
         F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))
     )
-    rows = tokens.select(topic, F.explode(F.concat(occurrences, distinct)).alias("_e"))
+    rows = explode_once(tokens, [topic], F.concat(occurrences, distinct), "_e")
     return rows.groupBy(topic, F.col("_e.term").alias("term")).agg(
         F.sum("_e.n").alias("n"), F.sum("_e.d").alias("docs")
     )

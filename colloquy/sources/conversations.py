@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.functions.planning import select_once
 from colloquy.functions.text import normalize_whitespace
 from colloquy.operators.sequences import with_row_number
 
@@ -94,7 +95,7 @@ def extract_user_prompts(
     else:
         df = records.withColumn("_ordinal", F.lit(0))
         fallback = F.substring(F.sha2(F.to_json(prompts), 256), 1, 16)
-    rows = df.select(
+    found = df.select(
         "_ordinal",
         F.coalesce(
             _field(df, ("conversation_id", "conversation_hash", "id")),
@@ -103,7 +104,10 @@ def extract_user_prompts(
         _field(df, ("timestamp", "created_at", "date")).alias("timestamp"),
         _field(df, ("language",)).alias("language"),
         _field(df, ("model",)).alias("model"),
-        F.posexplode(kept).alias("_turn", "_message"),
+        kept.alias("_kept"),
+    )
+    rows = select_once(found, found.columns[:-1], {"_kept": F.col("_kept")}).select(
+        *found.columns[:-1], F.posexplode("_kept").alias("_turn", "_message")
     ).select(
         "_ordinal",
         "conversation_id",
