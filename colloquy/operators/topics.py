@@ -177,12 +177,15 @@ def lda_topic_words(model: LDAModel, vocabulary: list[str], n: int = 15) -> Data
 def dominant_topic(
     model: LDAModel, features: DataFrame, categories: dict[int, str] | None = None, other: str = "Ambiguous"
 ) -> DataFrame:
-    """Add ``dominant_topic, topic_probability, prompt_category`` (topic → category is a parameter)."""
+    """Add ``dominant_topic, topic_probability, prompt_category`` (topic → category is a parameter).
+
+    A text without any vocabulary term has equal shares, so it falls to the first topic.
+    """
     shares = model.transform(features).withColumn("_p", vector_to_array("topicDistribution"))
     best = F.array_max("_p")
     named = shares.withColumns(
         {
-            "topic_probability": best,
+            "topic_probability": F.when(best == 0, 1.0 / F.size("_p")).otherwise(best),
             "dominant_topic": (F.array_position("_p", best) - 1).cast("int"),
         }
     ).drop("_p", "topicDistribution")
