@@ -1,3 +1,10 @@
 """Conversation analytics expressed as lazy Spark DataFrame transformations."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few functions that run in Python workers travel by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

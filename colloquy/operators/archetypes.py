@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.schema import FLAG_COLUMNS
+from colloquy.session import written_table
 from colloquy.settings import AnalyticsSettings
 
 FEATURE_COLUMNS = (
@@ -61,27 +63,25 @@ def summarize_archetypes(assignments: DataFrame, conversation: str = "conversati
 def discover_archetypes(df: DataFrame, settings: AnalyticsSettings = AnalyticsSettings()) -> DataFrame:
     """Assign each conversation with enough turns to an archetype by KMeans on scaled features.
 
-    Fitting runs jobs, so the features are materialized once. With fewer than two conversations
-    every assignment is null.
+    Scaling and clustering read the features many times, so these are written out once. With fewer
+    than two conversations every assignment is null.
     """
     conversation = settings.conversation_column
-    features = conversation_features(df, conversation).filter(
-        F.col("num_turns") >= settings.min_conversation_records
+    features = written_table(
+        conversation_features(df, conversation).filter(F.col("num_turns") >= settings.min_conversation_records),
+        "conversation-features",
     )
+    available = features.limit(max(settings.n_archetypes, 2)).count()
+    if available < 2:
+        return features.withColumn("archetype", F.lit(None).cast(T.IntegerType()))
     inputs = [c for c in features.columns if c != conversation]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="_raw", handleInvalid="error").transform(
-        features.select(conversation, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in inputs])
-    ).persist()
-    try:
-        available = vectors.limit(settings.n_archetypes).count()
-        if available < 2:
-            return features.withColumn("archetype", F.lit(None).cast(T.IntegerType()))
-        scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
-        scaled_model = scaler.fit(vectors)
-        model = KMeans(
-            k=min(settings.n_archetypes, available), seed=settings.seed, featuresCol="_scaled",
-            predictionCol="archetype",
-        ).fit(scaled_model.transform(vectors))
-    finally:
-        vectors.unpersist()
-    return model.transform(scaled_model.transform(vectors)).drop("_raw", "_scaled")
+    filled = features.select(
+        conversation, *inputs, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs]).alias("_values")
+    )
+    vectors = filled.withColumn("_raw", array_to_vector("_values"))
+    scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(vectors)
+    scaled = scaler.transform(vectors)
+    model = KMeans(
+        k=min(settings.n_archetypes, available), seed=settings.seed, featuresCol="_scaled", predictionCol="archetype"
+    ).fit(scaled)
+    return model.transform(scaled).drop("_values", "_raw", "_scaled")

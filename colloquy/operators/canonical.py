@@ -159,7 +159,10 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """Exact linear-interpolated quantile as a one-row frame, from the histogram of the column."""
+    """Exact linear-interpolated quantile of a whole-number column as a one-row frame.
+
+    Only the histogram reaches the last step: for word counts at most one entry per length.
+    """
     histogram = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     return histogram.agg(F.percentile(column, F.lit(q), F.col("_n")).alias("threshold"))
 

@@ -47,6 +47,7 @@ def monthly_volume(df: DataFrame, period: str, value: str) -> DataFrame:
     """Rows per period with mean, median, deviation of ``value``; running total and growth (%).
 
     Periods are first cut to (period, value) counts, so the exact median needs no period's rows.
+    ``value`` is a whole-number column such as a word count, with far fewer values than rows.
     """
     pairs = df.filter(F.col(period).isNotNull()).groupBy(period, value).agg(F.count(F.lit(1)).alias("_n"))
     v, n = F.col(value).cast("double"), F.col("_n")
@@ -163,6 +164,16 @@ def with_conversation_category(
     return prompts.join(statistics.select(conversation, "conv_category"), conversation)
 
 
+def length_by_category(df: DataFrame, category: str, value: str) -> DataFrame:
+    """Rows, mean and exact median of a whole-number column per category, from (category, value) counts."""
+    pairs = df.groupBy(category, value).agg(F.count(F.lit(1)).alias("_n"))
+    return pairs.groupBy(category).agg(
+        F.sum("_n").alias("num_records"),
+        safe_ratio(F.sum(F.col(value) * F.col("_n")), F.sum("_n")).alias("mean_value"),
+        F.percentile(value, F.lit(0.5), F.col("_n")).alias("median_value"),
+    )
+
+
 def length_turn_fit(statistics: DataFrame) -> DataFrame:
     """Least-squares line of mean prompt length over number of prompts."""
     return statistics.agg(

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.session import written_table
+
 POSITION_BITS = 33
 
 
@@ -97,7 +99,8 @@ def _count_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def count_adjacent_states(
-    df: DataFrame, key: str, order: list[Column], state: str, partitions: int | None = None
+    df: DataFrame, key: str, order: list[Column], state: str, partitions: int | None = None,
+    write_first: bool = False,
 ) -> DataFrame:
     """Counts of (state, next state of the same key) in the given order: ``from_state, to_state, n``.
 
@@ -107,13 +110,17 @@ def count_adjacent_states(
     Rows are range-partitioned by key *and* order, so a key with very many rows spans many tasks.
     Each task counts its neighbours over Arrow batches. Its last row and the first row of the next
     partition share a slot and are matched afterwards: two rows per partition. Range partitions
-    other than the last are never empty, which makes "next partition" well defined.
+    other than the last are never empty, which makes "next partition" well defined. Range bounds are
+    sampled from the rows in a pass of their own; ``write_first`` stores the narrow rows for it, which
+    pays when states are computed on the fly rather than read from a table.
     """
     count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = df.select(
         F.col(key).cast("string").alias("_key"), F.col(state).cast("string").alias("_state"),
         *[column.alias(f"_o{i}") for i, column in enumerate(order)],
     )
+    if write_first:
+        narrow = written_table(narrow, "states")
     keys = ["_key", *[F.col(f"_o{i}").asc_nulls_last() for i in range(len(order))], "_state"]
     ranged = narrow.repartitionByRange(count, *keys).sortWithinPartitions(*keys)
     tagged = ranged.select(F.spark_partition_id().cast("long").alias("_part"), "_key", "_state")

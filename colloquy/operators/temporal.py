@@ -44,15 +44,18 @@ def behavior_trends(
 
 def transition_matrix(
     df: DataFrame, state: str, conversation: str = "conversation_id", turn: str = "turn_index",
-    tie_break: str | None = "record_id",
+    tie_break: str | None = "record_id", write_first: bool = False,
 ) -> DataFrame:
-    """Counts and row-wise probabilities of state changes between neighbouring prompts."""
+    """Counts and row-wise probabilities of state changes between neighbouring prompts.
+
+    Set ``write_first`` when the states are computed in the same plan.
+    """
     require_columns(df.columns, [state, conversation, turn], "transitions")
     present = df.filter(F.col(conversation).isNotNull())
     order: list[Column] = [F.col(turn)]
     if tie_break and tie_break in df.columns:
         order.append(F.col(tie_break))
-    counts = count_adjacent_states(present, conversation, order, state)
+    counts = count_adjacent_states(present, conversation, order, state, write_first=write_first)
     per_state = W.partitionBy("from_state")
     return counts.select(
         "from_state", "to_state", F.col("n").alias("count"),

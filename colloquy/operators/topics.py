@@ -14,6 +14,7 @@ from colloquy.functions.stats import safe_ratio
 from colloquy.functions.text import WORD, clean_text, content_tokens
 from colloquy.operators.clusters import NOISE, density_clusters
 from colloquy.operators.sequences import top_n_per_group
+from colloquy.session import written_table
 
 
 def english_stopwords() -> tuple[str, ...]:
@@ -145,15 +146,15 @@ def tfidf_features(
 def lda_sweep(
     features: DataFrame, ks: tuple[int, ...] = (5, 8, 10, 12, 15), max_iter: int = 50, seed: int = 42
 ) -> tuple[DataFrame, LDAModel]:
-    """Fit LDA per ``k``; returns ``k, log_likelihood, log_perplexity, is_best`` and the best model."""
+    """Fit LDA per ``k``; returns ``k, log_likelihood, log_perplexity, is_best`` and the best model.
+
+    Every fit passes over the vectors many times, so they are written out once.
+    """
     fitted = []
-    cached = features.persist()
-    try:
-        for k in ks:
-            model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features", optimizer="online").fit(cached)
-            fitted.append((k, model.logLikelihood(cached), model.logPerplexity(cached), model))
-    finally:
-        cached.unpersist()
+    stored = written_table(features.select("features"), "lda-features")
+    for k in ks:
+        model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features", optimizer="online").fit(stored)
+        fitted.append((k, model.logLikelihood(stored), model.logPerplexity(stored), model))
     best = min(fitted, key=lambda row: row[2])
     table = features.sparkSession.createDataFrame(
         [(k, ll, lp, k == best[0]) for k, ll, lp, _ in fitted],

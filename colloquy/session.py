@@ -1,9 +1,10 @@
-"""Session helpers: defaults for new sessions and checkpoint handling for long plans."""
+"""Session helpers: defaults for new sessions and tables written between stages."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,17 +45,20 @@ def _name_checkpoint_folder(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(folder)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        _name_checkpoint_folder(spark)
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that checkpoints use; every executor can reach it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         _name_checkpoint_folder(spark)
     return context.getCheckpointDir()
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows once to the shared folder and read them back.
+
+    For results that are read several times or in loops: the work behind them is done once, and lost
+    executors do not bring it back. The folder is the cluster's to clean up, like any checkpoint.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

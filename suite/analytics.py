@@ -104,7 +104,7 @@ def transitions_sql(source: str, state: str, key: str, order: str) -> str:
     ("probability",),
 )
 def _(spark, folder):
-    return temporal.transition_matrix(inputs.classified_prompts(spark, folder), "interaction_mode")
+    return temporal.transition_matrix(inputs.classified_prompts(spark, folder), "interaction_mode", write_first=True)
 
 
 @register(
@@ -113,7 +113,7 @@ def _(spark, folder):
     ("probability",),
 )
 def _(spark, folder):
-    matrix = temporal.transition_matrix(inputs.classified_prompts(spark, folder), "emotion_primary")
+    matrix = temporal.transition_matrix(inputs.classified_prompts(spark, folder), "emotion_primary", write_first=True)
     return temporal.sort_transitions(matrix)
 
 

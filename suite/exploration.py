@@ -183,18 +183,17 @@ def _(spark, folder):
 
 @register(
     "prompts_by_conversation_size",
-    f"""WITH {STATS} SELECT conv_category, count(*) AS num_records, avg(o_totalprice) AS mean_value,
-        quantile_cont(o_totalprice, 0.5) AS median_value FROM orders JOIN sized ON conversation_id = o_custkey GROUP BY 1""",
+    f"""WITH {STATS} SELECT conv_category, count(*) AS num_records, avg(floor(o_totalprice / 1000)) AS mean_value,
+        quantile_cont(floor(o_totalprice / 1000), 0.5) AS median_value FROM orders JOIN sized ON conversation_id = o_custkey GROUP BY 1""",
     ("mean_value", "median_value"),
-    digits=4,
+    digits=7,
 )
 def _(spark, folder):
-    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("conversation_id"), "o_totalprice")
-    joined = exploratory.with_conversation_category(orders, _order_statistics(spark, folder))
-    return joined.groupBy("conv_category").agg(
-        F.count(F.lit(1)).alias("num_records"), F.avg("o_totalprice").alias("mean_value"),
-        F.percentile("o_totalprice", F.lit(0.5)).alias("median_value"),
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("conversation_id"), F.floor(F.col("o_totalprice") / 1000).alias("length")
     )
+    joined = exploratory.with_conversation_category(orders, _order_statistics(spark, folder))
+    return exploratory.length_by_category(joined, "conv_category", "length")
 
 
 @register(
