@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def select_once(df: DataFrame, untouched: list[str], computed: dict[str, Column]) -> DataFrame:
+def select_once(df: DataFrame, untouched: list[str], computed: dict[str, Column] | list[str]) -> DataFrame:
     """Select columns whose expressions the optimizer must not copy.
 
     A filter on a computed column is normally rewritten in terms of its inputs and moved below the
     projection, which evaluates the expression again, once per mention; over chained projections the
     copies multiply. A projection with a random column is left where it is, so the computed columns
-    travel in a struct next to one.
+    travel in a struct next to one. A list names columns of ``df`` itself.
     """
-    packed = F.struct(*[column.alias(name) for name, column in computed.items()], F.rand(0).alias("_random"))
-    kept = [F.col(name) for name in untouched]
-    return df.select(*kept, packed.alias("_computed")).select(
-        *kept, *[F.col(f"_computed.{name}").alias(name) for name in computed]
-    )
+    if isinstance(computed, list):
+        packed = F.expr(f"struct({', '.join(f'`{name}`' for name in computed)}, rand(0) AS _random)")
+    else:
+        packed = F.struct(*[column.alias(name) for name, column in computed.items()], F.rand(0).alias("_random"))
+    dropped = [f"`{name}`" for name in df.columns if name not in untouched]
+    stars = [f"* EXCEPT ({', '.join([*dropped, '_computed'])})"] if untouched else []
+    return df.select("*", packed.alias("_computed")).selectExpr(*stars, "_computed.* EXCEPT (_random)")
 
 
 def explode_once(df: DataFrame, keep: list[str], values: Column, name: str, outer: bool = False) -> DataFrame:

@@ -99,7 +99,7 @@ def add_rule_columns(
     ]
     ordered = [name for name in RULE_COLUMNS if name not in FLAG_COLUMNS]
     flagged = second.selectExpr(*untouched, *ordered, *flags)
-    return select_once(flagged, untouched, {name: F.col(name) for name in RULE_COLUMNS})
+    return select_once(flagged, [n for n in df.columns if n not in RULE_COLUMNS], list(RULE_COLUMNS))
 
 
 def add_complexity_metrics(

@@ -155,7 +155,7 @@ def add_matched_keywords(df: DataFrame, normalized: str, taxonomy: Taxonomy, out
     lookup = {*plan.plain, *(word for word, _ in plan.anchored)}
     others = [name for name in df.columns if name not in (normalized, output)]
     tokens = F.regexp_extract_all(F.col(normalized), F.lit(f"({WORD}+)"), F.lit(1))
-    tagged = select_once(df, others, {normalized: F.col(normalized)}).withColumn("_tokens", tokens)
+    tagged = select_once(df, others, [normalized]).withColumn("_tokens", tokens)
     present = f"array_distinct(filter(_tokens, t -> t in ({_quoted(lookup)})))" if lookup else "array()"
     tagged = tagged.withColumn("_present", F.expr(present).cast("array<string>"))
     found = [F.array_intersect("_present", _constant(list(plan.plain), "array<string>"))]

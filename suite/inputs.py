@@ -68,7 +68,7 @@ def _moment(key: Column, hours: Column) -> Column:
 
 def seeded_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """User turns of ``conversations`` with a phrase and a timestamp: raw prompt columns."""
-    users = table(spark, folder, "conversations").filter(F.col("role") == "user")
+    users = text_table(spark, folder, "conversations").filter(F.col("role") == "user")
     return users.select(
         F.col("conv_id").alias("conversation_id"),
         F.col("turn").alias("turn_index"),
