@@ -17,7 +17,7 @@ from colloquy.sources.conversations import extract_long_prompts, extract_user_pr
 from colloquy.sources.files import json_lines
 from colloquy.streaming.acquire import stream_prompts, write_stream
 from suite import inputs
-from suite.inputs import WS, sql_detect, sql_split, table
+from suite.inputs import WS, sql_detect, sql_split, table, text_table
 from suite.registry import register
 
 EXTRACTED_SQL = rf"""
@@ -44,8 +44,8 @@ def _line_messages():
     )
 
 
-def _nested(spark, folder):
-    return table(spark, folder, "documents").select(
+def _nested(documents):
+    return documents.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("conversation_id"),
         F.col("lang").alias("language"), F.col("source").alias("model"), _line_messages().alias("conversation"),
     )
@@ -64,13 +64,14 @@ NESTED_SQL = rf"""
 
 @register("extract_nested", NESTED_SQL)
 def _(spark, folder):
-    return extract_user_prompts(_nested(spark, folder), "documents", number_records=False)
+    documents = text_table(spark, folder, "documents")
+    return extract_user_prompts(_nested(documents), "documents", number_records=False)
 
 
 @register("extract_json", NESTED_SQL.replace("lang AS \"language\", source AS model", "lang AS \"language\", CAST(NULL AS VARCHAR) AS model"))
 def _(spark, folder):
     packed = F.to_json(F.struct(F.col("conversation").alias("messages")))
-    records = _nested(spark, folder).select("conversation_id", "language", packed.alias("conversation"))
+    records = _nested(text_table(spark, folder, "documents")).select("conversation_id", "language", packed.alias("conversation"))
     return extract_user_prompts(records, "documents", number_records=False)
 
 
@@ -82,7 +83,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     """Records without an id, numbered by position, with both development limits."""
-    records = _nested(spark, folder).drop("conversation_id")
+    records = _nested(table(spark, folder, "documents")).drop("conversation_id")
     return extract_user_prompts(records, "documents", max_conversations=40, sample_size=150)
 
 
