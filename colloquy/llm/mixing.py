@@ -21,7 +21,7 @@ from colloquy.session import use_utc, written_table
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-BLOCK_WORDS = 16
+BLOCK_WORDS = 64
 SHARD_WORDS = 4_000_000
 # A prime above any number of blocks in a shard: its multiples permute the block numbers.
 STRIDE = 2_147_483_647

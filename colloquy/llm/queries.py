@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from colloquy.llm.bpe import decode, digests, encode
 from colloquy.llm.common import documents
 from colloquy.llm.exact import exact_duplicates
 from colloquy.llm.mixing import mixture
 from colloquy.llm.quality import quality
 from colloquy.llm.simhash import near_duplicates
+from colloquy.llm.tokenfile import read_documents, token_folder, write_tokens
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +54,16 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_mixture")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(documents(spark, folder)).drop("pieces", "whole_copies")
+
+
+@query("op7_tokenfile")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    place = token_folder(docs)
+    return read_documents(write_tokens(docs, TOKENIZER, place), place)
+
+
+@query("op9_bpe")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    coded = decode(encode(documents(spark, folder), TOKENIZER), TOKENIZER)
+    return digests(coded)
