@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colloquy.llm.bpe import decode, digests, encode
 from colloquy.llm.common import documents
 from colloquy.llm.exact import exact_duplicates
+from colloquy.llm.langid import held_out, predict, train
 from colloquy.llm.mixing import mixture
+from colloquy.llm.pii import find_personal_data, personal_data_report
 from colloquy.llm.quality import quality
+from colloquy.llm.secrets import find_secrets, secret_report
 from colloquy.llm.simhash import near_duplicates
 from colloquy.llm.tokenfile import read_documents, token_folder, write_tokens
 
@@ -67,3 +70,20 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     coded = decode(encode(documents(spark, folder), TOKENIZER), TOKENIZER)
     return digests(coded)
+
+
+@query("op2_language")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).withColumn("held_out", held_out(F.col("doc_id")))
+    model = train(docs.filter("NOT held_out"))
+    return predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+@query("op5_secrets")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_report(find_secrets(documents(spark, folder)))
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data_report(find_personal_data(documents(spark, folder)))
