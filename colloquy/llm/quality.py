@@ -138,3 +138,22 @@ def quality(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         F.col("_lines.lost_chars"),
         F.when(F.col("_lines.n_failing_lines") == 0, text).otherwise(F.col("_lines.good_text")).alias("clean_text"),
     )
+
+
+def quality_filter(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = "n_chars",
+                   rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows that are kept, with all their columns, their failing lines taken out of the text.
+
+    ``length_column``, if it exists, is measured again.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    judged = quality(df.select(whole.alias("_row"), F.col(f"`{text_column}`").alias("_input")), "_row", "_input", rules).filter("kept")
+    columns = []
+    for name in df.columns:
+        if name == text_column:
+            columns.append(F.col("clean_text").alias(name))
+        elif name == length_column:
+            columns.append(F.length("clean_text").cast(dict(df.dtypes)[name]).alias(name))
+        else:
+            columns.append(F.col(f"_row.`{name}`").alias(name))
+    return judged.select(*columns)

@@ -12,6 +12,8 @@ from colloquy.llm.bpe import decode, digests, encode
 from colloquy.llm.common import documents
 from colloquy.llm.exact import exact_duplicates
 from colloquy.llm.langid import held_out, predict, train
+from colloquy.llm.licenses import find_licenses
+from colloquy.llm.licenses import sql as license_sql
 from colloquy.llm.mixing import mixture
 from colloquy.llm.pii import find_personal_data, personal_data_report
 from colloquy.llm.quality import quality
@@ -87,3 +89,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_pii")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data_report(find_personal_data(documents(spark, folder)))
+
+
+@query("op6_licenses", license_sql())
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_licenses(documents(spark, folder))
+    return found.select("doc_id", "n_sentences", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses")])
