@@ -2,7 +2,7 @@
 
 Texts are split by a JVM expression into words, at places where the tokenizer's own splitting pattern
 is certain to have a boundary whatever follows. Documents are dealt to blocks of about ``block_bytes``
-of text. Each block sends every word it holds once to the word's bucket; a bucket encodes each distinct
+of text, and their words travel there in compressed Arrow batches. Each block sends every word it holds once to the word's bucket; a bucket encodes each distinct
 word once, whichever blocks have asked, and answers every block; blocks put the ids back by position.
 So a word costs one encoding in all, and what is shuffled for it is one row entry per block, never one
 per occurrence: the commonest word is as light as any other.
@@ -38,6 +38,9 @@ BLOCK_BYTES = 24_000_000
 # a run of letters ends at a mark. Marks that special tokens use stay with what is before them.
 BOUNDARY = r"(?=[\x20\n])(?<=[!-~\p{L}])|(?=[.,!$%&*#])(?<=\p{L})"
 
+# Between the words of a packed text; no UTF-8 holds this byte.
+SEPARATOR = b"\xff"
+
 Finish = Callable[[int, pa.Table, np.ndarray, np.ndarray], pa.Table]
 
 
@@ -57,6 +60,11 @@ def read_tokenizer(path: str) -> str:
     return text
 
 
+def vocabulary_size(tokenizer: str) -> int:
+    spec = json.loads(tokenizer)
+    return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+
+
 def load_tokenizer(text: str):
     """A tokenizer that uses one thread and neither truncates nor pads."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,7 +78,8 @@ def load_tokenizer(text: str):
 
 def _payload(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -99,28 +108,44 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
     ``finish(block, rows, ids, counts)`` gets the block's rows (``_id``), all their ids in a row and
     the number of ids of each, and returns the block's result. ``tokenizer`` is the JSON text.
     """
-    words = docs.repartition(n_blocks, "_block").select("_block", "_id", F.split("_text", BOUNDARY).alias("_words"))
+    width = np.uint16 if vocabulary_size(tokenizer) <= 1 << 16 else np.uint32
+    words = docs.select("_block", "_id", F.split("_text", BOUNDARY).alias("_words"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = pc.binary_join(batch.column(2).cast(pa.list_(pa.binary())), SEPARATOR)
+            rows = pa.table({"_id": batch.column(1), "_joined": joined})
+            places = np.asarray(batch.column(0))
+            order = np.argsort(places, kind="stable")
+            blocks, starts = np.unique(places[order], return_index=True)
+            for block, a, b in zip(blocks, starts, [*starts[1:], len(order)]):
+                payload = _payload(rows.take(pa.array(order[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([payload], pa.binary())], ["_block", "_packed"])
+
+    # Both readers below share this shuffle.
+    held = words.mapInArrow(packed, "_block int, _packed binary").repartition(n_blocks, "_block")
+
+    def words_in(payload: pa.Scalar) -> tuple[pa.Table, pa.ListArray]:
+        table = _unpacked(payload).combine_chunks()
+        return table, pc.split_pattern(table.column("_joined").combine_chunks(), SEPARATOR)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.Array]] = {}
+        known: dict[int, pa.Array] = {}
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            for block in np.unique(blocks):
-                rows = batch.column(1) if (blocks == block).all() else batch.column(1).filter(pa.array(blocks == block))
-                held.setdefault(int(block), []).append(pc.unique(rows.flatten()))
-        for block, parts in held.items():
-            distinct = pc.unique(pa.chunked_array(parts))
-            places = np.fromiter((zlib.crc32(w.encode()) for w in distinct.to_pylist()), dtype=np.int64) % n_blocks
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                new = pc.unique(words_in(payload)[1].flatten())
+                known[block] = pc.unique(pa.chunked_array([known[block], new])) if block in known else new
+        for block, distinct in known.items():
+            places = np.fromiter(map(zlib.crc32, distinct.to_pylist()), dtype=np.int64, count=len(distinct)) % n_blocks
             order = np.argsort(places, kind="stable")
             buckets, starts = np.unique(places[order], return_index=True)
-            ordered, ends = distinct.take(pa.array(order)), [*starts[1:], len(order)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(buckets, pa.int32()), pa.array([block] * len(buckets), pa.int32()),
-                    pa.array([_payload(pa.table({"word": ordered[a:b]})) for a, b in zip(starts, ends)], pa.binary()),
-                ],
-                ["_bucket", "_block", "_payload"],
-            )
+            ordered = distinct.take(pa.array(order))
+            for bucket, a, b in zip(buckets, starts, [*starts[1:], len(order)]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket], pa.int32()), pa.array([block], pa.int32()),
+                     pa.array([_payload(pa.table({"word": ordered[a:b]}))], pa.binary())],
+                    ["_bucket", "_block", "_payload"],
+                )
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_tokenizer(tokenizer)
@@ -130,8 +155,8 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
                 asked.setdefault(bucket, []).append((block, _unpacked(payload).column(0).combine_chunks()))
         for requests in asked.values():
             distinct = pc.unique(pa.chunked_array([w for _, w in requests]))
-            ids, lengths = _encode_words(coder, distinct.to_pylist())
-            table = _lists(pa.array(ids), lengths)
+            ids, lengths = _encode_words(coder, distinct.cast(pa.string()).to_pylist())
+            table = _lists(pa.array(ids.astype(width)), lengths)
             for block, words_of_block in requests:
                 coded = table.take(pc.index_in(words_of_block, value_set=distinct))
                 answer = _payload(pa.table({"word": words_of_block, "ids": coded}))
@@ -139,22 +164,24 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
 
     def placed(rows: pa.Table, answers: pa.Table) -> pa.Table:
         table = pa.concat_tables([_unpacked(a) for a in answers.column("_answer")])
-        coded = table.column("ids").combine_chunks()
-        starts = np.asarray(coded.offsets)
-        pieces = np.asarray(coded.values)
-        listed = rows.column("_words").combine_chunks()
-        if isinstance(listed, pa.ChunkedArray):
-            listed = pa.concat_arrays(listed.chunks)
-        at = np.asarray(pc.index_in(listed.flatten(), value_set=table.column("word").combine_chunks()))
-        counts = (starts[1:] - starts[:-1])[at]
-        before = np.concatenate(([0], np.cumsum(counts)))
-        ids = pieces[np.arange(before[-1]) + np.repeat(starts[:-1][at] - before[:-1], counts)]
-        ends = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(listed)))))
-        return finish(rows.column("_block")[0].as_py(), rows, ids, np.diff(before[ends]))
-
-    requests = words.select("_block", "_words").mapInArrow(wanted, "_bucket int, _block int, _payload binary")
+        dictionary, coded = table.column("word").combine_chunks(), table.column("ids").combine_chunks()
+        starts, pieces = np.asarray(coded.offsets), np.asarray(coded.values)
+        sizes = np.diff(starts)
+        known, ids, counts = [], [], []
+        for payload in rows.column("_packed"):
+            part, listed = words_in(payload)
+            at = np.asarray(pc.index_in(listed.flatten(), value_set=dictionary))
+            lengths = sizes[at]
+            before = np.concatenate(([0], np.cumsum(lengths)))
+            ids.append(pieces[np.arange(before[-1]) + np.repeat(starts[:-1][at] - before[:-1], lengths)])
+            ends = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(listed)))))
+            counts.append(np.diff(before[ends]))
+            known.append(part.select(["_id"]))
+        return finish(rows.column("_block")[0].as_py(), pa.concat_tables(known), np.concatenate(ids), np.concatenate(counts))
+
+    requests = held.mapInArrow(wanted, "_bucket int, _block int, _payload binary")
     answers = requests.repartition(n_blocks, "_bucket").mapInArrow(answered, "_block int, _answer binary")
-    return words.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(placed, schema)
+    return held.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(placed, schema)
 
 
 def count_blocks(df: DataFrame, text_column: str, block_bytes: int) -> int:
@@ -206,12 +233,11 @@ def decode(df: DataFrame, tokenizer_path: str, ids_column: str = "ids", decoded_
     """
     from pyspark.sql.types import StringType, StructField, StructType
 
-    text = read_tokenizer(tokenizer_path)
+    pieces = piece_table(read_tokenizer(tokenizer_path))
     schema = StructType([*df.schema.fields, StructField(decoded_column, StringType())])
     place = df.columns.index(ids_column)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(text)
         for batch in batches:
             lists = batch.column(place).fill_null([])
             parts = pieces.take(lists.flatten()).drop_null()
