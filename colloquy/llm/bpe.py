@@ -17,7 +17,6 @@ not read. A word may be as long as the whole text.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import zlib
@@ -258,21 +257,8 @@ def parts_offsets(parts: pa.LargeBinaryArray) -> np.ndarray:
 
 def digests(coded: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Id, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 of encoded and decoded rows."""
-    kind = dict(coded.dtypes)[id_column]
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            names = pa.ListArray.from_arrays(lists.offsets, lists.values.cast(pa.string()))
-            joined = pc.binary_join(names, ",")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pc.list_value_length(lists).cast(pa.int64()),
-                    pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in joined], pa.string()),
-                    pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in batch.column(2)], pa.string()),
-                ],
-                [id_column, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    rows = coded.select(id_column, "ids", "decoded")
-    return rows.mapInArrow(summed, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.select(
+        id_column, F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

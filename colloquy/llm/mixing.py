@@ -152,7 +152,8 @@ def mixture(df: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     extra = F.aggregate(F.col("pieces"), F.lit(0).cast("long"), lambda total, p: total + p["words"])
     return rows.withColumn("pieces", pieces).select(
         F.col("_id").alias(id_column), F.col("_source").alias(source_column), "size", "source_size", "target",
-        (F.col("_copies") * F.col("size") + extra).alias("taken"), F.col("_copies").alias("whole_copies"), "pieces",
+        (F.col("_copies") * F.col("size") + extra).alias("taken"),
+        F.when(F.col("size") > 0, F.col("_copies")).otherwise(0).alias("whole_copies"), "pieces",
     )
 
 
