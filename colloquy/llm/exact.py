@@ -53,10 +53,11 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     )
     ended = [members.filter("_ended").drop("_ended")]
     running = members.filter("NOT _ended").select("_id", *keys, F.col("_next").alias("_group")).distinct()
+    # A merge join at every size: one shuffle of the texts, in proportion to the input.
     whole = texts.withColumns({"_length": F.octet_length("_rest"), "_digit": F.substring("_rest", 1, first_digit)})
     rest = F.expr(f"substring(_rest, {first_digit} + 1)").alias("_rest")
     active = written_table(
-        whole.join(running, ["_id", *keys]).select(*[F.col(k).alias(f"_head{k}") for k in keys], "_id", "_group", rest),
+        whole.join(running.hint("merge"), ["_id", *keys]).select(*[F.col(k).alias(f"_head{k}") for k in keys], "_id", "_group", rest),
         "radix-texts",
     )
     heads_kept = [f"_head{k}" for k in keys]
