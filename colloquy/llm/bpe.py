@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import text_bytes, whole_text
 from colloquy.session import use_utc
 
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 # A word starts at white space after a visible ASCII character or a letter, and at a mark after a
 # letter. The tokenizer never joins across these: its words hold white space at their start only, and
 # a run of letters ends at a mark. Marks that special tokens use stay with what is before them.
@@ -107,6 +107,7 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
     ``finish(block, rows, ids, counts)`` gets the block's rows (``_id``), all their ids in a row and
     the number of ids of each, and returns the block's result. ``tokenizer`` is the JSON text.
     """
+    n_buckets = max(1, n_blocks // 2)
     width = np.uint16 if vocabulary_size(tokenizer) <= 1 << 16 else np.uint32
     words = docs.select("_block", "_id", F.split("_text", BOUNDARY).alias("_words"))
 
@@ -135,7 +136,7 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
                 new = pc.unique(words_in(payload)[1].flatten())
                 known[block] = pc.unique(pa.chunked_array([known[block], new])) if block in known else new
         for block, distinct in known.items():
-            places = np.fromiter(map(zlib.crc32, distinct.to_pylist()), dtype=np.int64, count=len(distinct)) % n_blocks
+            places = np.fromiter(map(zlib.crc32, distinct.to_pylist()), dtype=np.int64, count=len(distinct)) % n_buckets
             order = np.argsort(places, kind="stable")
             buckets, starts = np.unique(places[order], return_index=True)
             ordered = distinct.take(pa.array(order))
@@ -179,7 +180,7 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
         return finish(rows.column("_block")[0].as_py(), pa.concat_tables(known), np.concatenate(ids), np.concatenate(counts))
 
     requests = held.mapInArrow(wanted, "_bucket int, _block int, _payload binary")
-    answers = requests.repartition(n_blocks, "_bucket").mapInArrow(answered, "_block int, _answer binary")
+    answers = requests.repartition(n_buckets, "_bucket").mapInArrow(answered, "_block int, _answer binary")
     return held.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(placed, schema)
 
 

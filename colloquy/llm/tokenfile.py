@@ -28,10 +28,11 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.bpe import BLOCK_BYTES, count_blocks, encode_in_blocks, read_tokenizer
+from colloquy.llm.bpe import count_blocks, encode_in_blocks, read_tokenizer
 from colloquy.llm.common import whole_text
 from colloquy.session import shared_folder, use_utc, written_table
 
+BLOCK_BYTES = 24_000_000
 LENGTH = 2048
 BATCH_SEQUENCES = 512
 
