@@ -202,12 +202,12 @@ def exact_silhouette(
 
 def label_clusters(
     df: DataFrame, text_column: str = "prompt_text", cluster: str = "cluster", id_column: str = "record_id",
-    top_n: int = 5, min_length: int = 4, max_texts: int | None = 500,
+    top_n: int = 5, min_length: int = 4, max_texts: int | None = None,
 ) -> DataFrame:
     """``cluster, num_records, label``: the most frequent longer tokens of the cluster's texts.
 
-    Only the first ``max_texts`` texts (by id) of each cluster are read, as labels are meant to be
-    light; ``None`` reads all of them. Equal counts are ordered by token.
+    All texts are read unless ``max_texts`` asks for the first ones (by id) of each cluster. Equal
+    counts are ordered by token.
     """
     assigned = df.filter(F.col(cluster).isNotNull() & (F.col(cluster) != NOISE))
     sizes = assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("num_records"))

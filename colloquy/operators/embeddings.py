@@ -96,7 +96,7 @@ def cosine_top_k(
 
 def compare_encoders(
     prompts: DataFrame, encoders: dict[str, EncoderFactory | None], text_column: str = "prompt_text",
-    id_column: str = "record_id", sample_size: int | None = 10_000, batch_size: int = 64,
+    id_column: str = "record_id", sample_size: int | None = None, batch_size: int = 64,
     normalize: bool = True,
 ) -> DataFrame:
     """Time every encoder over the same sample: records, seconds, rate, dimensions."""
@@ -132,7 +132,7 @@ def max_difference(
 
 def embedding_reproducibility(
     prompts: DataFrame, text_column: str = "prompt_text", id_column: str = "record_id",
-    factory: EncoderFactory | None = None, sample_size: int | None = 128,
+    factory: EncoderFactory | None = None, sample_size: int | None = None,
 ) -> DataFrame:
     """Encode the same sample twice and compare."""
     sample = exact_sample(load_prompts(prompts, (text_column, id_column), text_column), id_column, sample_size)

@@ -104,15 +104,16 @@ def count_adjacent_states(
 ) -> DataFrame:
     """Counts of (state, next state of the same key) in the given order: ``from_state, to_state, n``.
 
-    Rows without a state are left out in the tasks: as a filter of the plan the test would be pushed
-    below the projections that compute the state and evaluate them twice.
+    Rows without a key or a state are left out before rows are dealt to partitions, so that every
+    partition but the last holds a state and the chain of edge rows has no gap.
 
     Rows are range-partitioned by key *and* order, so a key with very many rows spans many tasks.
     Each task counts its neighbours over Arrow batches. Its last row and the first row of the next
     partition share a slot and are matched afterwards: two rows per partition. Range partitions
     other than the last are never empty, which makes "next partition" well defined. Range bounds are
     sampled from the rows in a pass of their own; ``write_first`` stores the narrow rows for it, which
-    pays when states are computed on the fly rather than read from a table.
+    pays when states are computed on the fly rather than read from a table: the test for missing states
+    would otherwise evaluate them a second time.
     """
     count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = df.select(
@@ -121,6 +122,7 @@ def count_adjacent_states(
     )
     if write_first:
         narrow = written_table(narrow, "states")
+    narrow = narrow.filter(F.col("_key").isNotNull() & F.col("_state").isNotNull())
     keys = ["_key", *[F.col(f"_o{i}").asc_nulls_last() for i in range(len(order))], "_state"]
     ranged = narrow.repartitionByRange(count, *keys).sortWithinPartitions(*keys)
     tagged = ranged.select(F.spark_partition_id().cast("long").alias("_part"), "_key", "_state")

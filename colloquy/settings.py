@@ -96,7 +96,7 @@ class AnalyticsSettings:
 
 @dataclass(frozen=True)
 class ClusterSettings:
-    sample_size: int | None = 100_000
+    sample_size: int | None = None
     min_cluster_size: int = 50
     density_k: int = 50
     noise_quantile: float = 0.99

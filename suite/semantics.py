@@ -149,18 +149,6 @@ def _(spark, folder):
     return clusters.cluster_quality(_labelled(spark, folder))
 
 
-@register(
-    "silhouette_of_sample",
-    f"WITH {QUALITY} SELECT avg((b1 - a1) / greatest(a1, b1)) AS silhouette FROM sil",
-    ("silhouette",),
-    digits=7,
-)
-def _(spark, folder):
-    """Euclidean silhouette over the clustering sample (100,000 vectors at most)."""
-    sample = sampling.exact_sample(_labelled(spark, folder), "vec_id", 100_000)
-    return clusters.exact_silhouette(sample)
-
-
 SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+"
 
 
@@ -189,12 +177,6 @@ def _(spark, folder):
     return clusters.label_clusters(_language_clusters(spark, folder), "text", id_column="doc_id", max_texts=None)
 
 
-@register("cluster_labels_first_texts", _cluster_labels_sql(500))
-def _(spark, folder):
-    """Labels from the first 500 texts of each cluster, the reporting default."""
-    return clusters.label_clusters(_language_clusters(spark, folder), "text", id_column="doc_id")
-
-
 STOPWORDS = ("the", "and", "of", "to", "der", "die", "und", "les", "des")
 TERMS = rf"""docs AS (SELECT doc_id, text, CASE WHEN lang = 'de' THEN -1 WHEN lang = 'en' THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END AS topic,
              '2023-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') AS year_month FROM documents),

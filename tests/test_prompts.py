@@ -262,3 +262,10 @@ def test_stream_matches_batch_and_picks_up_new_files(spark, tmp_path):
         assert rows.count() == expected
         (folder / "b.json").write_text(json.dumps({**RECORD, "conversation_id": "z"}) + "\n")
     assert {"interaction_mode", "prompt_sophistication_score"} <= set(rows.columns)
+
+
+def test_transitions_across_partitions_without_states(spark):
+    rows = [("a", k, "first" if k == 0 else "last" if k == 999 else None) for k in range(1000)] + [(None, 5, "lost"), ("b", 1, "alone")]
+    df = spark.createDataFrame(rows, "k string, o long, s string")
+    got = [tuple(r) for r in count_adjacent_states(df, "k", [F.col("o")], "s", 8).collect()]
+    assert got == [("first", "last", 1)]
