@@ -189,23 +189,33 @@ def count_blocks(df: DataFrame, text_column: str, block_bytes: int) -> int:
 
 
 def encode(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text",
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row: id and ``ids``, the text's token ids without special tokens added."""
+           block_bytes: int = BLOCK_BYTES, decoded_column: str | None = None) -> DataFrame:
+    """One row per row: id and ``ids``, the text's token ids without special tokens added.
+
+    ``decoded_column`` names a further column with the text that the ids decode to. It is made where
+    the ids are, so that they need not travel to a second Python worker as they do in :func:`decode`.
+    """
     use_utc(df.sparkSession)
     blocks = count_blocks(df, text_column, block_bytes)
     kind = dict(df.dtypes)[id_column]
+    tokenizer = read_tokenizer(tokenizer_path)
+    pieces = piece_table(tokenizer) if decoded_column else None
 
     def finish(_: int, rows: pa.Table, ids: np.ndarray, counts: np.ndarray) -> pa.Table:
-        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
-        return pa.table({id_column: rows.column("_id"), "ids": lists})
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
+        columns = {id_column: rows.column("_id"), "ids": lists}
+        if pieces is not None:
+            columns[decoded_column] = joined_pieces(pieces, lists)
+        return pa.table(columns)
 
     text = whole_text(text_column)
     docs = df.select(
         F.col(f"`{id_column}`").alias("_id"), text.alias("_text"),
         F.pmod(F.xxhash64(F.col(f"`{id_column}`"), F.octet_length(text)), F.lit(blocks)).cast("int").alias("_block"),
     )
-    return encode_in_blocks(docs, read_tokenizer(tokenizer_path), blocks, finish, f"`{id_column}` {kind}, ids array<int>")
+    schema = f"`{id_column}` {kind}, ids array<int>" + (f", `{decoded_column}` string" if decoded_column else "")
+    return encode_in_blocks(docs, tokenizer, blocks, finish, schema)
 
 
 def piece_table(tokenizer: str) -> pa.Array:
@@ -226,6 +236,18 @@ def piece_table(tokenizer: str) -> pa.Array:
     return pa.array([pieces.get(k) for k in range(max(pieces) + 1)], pa.large_binary())
 
 
+def joined_pieces(pieces: pa.Array, lists: pa.ListArray, step: int = 256) -> pa.Array:
+    """The text of each list of ids: ids are joined to their pieces by place, a few lists at a time."""
+    texts: list[str] = []
+    for start in range(0, len(lists), step):
+        part = lists.slice(start, step)
+        found = pieces.take(part.flatten()).fill_null(b"")
+        ends = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(part)))))
+        data, starts = memoryview(found.buffers()[2] or b""), parts_offsets(found)
+        texts += [bytes(data[starts[a]:starts[b]]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+    return pa.array(texts, pa.string())
+
+
 def decode(df: DataFrame, tokenizer_path: str, ids_column: str = "ids", decoded_column: str = "decoded") -> DataFrame:
     """The same rows with the decoded text of ``ids`` in a further column; no ids give the empty text.
 
@@ -239,13 +261,8 @@ def decode(df: DataFrame, tokenizer_path: str, ids_column: str = "ids", decoded_
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(place).fill_null([])
-            parts = pieces.take(lists.flatten()).drop_null()
-            counts = np.asarray(pc.list_value_length(lists))
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            data, starts = memoryview(parts.buffers()[2] or b""), np.asarray(parts_offsets(parts))
-            texts = [bytes(data[starts[a]:starts[b]]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=None, names=schema.names)
+            texts = joined_pieces(pieces, batch.column(place).fill_null([]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
 
     return df.mapInArrow(joined, schema)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.bpe import decode, digests, encode
+from colloquy.llm.bpe import digests, encode
 from colloquy.llm.common import documents
 from colloquy.llm.exact import exact_duplicates
 from colloquy.llm.langid import held_out, predict, train
@@ -70,8 +70,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    coded = decode(encode(documents(spark, folder), TOKENIZER), TOKENIZER)
-    return digests(coded)
+    return digests(encode(documents(spark, folder), TOKENIZER, decoded_column="decoded"))
 
 
 @query("op2_language")

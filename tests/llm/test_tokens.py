@@ -41,6 +41,8 @@ def test_encode_and_decode(spark, block_bytes):
         ids = PLAIN.encode(text or "", add_special_tokens=False).ids
         assert rows[k]["ids"] == ids, text
         assert rows[k]["decoded"] == PLAIN.decode(ids, skip_special_tokens=False)
+    at_once = bpe.encode(frame(spark, TEXTS), PATH, block_bytes=block_bytes, decoded_column="decoded")
+    assert {r["doc_id"]: r for r in at_once.collect()} == rows
     assert bpe.encode(frame(spark, ["x"]).limit(0), PATH).count() == 0
 
 
