@@ -6,10 +6,8 @@ algorithms that distribute: PCA, and KMeans whose small clusters and far points
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.arrays import (
-    dot, doubles, literal_vector, squared_distance, vector_mean,
+    dot, doubles, squared_distance, vector_mean,
 )
 from colloquy.functions.planning import explode_once
 from colloquy.functions.stats import safe_ratio
@@ -55,7 +53,7 @@ def density_clusters(
     """
     prepared = vectors.withColumn("_vector", array_to_vector(doubles(F.col(vector_column))))
     model = KMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="_nearest").fit(prepared)
-    centers = F.array(*[literal_vector(center) for center in model.clusterCenters()])
+    centers = F.from_json(F.lit(json.dumps([c.tolist() for c in model.clusterCenters()])), "array<array<double>>")
     distance = squared_distance(doubles(F.col(vector_column)), F.get(centers, F.col("_nearest")))
     placed = model.transform(prepared).withColumn("_distance", distance).drop("_vector")
     sizes = placed.groupBy("_nearest").agg(
@@ -155,65 +153,17 @@ def cluster_quality(df: DataFrame, vector_column: str = "embedding", cluster: st
     )
 
 
-def exact_silhouette(
-    df: DataFrame, vector_column: str = "embedding", cluster: str = "cluster", max_bytes: int = 256 << 20
-) -> DataFrame:
-    """Mean Euclidean silhouette of a *sample*, noise left out.
-
-    The metric compares every point with every other one, so it is offered for samples only. The
-    sample must fit ``max_bytes`` as a matrix; it is broadcast, and tasks compare their own points
-    with it block by block. Larger inputs are refused: use :func:`cluster_quality`.
-    """
-    members = df.select(doubles(F.col(vector_column)).alias("x"), F.col(cluster).cast("long").alias("c")).filter(
-        F.col("c") != NOISE
-    )
-    rows, width = members.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
-    if rows * (width + 1) * 8 > max_bytes:
-        raise ValueError("sample too large for the exact silhouette; use cluster_quality or a smaller sample")
-    local = members.toPandas()
-    matrix = np.array(local["x"].tolist(), dtype=float).reshape(rows, width)
-    names, codes = np.unique(local["c"].to_numpy(), return_inverse=True)
-    if len(names) < 2 or rows <= len(names):
-        return df.sparkSession.createDataFrame([(None,)], "silhouette double")
-    shared = df.sparkSession.sparkContext.broadcast((matrix, names, codes, np.bincount(codes)))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, labels, code, size = shared.value
-        members_of = np.eye(len(labels))[code]
-        squares = (points**2).sum(axis=1)
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                x = np.array(part["x"].tolist(), dtype=float)
-                own = np.searchsorted(labels, part["c"].to_numpy())
-                gaps = (x**2).sum(axis=1)[:, None] + squares[None, :] - 2 * x @ points.T
-                sums = np.sqrt(np.maximum(gaps, 0)) @ members_of
-                index = np.arange(len(part))
-                inside = sums[index, own] / np.maximum(size[own] - 1, 1)
-                means = sums / size[None, :]
-                means[index, own] = np.inf
-                outside = means.min(axis=1)
-                top = np.maximum(inside, outside)
-                score = np.divide(outside - inside, top, out=np.zeros(len(part)), where=top > 0)
-                yield pd.DataFrame({"s": np.where(size[own] == 1, 0.0, score)})
-
-    return members.mapInPandas(compare, "s double").agg(F.avg("s").alias("silhouette"))
-
-
 def label_clusters(
-    df: DataFrame, text_column: str = "prompt_text", cluster: str = "cluster", id_column: str = "record_id",
-    top_n: int = 5, min_length: int = 4, max_texts: int | None = None,
+    df: DataFrame, text_column: str = "prompt_text", cluster: str = "cluster",
+    top_n: int = 5, min_length: int = 4,
 ) -> DataFrame:
     """``cluster, num_records, label``: the most frequent longer tokens of the cluster's texts.
 
-    All texts are read unless ``max_texts`` asks for the first ones (by id) of each cluster. Equal
-    counts are ordered by token.
+    All texts are read. Equal counts are ordered by token.
     """
     assigned = df.filter(F.col(cluster).isNotNull() & (F.col(cluster) != NOISE))
     sizes = assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("num_records"))
-    texts = assigned.filter(F.col(text_column).isNotNull()).select(cluster, id_column, text_column)
-    if max_texts is not None:
-        texts = top_n_per_group(texts, [cluster], [F.col(id_column)], max_texts, [id_column])
+    texts = assigned.filter(F.col(text_column).isNotNull()).select(cluster, text_column)
     tokens = F.filter(
         F.split(F.lower(F.col(text_column)), f"{SPACE}+"), lambda t: F.char_length(t) >= min_length
     )
@@ -232,6 +182,5 @@ def label_clusters(
 
 
 __all__ = [
-    "NOISE", "cluster_quality", "density_clusters", "exact_silhouette", "kmeans_clusters",
-    "label_clusters", "reduce_dimensions",
+    "NOISE", "cluster_quality", "density_clusters", "kmeans_clusters", "label_clusters", "reduce_dimensions",
 ]

@@ -1,5 +1,13 @@
 """The default behaviour taxonomy: plain data, replaceable by a file or a table."""
 
+# What a label means, as shown to zero-shot models.
+DEFAULT_DESCRIPTIONS = {
+    "tool_mode": "User treats AI as software or a utility for task execution.",
+    "assistant_mode": "User asks for guidance, explanation, tutoring, or practical help.",
+    "collaborator_mode": "User treats AI as a co-creator, brainstorming partner, or writing collaborator.",
+    "companion_mode": "User treats AI as a social presence, listener, or source of reassurance.",
+    "therapist_surrogate_mode": "User seeks emotionally vulnerable or therapy-like support from AI.",
+}
 # Section -> label -> keywords, in their natural order.
 DEFAULT_KEYWORDS = {
     "interaction_modes": {

@@ -185,7 +185,10 @@ def length_turn_fit(statistics: DataFrame) -> DataFrame:
 def category_shares(
     df: DataFrame, period: str, category: str, categories: list[str], combined: dict[str, list[str]] | None = None
 ) -> DataFrame:
-    """Share (%) of each category per period, wide, with optional sums of several categories."""
+    """Share (%) of the given categories per period, wide, with optional sums of several categories.
+
+    Other categories count in the total only; :func:`category_share_table` lists them all.
+    """
     counts = df.filter(F.col(period).isNotNull() & F.col(category).isNotNull()).groupBy(period).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count_if(F.col(category) == c).alias(f"_c{i}") for i, c in enumerate(categories)],
@@ -199,6 +202,17 @@ def category_shares(
     return counts.select(period, *[share.alias(name) for name, share in shares.items()])
 
 
+def category_share_table(df: DataFrame, period: str, category: str) -> DataFrame:
+    """``period, category, num_records, share_pct`` for every category found in the data."""
+    counts = df.filter(F.col(period).isNotNull() & F.col(category).isNotNull()).groupBy(period, category).agg(
+        F.count(F.lit(1)).alias("num_records")
+    )
+    totals = counts.groupBy(period).agg(F.sum("num_records").alias("_all"))
+    return counts.join(totals, period).select(
+        period, category, "num_records", (F.col("num_records") / F.col("_all") * 100).alias("share_pct")
+    )
+
+
 def word_frequencies(df: DataFrame, text_column: str, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """``word, n`` over the cleaned content tokens of all texts."""
     tokens = content_tokens(clean_text(F.col(text_column)), stopwords)
@@ -226,22 +240,36 @@ def top_ngrams(
 
 
 def lexicon_sentiment(
-    df: DataFrame, lexicon: DataFrame, text_column: str, id_column: str, alpha: float = 15.0
+    df: DataFrame, lexicon: DataFrame, text_column: str, id_column: str, alpha: float = 15.0, salts: int = 16
 ) -> DataFrame:
     """Token-level sentiment from a ``term, valence`` table: shares and a bounded compound score.
 
-    Texts without tokens are neutral. The lexicon joins on the token; all counts of one text are
-    combined before the shuffle by id.
+    Texts without tokens are neutral. Tokens are folded to counted terms inside each text, so that a
+    text brings a common term to the join once, however often it holds it; a term is salted by its
+    text, and the lexicon repeated for each salt, so that no term is one task's. The number of tokens
+    comes along with one row per text, the empty term.
     """
     cleaned = select_once(df, [id_column], {"_clean": clean_text(F.col(text_column))})
-    tokens = explode_once(cleaned, [id_column], words(F.col("_clean")), "term", outer=True)
-    valued = tokens.join(lexicon.select("term", "valence"), "term", "left")
-    valence = F.coalesce("valence", F.lit(0.0))
+    tokens = F.coalesce(words(F.col("_clean")), F.array().cast("array<string>"))
+    ordered = select_once(cleaned, [id_column], {"_ordered": F.array_sort(tokens)})
+    at = F.transform("_ordered", lambda t, i: F.struct(t.alias("term"), i.alias("i")))
+    ends = F.filter(at, lambda e: ~F.coalesce(F.get(F.col("_ordered"), e["i"] + 1) == e["term"], F.lit(False)))
+    held = select_once(ordered, [id_column], {"_ends": ends, "_size": F.size("_ordered")})
+    runs = F.transform("_ends", lambda e, k: F.struct(
+        e["term"].alias("term"), (e["i"] - F.coalesce(F.get(F.col("_ends"), k - 1)["i"], F.lit(-1))).alias("n")
+    ))
+    counted = F.concat(runs, F.array(F.struct(F.lit("").alias("term"), F.col("_size").alias("n"))))
+    terms = explode_once(held, [id_column], counted, "_t").select(
+        id_column, "_t.term", "_t.n", F.pmod(F.xxhash64(id_column), F.lit(salts)).alias("_salt")
+    )
+    repeated = lexicon.filter("term != ''").select("term", "valence", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    valued = terms.join(repeated.withColumn("_salt", F.col("_salt").cast("long")), ["term", "_salt"], "left")
+    valence, n = F.coalesce("valence", F.lit(0.0)), F.col("n")
     sums = valued.groupBy(id_column).agg(
-        F.count("term").alias("_n"),
-        F.count_if(valence > 0).alias("_pos"),
-        F.count_if(valence < 0).alias("_neg"),
-        F.sum(valence).alias("_s"),
+        F.sum(F.when(F.col("term") == "", n).otherwise(0)).alias("_n"),
+        F.sum(F.when(valence > 0, n).otherwise(0)).alias("_pos"),
+        F.sum(F.when(valence < 0, n).otherwise(0)).alias("_neg"),
+        F.sum(valence * n).alias("_s"),
     )
     total = F.col("_s")
     return sums.select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.planning import select_once
 from colloquy.functions.text import SPACE, WORD, WORD_END, WORD_START, text_or_empty
-from colloquy.operators.default_taxonomy import DEFAULT_KEYWORDS
+from colloquy.operators.default_taxonomy import DEFAULT_DESCRIPTIONS, DEFAULT_KEYWORDS
 
 SECTIONS = ("interaction_modes", "cognitive_outsourcing", "emotional_signals", "composite_signals")
 
@@ -57,6 +57,9 @@ def build_taxonomy(mapping: object) -> Taxonomy:
             keywords = payload.get("keywords")
             if not isinstance(keywords, (list, tuple)) or not keywords:
                 raise ValueError(f"label {section}.{name} has no keywords")
+            plain = [normalize_keyword(str(k)) for k in keywords]
+            if len(set(plain)) < len(plain):
+                raise ValueError(f"label {section}.{name} repeats a keyword")
             frozen.append(Label(name, tuple(map(str, keywords)), payload.get("description")))
         taxonomy[section] = tuple(frozen)
     return taxonomy
@@ -64,7 +67,13 @@ def build_taxonomy(mapping: object) -> Taxonomy:
 
 def default_taxonomy() -> Taxonomy:
     return build_taxonomy(
-        {s: {n: {"keywords": k} for n, k in labels.items()} for s, labels in DEFAULT_KEYWORDS.items()}
+        {
+            section: {
+                name: {"keywords": keywords, "description": DEFAULT_DESCRIPTIONS.get(name)}
+                for name, keywords in labels.items()
+            }
+            for section, labels in DEFAULT_KEYWORDS.items()
+        }
     )
 
 

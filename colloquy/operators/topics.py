@@ -146,14 +146,14 @@ def tfidf_features(
 def lda_sweep(
     features: DataFrame, ks: tuple[int, ...] = (5, 8, 10, 12, 15), max_iter: int = 50, seed: int = 42
 ) -> tuple[DataFrame, LDAModel]:
-    """Fit LDA per ``k``; returns ``k, log_likelihood, log_perplexity, is_best`` and the best model.
+    """Fit LDA per ``k``, all rows in every iteration; returns ``k, log_likelihood, log_perplexity, is_best`` and the best model.
 
     Every fit passes over the vectors many times, so they are written out once.
     """
     fitted = []
     stored = written_table(features.select("features"), "lda-features")
     for k in ks:
-        model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features", optimizer="online").fit(stored)
+        model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features", optimizer="online", subsamplingRate=1.0).fit(stored)
         fitted.append((k, model.logLikelihood(stored), model.logPerplexity(stored), model))
     best = min(fitted, key=lambda row: row[2])
     table = features.sparkSession.createDataFrame(

@@ -130,31 +130,33 @@ def mann_kendall(series: DataFrame, period: str, value: str, strata: list[str] |
 def chi_square_independence(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """Pearson's χ² for two categorical columns; Yates' correction with one degree of freedom.
 
-    Every row × column cell counts, the empty ones too. Cells are laid out from the margins, which
-    hold one entry per category.
+    Only observed cells are laid out: the expected counts of all cells sum to the number of records, so
+    the empty ones add what the observed ones leave of it. In a 2 × 2 table every cell deviates from its
+    expectation by the same d, so the corrected statistic is the plain one times ((d − min(½, d)) / d)².
     """
     observed = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(
         F.col(rows).cast("string").alias("_r"), F.col(columns).cast("string").alias("_c")
     ).agg(F.count(F.lit(1)).alias("_o"))
-    column_margin = observed.groupBy("_c").agg(F.sum("_o").alias("_ct"))
-    column_list = column_margin.agg(F.collect_list(F.struct("_c", "_ct"))).scalar()
     row_margin = observed.groupBy("_r").agg(F.sum("_o").alias("_rt"))
-    cells = row_margin.select("_r", "_rt", F.explode(column_list).alias("_m")).select(
-        "_r", "_rt", "_m._c", "_m._ct"
-    )
-    filled = cells.join(observed, ["_r", "_c"], "left").withColumn("_o", F.coalesce("_o", F.lit(0)))
+    column_margin = observed.groupBy("_c").agg(F.sum("_o").alias("_ct"))
     total = observed.agg(F.sum("_o").cast("double")).scalar()
-    spread = filled.withColumn("_e", F.col("_rt") * F.col("_ct") / total).withColumn(
-        "_d", F.abs(F.col("_o") - F.col("_e"))
+    cells = observed.join(row_margin, "_r").join(column_margin, "_c").withColumn(
+        "_e", F.col("_rt") * F.col("_ct") / total
     )
-    corrected = F.col("_d") - F.least(F.lit(0.5), F.col("_d"))
-    sums = spread.agg(
-        F.sum(F.col("_d") * F.col("_d") / F.col("_e")).alias("_plain"),
-        F.sum(corrected * corrected / F.col("_e")).alias("_yates"),
+    gap = F.col("_o") - F.col("_e")
+    sums = cells.agg(
+        F.sum(gap * gap / F.col("_e")).alias("_seen"),
+        F.sum("_e").alias("_expected"),
+        F.max(F.abs(gap)).alias("_gap"),
+        F.count(F.lit(1)).alias("_cells"),
         F.sum("_o").cast("long").alias("num_records"),
-        ((F.count_distinct("_r") - 1) * (F.count_distinct("_c") - 1)).alias("dof"),
-    )
-    statistic = F.when(F.col("dof") == 1, F.col("_yates")).otherwise(F.col("_plain"))
+        F.count_distinct("_r").alias("_rows"),
+        F.count_distinct("_c").alias("_columns"),
+    ).withColumn("dof", (F.col("_rows") - 1) * (F.col("_columns") - 1))
+    unseen = F.greatest(F.col("num_records") - F.col("_expected"), F.lit(0.0))
+    plain = F.col("_seen") + F.when(F.col("_cells") < F.col("_rows") * F.col("_columns"), unseen).otherwise(0.0)
+    shrink = F.coalesce(F.try_divide(F.col("_gap") - F.least(F.lit(0.5), F.col("_gap")), F.col("_gap")), F.lit(0.0))
+    statistic = F.when(F.col("dof") == 1, plain * shrink * shrink).otherwise(plain)
     scored = sums.withColumn("chi_square", statistic)
     p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(
         chi_square_tail_p(F.col("chi_square"), F.col("dof"))

@@ -75,13 +75,11 @@ def run_clustering(
         path = f"{folder}/assignments_{name}.parquet"
         write_dataset(assigned, path)
         written = read_dataset(spark, path)
-        exact = clusters.exact_silhouette(written, "reduced") if settings.sample_size else None
         row = clusters.cluster_quality(written, "reduced").withColumn("method", F.lit(name))
-        row = row.withColumn("silhouette", exact.scalar() if exact is not None else F.lit(None).cast("double"))
         quality = row if quality is None else quality.unionByName(row)
         if name == "density":
             write_dataset(
-                clusters.label_clusters(written, text_column, id_column=id_column),
+                clusters.label_clusters(written, text_column),
                 f"{folder}/cluster_labels.parquet",
             )
     write_dataset(quality, f"{folder}/cluster_quality.parquet")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 JSON_LINES = (".jsonl", ".ndjson")
 SUPPORTED = (".csv", ".json", ".jsonl", ".ndjson", ".parquet")
 SPLITS = ("train", "validation", "test")
+CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
 def suffix_of(path: str) -> str:
@@ -24,18 +25,41 @@ def _check_suffix(path: str, direction: str) -> str:
     return suffix
 
 
-def read_dataset(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read CSV, JSON array, JSON lines or Parquet; pass ``schema`` to skip inference on large text."""
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.MapType, T.ArrayType, T.StructType))
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None, multi_line: bool) -> DataFrame:
+    """CSV with a header; nested columns of a given schema are read from their JSON text."""
+    options = {
+        "header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "timestampFormat": CSV_TIMESTAMP,
+    }
+    if schema is None:
+        return spark.read.csv(path, inferSchema=True, **options)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    flat = T.StructType([T.StructField(f.name, T.StringType() if _nested(f.dataType) else f.dataType) for f in wanted])
+    rows = spark.read.schema(flat).csv(path, **options)
+    return rows.select(*[
+        (F.from_json(F.col(f"`{f.name}`"), f.dataType) if _nested(f.dataType) else F.col(f"`{f.name}`")).alias(f.name)
+        for f in wanted
+    ])
+
+
+def read_dataset(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Read CSV, JSON array, JSON lines or Parquet; pass ``schema`` to skip inference on large text.
+
+    A CSV value or a JSON array may span lines, so these files are read by one task each. With
+    ``multi_line=False`` they are split like any other: one record a line. Parquet and JSON lines
+    always are.
+    """
     suffix = _check_suffix(path, "cannot read")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if suffix == ".csv":
-        infer = schema is None
-        return reader.csv(
-            path, header=True, multiLine=True, quote='"', escape='"', inferSchema=infer,
-            timestampFormat="yyyy-MM-dd HH:mm:ss",
-        )
+        return _read_csv(spark, path, schema, multi_line)
     if suffix == ".json":
-        return reader.json(path, multiLine=True)
+        return reader.json(path, multiLine=multi_line)
     if suffix in JSON_LINES:
         return reader.json(path)
     return reader.parquet(path)
@@ -51,11 +75,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write in the format the suffix names. The output is a folder of part files."""
+    """Write in the format the suffix names. The output is a folder of part files.
+
+    CSV holds maps, arrays and structs as JSON text. Empty text is quoted, so that it stays apart from a
+    missing value.
+    """
     suffix = _check_suffix(path, "cannot write")
     writer = df.write.mode(mode)
     if suffix == ".csv":
-        writer.csv(path, header=True, quote='"', escape='"')
+        flat = df.select(*[
+            (F.to_json(F.col(f"`{f.name}`")) if _nested(f.dataType) else F.col(f"`{f.name}`")).alias(f.name)
+            for f in df.schema
+        ])
+        flat.write.mode(mode).csv(path, header=True, quote='"', escape='"', timestampFormat=CSV_TIMESTAMP)
     elif suffix == ".parquet":
         writer.parquet(path)
     else:

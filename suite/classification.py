@@ -274,22 +274,36 @@ def _(spark, folder):
 
 
 def overlap_predictor(candidates):
-    """Stand-in zero-shot model: the candidate at the text length modulo the number of candidates."""
+    """Stand-in zero-shot model: the candidate at the text length modulo the number of candidates.
+
+    Its score is taken from the words the candidate is shown with: (length + last word's length) / 200.
+    """
     def predict(texts):
-        return [[(candidates[len(value) % len(candidates)], 0.5 + (len(value) % 2) / 4)] for value in texts]
+        found = []
+        for value in texts:
+            shown = candidates[len(value) % len(candidates)]
+            found.append([(shown, (len(shown) + len(shown.split(" ")[-1])) / 200)])
+        return found
 
     return predict
 
 
 @register(
     "model_behavior",
-    """WITH modes(i, l) AS (VALUES (0, 'tool_mode'), (1, 'assistant_mode'), (2, 'collaborator_mode'), (3, 'companion_mode'), (4, 'therapist_surrogate_mode')),
+    """WITH modes(i, l, d) AS (VALUES (0, 'tool_mode', 'User treats AI as software or a utility for task execution.'),
+         (1, 'assistant_mode', 'User asks for guidance, explanation, tutoring, or practical help.'),
+         (2, 'collaborator_mode', 'User treats AI as a co-creator, brainstorming partner, or writing collaborator.'),
+         (3, 'companion_mode', 'User treats AI as a social presence, listener, or source of reassurance.'),
+         (4, 'therapist_surrogate_mode', 'User seeks emotionally vulnerable or therapy-like support from AI.')),
        tasks(i, l) AS (VALUES (0, 'writing'), (1, 'coding'), (2, 'studying'), (3, 'decision_making'), (4, 'relationship_advice'),
-                              (5, 'creative_ideation'), (6, 'life_planning'), (7, 'memory'), (8, 'emotional_regulation'))
-       SELECT doc_id, m.l AS transformer_interaction_mode, 0.5 + (length(text) % 2) / 4 AS transformer_interaction_score,
-              t.l AS transformer_cognitive_outsourcing_type, 0.5 + (length(text) % 2) / 4 AS transformer_cognitive_outsourcing_score,
+                              (5, 'creative_ideation'), (6, 'life_planning'), (7, 'memory'), (8, 'emotional_regulation')),
+       shown AS (SELECT i, l, replace(l, '_', ' ') || ': ' || d AS s FROM modes),
+       named AS (SELECT i, l, replace(l, '_', ' ') || ': ' || replace(l, '_', ' ') AS s FROM tasks)
+       SELECT doc_id, m.l AS transformer_interaction_mode, (length(m.s) + length(string_split(m.s, ' ')[-1])) / 200 AS transformer_interaction_score,
+              t.l AS transformer_cognitive_outsourcing_type,
+              (length(t.s) + length(string_split(t.s, ' ')[-1])) / 200 AS transformer_cognitive_outsourcing_score,
               'length-rule' AS transformer_behavior_model
-       FROM documents JOIN modes m ON m.i = length(text) % 5 JOIN tasks t ON t.i = length(text) % 9""",
+       FROM documents JOIN shown m ON m.i = length(text) % 5 JOIN named t ON t.i = length(text) % 9""",
     ("transformer_interaction_score", "transformer_cognitive_outsourcing_score"),
 )
 def _(spark, folder):

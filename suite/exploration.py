@@ -228,6 +228,17 @@ def _(spark, folder):
     return _shares(spark, folder)
 
 
+@register(
+    "category_share_table",
+    """SELECT strftime(ts, '%Y-%m-%d') AS "day", event_type, count(*) AS num_records,
+              count(*) / sum(count(*)) OVER (PARTITION BY strftime(ts, '%Y-%m-%d')) * 100 AS share_pct FROM events GROUP BY 1, 2""",
+    ("share_pct",),
+)
+def _(spark, folder):
+    events = table(spark, folder, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+    return exploratory.category_share_table(events, "day", "event_type")
+
+
 @register(
     "category_share_trends",
     f"""WITH {SHARES}, {regression_sql(unpivot_sql('shares', '"day"', ('click', 'view')))}
@@ -333,7 +344,7 @@ def _(spark, folder):
     return kept.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("num_records"))
 
 
-# The lexicon is derived from the data: words by how often they close a line decide their valence.
+# The lexicon is derived from the data: the words that close a line, their valence by the parity of their length.
 LEXICON_SQL = f"""ends AS (SELECT word, count(*) AS n FROM (SELECT string_split(c, ' ')[-1] AS word FROM cleaned WHERE c <> '') AS t GROUP BY word),
   lexicon AS (SELECT word AS term, CASE WHEN length(word) % 2 = 0 THEN 1.0 ELSE -1.5 END AS valence FROM ends)"""
 SENTIMENT_SQL = f"""{TOKENS}, {LEXICON_SQL},

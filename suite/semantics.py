@@ -152,12 +152,11 @@ def _(spark, folder):
 SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+"
 
 
-def _cluster_labels_sql(first: int | None) -> str:
-    head = f"WHERE pos <= {first}" if first else ""
+def _cluster_labels_sql() -> str:
     return rf"""WITH docs AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS pos
       FROM (SELECT doc_id, text, CASE WHEN lang = 'es' THEN -1 WHEN lang = 'en' THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END AS cluster FROM documents) AS c
       WHERE cluster <> -1),
-    tokens AS (SELECT cluster, unnest(regexp_split_to_array(lower(text), '{SPACES}')) AS token FROM docs {head}),
+    tokens AS (SELECT cluster, unnest(regexp_split_to_array(lower(text), '{SPACES}')) AS token FROM docs),
     counts AS (SELECT cluster, token, count(*) AS n FROM tokens WHERE length(token) > 3 GROUP BY ALL),
     best AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, token) AS rk FROM counts)
     SELECT cluster, (SELECT count(*) FROM docs d WHERE d.cluster = best.cluster) AS num_records,
@@ -172,9 +171,9 @@ def _language_clusters(spark, folder):
     return text_table(spark, folder, "documents").select("doc_id", "text", code.alias("cluster"))
 
 
-@register("cluster_labels", _cluster_labels_sql(None))
+@register("cluster_labels", _cluster_labels_sql())
 def _(spark, folder):
-    return clusters.label_clusters(_language_clusters(spark, folder), "text", id_column="doc_id", max_texts=None)
+    return clusters.label_clusters(_language_clusters(spark, folder), "text")
 
 
 STOPWORDS = ("the", "and", "of", "to", "der", "die", "und", "les", "des")

@@ -68,9 +68,6 @@ def test_cluster_quality_of_noise(spark):
     row = clusters.cluster_quality(df).first()
     assert (row.num_records, row.num_clusters) == (3, 1) and row.noise_fraction == pytest.approx(1 / 3)
     assert row.davies_bouldin is None and row.calinski_harabasz is None and row.silhouette_squared_euclidean is None
-    assert clusters.exact_silhouette(df).first()[0] is None
-    with pytest.raises(ValueError):
-        clusters.exact_silhouette(df, max_bytes=8)
 
 
 def test_cluster_labels(spark):
@@ -120,7 +117,7 @@ def test_semantic_runs(spark, tmp_path):
     assert found.first().similarity == pytest.approx(1.0, abs=1e-6)
     quality = run_clustering(spark, vectors_path, str(tmp_path / "c"), ClusterSettings(150, 5, 6, 0.99, (3,))).collect()
     assert {r.method for r in quality} == {"density", "kmeans_3"} and all(r.num_records == 150 for r in quality)
-    assert all(-1 <= r.silhouette <= 1 for r in quality)
+    assert all(-1 <= r.silhouette_squared_euclidean <= 1 for r in quality)
     stats = run_topics(spark, vectors_path, str(tmp_path / "t"), min_topic_size=5, k=6).first()
     assert stats.num_documents == 200 and 0 <= stats.topic_diversity <= 1
 
