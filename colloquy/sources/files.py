@@ -77,8 +77,8 @@ def spread(df: DataFrame) -> DataFrame:
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write in the format the suffix names. The output is a folder of part files.
 
-    CSV holds maps, arrays and structs as JSON text. Empty text is quoted, so that it stays apart from a
-    missing value.
+    CSV holds maps, arrays and structs as JSON text. It cannot tell empty text from a missing value: both
+    are read as missing.
     """
     suffix = _check_suffix(path, "cannot write")
     writer = df.write.mode(mode)

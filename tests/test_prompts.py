@@ -53,6 +53,19 @@ def test_limits(spark):
     assert extract_user_prompts(df, "s", sample_size=0).count() == 3
 
 
+def test_nested_columns_through_csv(spark, tmp_path):
+    schema = "k int, m map<string,double>, l array<string>, s struct<a:int,b:string>, t string"
+    rows = [(1, {"joy": 0.5}, ["a", 'b "q"'], (3, "x,y"), ""), (2, None, None, None, None), (3, {}, [], (None, None), "two\nlines")]
+    df = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "nested.csv")
+    write_dataset(df, path)
+    wanted = df.withColumn("t", F.nullif("t", F.lit(""))).orderBy("k").collect()
+    assert read_dataset(spark, path, schema).orderBy("k").collect() == wanted
+    flat = df.filter("k < 3")
+    write_dataset(flat, path)
+    assert read_dataset(spark, path, schema, multi_line=False).orderBy("k").collect() == wanted[:2]
+
+
 def test_long_conversations_are_numbered_over_blocks(spark):
     messages = spark.range(100).select(
         F.lit(1).alias("conv_id"), F.col("id").alias("turn"),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import clusters, drift, embeddings, exploratory, sampling, topics
+from colloquy.operators import clusters, drift, embeddings, exploratory, sampling, topics, trendtests
 from colloquy.plans.semantics import run_clustering, run_embeddings, run_topics, search
 from colloquy.settings import ClusterSettings
 
@@ -138,6 +138,35 @@ def test_sentiment_of_empty_text(spark):
     assert rows[2].sentiment_neutral == 1.0 and rows[2].sentiment_compound == 0.0
 
 
+def test_sentiment_counts_repeated_terms_and_missing_texts(spark):
+    df = spark.createDataFrame([(1, "bad good x bad good good"), (2, None), (3, "x x")], "id int, t string")
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0), ("", 9.0)], "term string, valence double")
+    rows = {r.id: r for r in exploratory.lexicon_sentiment(df, lexicon, "t", "id").collect()}
+    assert rows[1].sentiment_positive == pytest.approx(3 / 6) and rows[1].sentiment_negative == pytest.approx(2 / 6)
+    assert rows[1].sentiment_compound == pytest.approx(4 / math.sqrt(31))
+    assert rows[2].sentiment_neutral == rows[3].sentiment_neutral == 1.0
+
+
+def test_shares_of_all_categories(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "x"), ("b", "z"), ("b", None)], "p string, c string")
+    rows = {(r.p, r.c): (r.num_records, r.share_pct) for r in exploratory.category_share_table(df, "p", "c").collect()}
+    assert rows[("b", "z")] == (1, 100.0) and rows[("a", "x")] == (2, pytest.approx(200 / 3)) and len(rows) == 3
+
+
+@pytest.mark.parametrize("cells", [{("a", "x"): 8, ("a", "y"): 2, ("b", "y"): 7}, {("a", "x"): 3, ("b", "y"): 4, ("c", "x"): 5, ("c", "z"): 6}])
+def test_chi_square_with_empty_cells(spark, cells):
+    df = spark.createDataFrame([pair for pair, n in cells.items() for _ in range(n)], "r string, c string")
+    names = [sorted({pair[k] for pair in cells}) for k in (0, 1)]
+    table = np.array([[cells.get((r, c), 0) for c in names[1]] for r in names[0]], dtype=float)
+    expected = table.sum(1)[:, None] * table.sum(0)[None, :] / table.sum()
+    gap = np.abs(table - expected)
+    if table.shape == (2, 2):
+        gap = gap - np.minimum(0.5, gap)
+    row = trendtests.chi_square_independence(df, "r", "c").first()
+    assert row.chi_square == pytest.approx((gap**2 / expected).sum()) and row.num_records == table.sum()
+    assert row.dof == (table.shape[0] - 1) * (table.shape[1] - 1)
+
+
 def test_every_query_is_registered_with_its_columns(spark):
     from __spark_entry__ import entry, oracle_sql, queries
 
