@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 16
+HASH_DIGITS = 15
 
 
 def exact_sample(df: DataFrame, id_column: str, n: int | None, seed: int = 42) -> DataFrame:
@@ -18,8 +19,9 @@ def exact_sample(df: DataFrame, id_column: str, n: int | None, seed: int = 42) -
     """
     if n is None:
         return df
-    hashed = F.xxhash64(F.lit(seed), F.col(id_column))
-    bucket = F.shiftright(hashed, 64 - BUCKET_BITS)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")).cast("binary"))
+    hashed = F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")
+    bucket = F.shiftright(hashed, 4 * HASH_DIGITS - BUCKET_BITS)
     cumulative = (
         df.groupBy(bucket.alias("_bucket"))
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -27,6 +29,6 @@ def exact_sample(df: DataFrame, id_column: str, n: int | None, seed: int = 42) -
     )
     last = cumulative.filter(F.col("_upto") >= n).agg(F.min("_bucket")).scalar()
     near = df.withColumn("_hash", hashed).filter(
-        bucket <= F.coalesce(last, F.lit(2 ** (BUCKET_BITS - 1)))
+        bucket <= F.coalesce(last, F.lit(2**BUCKET_BITS))
     )
     return near.orderBy("_hash", id_column).limit(int(n)).drop("_hash")

@@ -75,16 +75,11 @@ def _(spark, folder):
     return extract_user_prompts(records, "documents", number_records=False)
 
 
-@register(
-    "extract_limited",
-    rf"""SELECT * FROM ({NESTED_SQL.replace("'doc_' || doc_id", "'conversation_' || doc_id")}) AS t
-         WHERE CAST(substr(conversation_id, 14) AS BIGINT) < 40
-         ORDER BY CAST(substr(conversation_id, 14) AS BIGINT), turn_index LIMIT 150""",
-)
+@register("extract_numbered", NESTED_SQL.replace("'doc_' || doc_id", "'conversation_' || doc_id"))
 def _(spark, folder):
-    """Records without an id, numbered by position, with both development limits."""
+    """Records without an id, numbered by position."""
     records = _nested(table(spark, folder, "documents")).drop("conversation_id")
-    return extract_user_prompts(records, "documents", max_conversations=40, sample_size=150)
+    return extract_user_prompts(records, "documents")
 
 
 @register("stream_extract", NESTED_SQL)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.arrays import doubles
 from colloquy.operators import clusters, drift, embeddings, sampling, topics
+from suite.exploration import CLEAN
 from suite.inputs import table, text_table
 from suite.registry import register
 
@@ -75,9 +77,13 @@ def _(spark, folder):
     return embeddings.cosine_top_k(vectors, query, 10, "vec_id").select("vec_id", "label", "similarity")
 
 
-@register("embed_documents")
+@register(
+    "embed_documents",
+    f"""SELECT doc_id, 256 AS dimensions, CASE WHEN {CLEAN} = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS squared_length FROM documents""",
+    ("squared_length",), digits=5,
+)
 def _(spark, folder):
-    """The built-in encoder over all documents."""
+    """The built-in encoder over all documents: unit vectors, zero where a text has no word."""
     docs = text_table(spark, folder, "documents").select("doc_id", "text")
     return embeddings.embed_prompts(docs, "text", "doc_id").select(
         "doc_id", F.size("embedding").alias("dimensions"),
@@ -101,11 +107,13 @@ def _(spark, folder):
     return embeddings.compare_encoders(docs, {"hashed_tfidf": None}, "text", "doc_id")
 
 
-@register("exact_sample", "SELECT count(*) AS num_records, count(DISTINCT event_id) AS distinct_ids FROM (SELECT event_id FROM events LIMIT 5000) AS s")
+@register(
+    "exact_sample",
+    "SELECT event_id, event_type FROM events ORDER BY substr(md5('42:' || event_id), 1, 15), event_id LIMIT 5000",
+)
 def _(spark, folder):
-    """A deterministic sample has the exact size asked for, without repeats."""
-    sample = sampling.exact_sample(table(spark, folder, "events"), "event_id", 5000)
-    return sample.agg(F.count(F.lit(1)).alias("num_records"), F.count_distinct("event_id").alias("distinct_ids"))
+    """A deterministic sample has the exact size asked for, and the same members in both engines."""
+    return sampling.exact_sample(table(spark, folder, "events"), "event_id", 5000).select("event_id", "event_type")
 
 
 QUALITY = f"""{LONG}, members AS (SELECT * FROM long WHERE label <> 3),
@@ -243,31 +251,51 @@ def _(spark, folder):
     return topics.class_tfidf(_language_topics(spark, folder), "text", stopwords=STOPWORDS)
 
 
-@register("pca_reduce")
+@register("pca_reduce", "SELECT count(*) AS num_records, 2 AS dimensions, TRUE AS largest_first FROM embeddings")
 def _(spark, folder):
-    reduced = clusters.reduce_dimensions(_vectors(spark, folder))
-    return reduced.select("vec_id", F.get("reduced", F.lit(0)).alias("x"), F.get("reduced", F.lit(1)).alias("y"))
+    """All rows get two components, the first with the larger variance."""
+    reduced = clusters.reduce_dimensions(_vectors(spark, folder)).select("reduced")
+    x, y = F.get("reduced", F.lit(0)), F.get("reduced", F.lit(1))
+    return reduced.agg(
+        F.count("reduced").alias("num_records"), F.max(F.size("reduced")).alias("dimensions"),
+        (F.var_samp(x) >= F.var_samp(y)).alias("largest_first"),
+    )
+
+
+def _membership(assigned, cluster: str, k: int):
+    """Rows assigned to one of ``k`` clusters or to noise, and whether every number is in bounds."""
+    return assigned.agg(
+        F.lit(k).alias("k"), F.count(cluster).alias("num_records"), F.count_distinct("_id").alias("num_ids"),
+        F.bool_and(F.col(cluster).between(-1, k - 1)).alias("in_bounds"),
+    )
 
 
-@register("kmeans_clusters")
+def _membership_sql(rows: str, key: str, *ks: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {k} AS k, count(*) AS num_records, count(DISTINCT {key}) AS num_ids, TRUE AS in_bounds FROM {rows}" for k in ks
+    )
+
+
+@register("kmeans_clusters", _membership_sql("embeddings", "vec_id", 20, 50))
 def _(spark, folder):
-    assigned = clusters.kmeans_clusters(_vectors(spark, folder), 20)
-    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("num_records"))
+    """Both numbers of clusters, every row assigned once."""
+    vectors = _vectors(spark, folder).withColumn("_id", F.col("vec_id"))
+    few, many = (_membership(clusters.kmeans_clusters(vectors, k), "cluster", k) for k in (20, 50))
+    return few.unionByName(many)
 
 
-@register("density_clusters")
+@register("density_clusters", _membership_sql("embeddings", "vec_id", 50))
 def _(spark, folder):
-    reduced = clusters.reduce_dimensions(_vectors(spark, folder))
-    assigned = clusters.density_clusters(reduced, "reduced", k=20, min_cluster_size=10)
-    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("num_records"))
+    reduced = clusters.reduce_dimensions(_vectors(spark, folder).withColumn("_id", F.col("vec_id")))
+    return _membership(clusters.density_clusters(reduced, "reduced"), "cluster", 50)
 
 
-@register("topic_assignment")
+@register("topic_assignment", _membership_sql("documents", "doc_id", 50))
 def _(spark, folder):
     """Built-in encoder, then dense clusters as topics."""
     docs = text_table(spark, folder, "documents").select("doc_id", "text")
-    vectors = embeddings.embed_prompts(docs, "text", "doc_id", dimensions=128)
-    return topics.topic_sizes(topics.assign_topics(vectors, min_topic_size=10, k=12))
+    vectors = embeddings.embed_prompts(docs, "text", "doc_id").withColumn("_id", F.col("doc_id"))
+    return _membership(topics.assign_topics(vectors), "topic", 50)
 
 
 def _lda_input(spark, folder):
@@ -275,21 +303,44 @@ def _lda_input(spark, folder):
     return topics.tfidf_features(docs, "text", stopwords=STOPWORDS)
 
 
-@register("lda_sweep")
+@register(
+    "lda_sweep",
+    "SELECT unnest([5, 8, 10, 12, 15]) AS k, TRUE AS best_is_lowest, 1 AS num_best",
+)
 def _(spark, folder):
+    """One model is the best of the sweep, the one with the lowest perplexity."""
     features, _ = _lda_input(spark, folder)
-    return topics.lda_sweep(features, ks=(5, 8), max_iter=10)[0]
+    swept = topics.lda_sweep(features)[0]
+    best = F.min_by("is_best", "log_perplexity").over(Window.partitionBy())
+    return swept.select("k", best.alias("best_is_lowest"), F.sum(F.col("is_best").cast("int")).over(Window.partitionBy()).cast("int").alias("num_best"))
 
 
-@register("lda_topics")
+@register("lda_topics", "SELECT TRUE AS topics_in_sweep, 15 AS min_terms, 15 AS max_terms, TRUE AS heaviest_first")
 def _(spark, folder):
+    """Fifteen terms for every topic of the best model, the heaviest first."""
     features, vocabulary = _lda_input(spark, folder)
-    return topics.lda_topic_words(topics.lda_sweep(features, ks=(5,), max_iter=10)[1], vocabulary)
+    terms = topics.lda_topic_words(topics.lda_sweep(features)[1], vocabulary)
+    per_topic = terms.groupBy("topic").agg(
+        F.count("term").cast("int").alias("n"),
+        F.array_sort(F.collect_list(F.struct("rank", "weight"))).alias("_list"),
+    )
+    ordered = F.forall(F.arrays_zip(F.slice("_list.weight", 1, 14).alias("a"), F.slice("_list.weight", 2, 14).alias("b")), lambda p: p["a"] >= p["b"])
+    return per_topic.agg(
+        F.count(F.lit(1)).isin(5, 8, 10, 12, 15).alias("topics_in_sweep"), F.min("n").alias("min_terms"),
+        F.max("n").alias("max_terms"), F.bool_and(ordered).alias("heaviest_first"),
+    )
 
 
-@register("lda_categories")
+@register("lda_categories", "SELECT count(*) AS num_records, TRUE AS in_bounds, TRUE AS named FROM documents")
 def _(spark, folder):
+    """Every document has a dominant topic of the best model, and the category that goes with it."""
     features, _ = _lda_input(spark, folder)
-    model = topics.lda_sweep(features, ks=(5,), max_iter=10)[1]
-    named = topics.dominant_topic(model, features, {0: "Task-Based", 1: "Interpersonal", 2: "Intrapersonal"})
-    return named.groupBy("dominant_topic", "prompt_category").agg(F.count(F.lit(1)).alias("num_records"))
+    model = topics.lda_sweep(features)[1]
+    kinds = ("Task-Based", "Interpersonal", "Intrapersonal")
+    named = topics.dominant_topic(model, features, {k: kinds[k % 3] for k in range(model.getK())})
+    expected = F.get(F.array(*[F.lit(kind) for kind in kinds]), F.col("dominant_topic") % 3)
+    return named.agg(
+        F.count("dominant_topic").alias("num_records"),
+        F.bool_and(F.col("dominant_topic").between(0, model.getK() - 1)).alias("in_bounds"),
+        F.bool_and(F.col("prompt_category") == expected).alias("named"),
+    )
