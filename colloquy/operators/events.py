@@ -30,13 +30,29 @@ def _bounds(event: EventWindow) -> dict[str, tuple[date, date]]:
     }
 
 
+def in_range(
+    df: DataFrame, events: Sequence[EventWindow] = DEFAULT_EVENTS, timestamp: str = "timestamp"
+) -> DataFrame:
+    """The rows from the first window's start to the last one's end.
+
+    On raw rows it comes before classification, so that only rows of the range are classified, and
+    reaches the scan if the timestamp is a column of the table.
+    """
+    days = [day for event in events for span in _bounds(event).values() for day in span]
+    if not days:
+        return df.limit(0)
+    when = F.col(timestamp).cast("timestamp")
+    return df.filter((when >= _midnight(min(days))) & (when <= _midnight(max(days))))
+
+
 def event_windows(
     df: DataFrame, events: Sequence[EventWindow] = DEFAULT_EVENTS, timestamp: str = "timestamp"
 ) -> DataFrame:
     """``event, event_date, metric, before_value, after_value, difference``.
 
     A row is multiplied only by the windows that hold it. The overall time range reaches the scan
-    as a filter. A window without rows counts 0 everywhere.
+    as a filter where ``df`` is a stored table; cut raw rows by ``in_range`` before classifying them.
+    A window without rows counts 0 everywhere.
     """
     metrics = [m for m in EVENT_METRICS if m in df.columns]
     names = sorted(["num_records", *metrics])
@@ -47,7 +63,6 @@ def event_windows(
     if not events:
         empty = "event string, event_date string, metric string, before_value double, after_value double, difference double"
         return df.sparkSession.createDataFrame([], empty)
-    spans = [span for event in events for span in _bounds(event).values()]
     windows = F.array(
         *[
             F.struct(F.lit(e.name).alias("event"), F.lit(side).alias("side"),
@@ -58,7 +73,7 @@ def event_windows(
     when = F.col(timestamp).cast("timestamp")
     inside = F.filter(windows, lambda w: (F.col("_when") >= w["low"]) & (F.col("_when") <= w["high"]))
     rows = (
-        df.filter((when >= _midnight(min(s[0] for s in spans))) & (when <= _midnight(max(s[1] for s in spans))))
+        in_range(df, events, timestamp)
         .select(when.alias("_when"), *metrics)
         .select(F.explode(inside).alias("_w"), *metrics)
     )

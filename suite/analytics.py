@@ -211,7 +211,8 @@ def _event_sql() -> str:
 
 @register("event_windows", with_prompts(_event_sql()), ("before_value", "after_value", "difference"))
 def _(spark, folder):
-    return events.event_windows(inputs.classified_prompts(spark, folder))
+    raw = events.in_range(inputs.seeded_prompts(spark, folder))
+    return events.event_windows(inputs.classified(raw))
 
 
 FEATURES = archetypes.FEATURE_COLUMNS

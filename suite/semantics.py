@@ -113,7 +113,10 @@ def _(spark, folder):
 )
 def _(spark, folder):
     """A deterministic sample has the exact size asked for, and the same members in both engines."""
-    return sampling.exact_sample(table(spark, folder, "events"), "event_id", 5000).select("event_id", "event_type")
+    digest = F.md5(F.concat(F.lit("42:"), F.col("event_id").cast("string")).cast("binary"))
+    order = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    sample = sampling.exact_sample(table(spark, folder, "events"), "event_id", 5000, order=order)
+    return sample.select("event_id", "event_type")
 
 
 QUALITY = f"""{LONG}, members AS (SELECT * FROM long WHERE label <> 3),

@@ -150,6 +150,7 @@ def test_event_windows_bounds(spark):
     assert rows[("a", "num_records")].before_value == 2 and rows[("a", "num_records")].after_value == 2
     assert rows[("a", "dependency_score")].difference == pytest.approx(4.5 - 1.5)
     assert rows[("b", "dependency_score")].before_value == 0.0 and len(rows) == 4
+    assert events.in_range(df, [EventWindow("a", "2023-03-14")]).count() == 5 and events.in_range(df, []).count() == 0
 
 
 def test_run_writes_every_table(spark, classified, tmp_path):
