@@ -2,8 +2,9 @@
 
 A candidate is a long run of the characters that keys are written in. A window slides over it; one step
 counts one character in and one out, and only these two counts change the window's Shannon entropy.
-Windows over the limit of the candidate's character class make its span, unless the candidate is on the
-allow list: plain words, numbers, UUIDs and placeholders.
+What is on the allow list (plain words and numbers between separators, UUIDs and placeholders) is cut out
+of a candidate first. Windows over the limit of a piece's character class make its span. A plain word has
+15 letters or fewer, or is made of several capitalised ones; longer runs of letters are judged like others.
 
 Everything is built-in functions in one projection; nothing is shuffled. Runs are found whole, whatever
 their length, and each pattern is written so that no text makes it backtrack over a run.
@@ -30,11 +31,11 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 ASSIGN_MIN = 6
-# Strings that look like keys and are none.
+# Parts of a candidate that are no keys. Words and numbers stand between separators.
 ALLOWED = (
-    r"^[A-Za-z_/+=-]+$", r"^[0-9_/+=-]+$", r"^[a-z0-9_/=-]*[a-z]{8}[a-z0-9_/=-]*$",
-    r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
-    r"(?i)example|sample|placeholder|changeme|dummy|x{6}|0{8}|123456|abcdef",
+    r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])(?:[A-Z]?[a-z]{2,14}|[A-Z]{3,15}|(?:[a-z]{2,14})?(?:[A-Z][a-z]{2,14}+)++|[0-9]++)(?![A-Za-z0-9])"
+    r"|(?i:example|sample|placeholder|changeme|dummy|x{6,}+|0{8,}+|123456|abcdef)"
 )
 # Character classes, tried in order, with the least entropy in bits of a window that looks random.
 CLASSES = ((r"^[0-9a-fA-F]+$", 2.8), (r"^[A-Za-z0-9]+$", 3.5), (r"", 3.7))
@@ -97,7 +98,7 @@ def windows_over(value: Column, limit: Column, window: int = WINDOW) -> Column:
 
 
 def entropy_spans(text: Column, window: int = WINDOW) -> Column:
-    """Spans of the candidates that look random and are not on the allow list."""
+    """Spans of the candidates' pieces that look random, without what is on the allow list."""
 
     def judged(span: Column) -> Column:
         limit = F.lit(CLASSES[-1][1])
@@ -110,13 +111,20 @@ def entropy_spans(text: Column, window: int = WINDOW) -> Column:
             ),
         )
 
-    def suspicious(span: Column) -> Column:
-        allowed = span["value"].rlike(ALLOWED[0])
-        for pattern in ALLOWED[1:]:
-            allowed = allowed | span["value"].rlike(pattern)
-        return ~allowed
+    def pieces(span: Column) -> Column:
+        """What the allowed parts leave of a candidate, if a window fits in."""
 
-    found = F.filter(matches(text, CANDIDATE), suspicious)
+        def between(cuts: Column) -> Column:
+            def piece(k: Column) -> Column:
+                first = F.coalesce(F.get(cuts, k - 1)["end"], F.lit(0)).cast("int")
+                last = F.coalesce(F.get(cuts, k)["start"], F.length(span["value"])).cast("int")
+                return F.struct((span["start"] + first).alias("start"), F.substring(span["value"], first + 1, last - first).alias("value"))
+
+            return F.transform(F.sequence(F.lit(0), F.size(cuts)), piece)
+
+        return F.filter(let(matches(span["value"], ALLOWED), between), lambda p: F.length(p["value"]) >= window)
+
+    found = F.flatten(F.transform(matches(text, CANDIDATE), pieces))
     return F.filter(F.transform(found, judged), lambda s: s["start"].isNotNull())
 
 
