@@ -1,12 +1,12 @@
 """Phrase collocations, counted in HAT-tries.
 
 A task turns its words into numbers and counts phrases of up to three words in a trie over word numbers.
-Its upper levels are shallow: a first word leads to a hash container of all that follows it, and a
-container that outgrows its bound bursts into one container per second word. When a task holds more
-entries than its bound, the largest subtrees are spilled whole, each a run in the order of its phrases,
-and the rest stays. Spark deals the runs out by prefix, which is the first two words of a phrase, so that a
-word that begins a third of all phrases is spread over its successors; runs are merged, in each partition,
-by a sort and a sum. Copies of a phrase are folded in the task that meets them.
+The trie is shallow: its leaves are hash containers, each for a range of first words (of second words
+below a first word that has a container to itself). A container that outgrows its bound bursts into two, at
+a word's edge. When a task holds more entries than its bound, the largest subtrees are spilled whole, each
+as a run in the order of its first words, and the rest stays. Spark deals the runs out by prefix: the first
+word and a sixteenth of the second words, so that a word that begins a third of all phrases is spread over
+its successors. Each partition merges its sorted runs in one pass and passes on what is frequent.
 
 What follows concerns phrases above the frequency bound alone: the parts of such a phrase are as frequent,
 so one table of frequent phrases is joined with itself.
@@ -14,6 +14,7 @@ so one table of frequent phrases is joined with itself.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,11 @@ UNKNOWN = "und"
 MARK = b"\xff"  # in no UTF-8 text
 BITS = 21
 WORD_MASK = (1 << BITS) - 1
-TAIL_MASK = (1 << 2 * BITS) - 1
-MAX_ENTRIES = 1_000_000
-BURST = 8_192
-CHUNK_WORDS = 600_000
+EMPTY = -1
+MAX_ENTRIES = 1_500_000
+BURST = 1 << 17
+SLOTS = 16
+CHUNK_WORDS = 300_000
 CHUNK_BYTES = 1 << 20
 RUN_ROWS = 50_000
 _FOLD = bytes(MARK[0] if b in BREAKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -64,83 +66,103 @@ class WordIds(dict):
         return number
 
 
+class Container:
+    """A hash table with open addressing from packed phrases to counts; whole batches are added at once."""
+
+    def __init__(self, room: int) -> None:
+        self.bits = max(4, (2 * room - 1).bit_length())
+        self.keys = np.full(1 << self.bits, EMPTY, dtype=np.int64)
+        self.counts = np.zeros(1 << self.bits, dtype=np.int64)
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct keys with their counts."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            held, numbers = self.entries()
+            self.__init__(2 * (self.size + len(keys)))
+            self._put(held, numbers)
+        self._put(keys, counts)
+
+    def _put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        slots = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            found = self.keys[slots]
+            free = found == EMPTY
+            self.keys[slots[free]] = keys[free]  # of several that want a slot the last one has it
+            settled = self.keys[slots] == keys
+            self.size += int((settled & free).sum())
+            self.counts[slots[settled]] += counts[settled]
+            left = ~settled
+            keys, counts, slots = keys[left], counts[left], (slots[left] + 1) & (len(self.keys) - 1)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        used = np.flatnonzero(self.keys != EMPTY)
+        return self.keys[used], self.counts[used]
+
+
 class HatTrie:
-    """Counts of word sequences of one to three numbers.
+    """Counts of word sequences of one to three numbers, packed into one; 0 stands for no word.
 
-    ``roots`` maps a first word to a container: a hash table from the two numbers that follow, packed, 0
-    for none, to a count. A container over ``burst`` entries bursts into ``inner``: one container per
-    second word, from third words to counts.
+    ``bounds[k]`` is the least packed sequence of the k-th container.
     """
 
     def __init__(self, burst: int = BURST) -> None:
         self.burst = burst
-        self.roots: dict[int, dict[int, int]] = {}
-        self.inner: dict[int, dict[int, dict[int, int]]] = {}
-        self.sizes: dict[int, int] = {}
-        self.entries = 0
+        self.bounds = [0]
+        self.containers = [Container(1)]
+
+    @property
+    def entries(self) -> int:
+        return sum(c.size for c in self.containers)
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Packed sequences, distinct and in order, with their counts."""
-        first = keys >> (2 * BITS)
-        starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-        ends = [*starts[1:].tolist(), len(keys)]
-        tails, numbers = (keys & TAIL_MASK).tolist(), counts.tolist()
-        roots, inner = self.roots, self.inner
-        for word, start, end in zip(first[starts].tolist(), starts.tolist(), ends):
-            container = roots.get(word)
-            if container is None and word in inner:
-                self._add_inner(word, tails[start:end], numbers[start:end])
+        cuts = [*np.searchsorted(keys, self.bounds).tolist(), len(keys)]
+        for k in reversed(range(len(self.containers))):
+            if cuts[k + 1] > cuts[k]:
+                self.containers[k].add(keys[cuts[k]:cuts[k + 1]], counts[cuts[k]:cuts[k + 1]])
+                if self.containers[k].size > self.burst:
+                    self._split(k)
+
+    def _split(self, k: int) -> None:
+        """Burst a container until its parts are within the bound, at the edge of a first, second or third word."""
+        keys, counts = self.containers[k].entries()
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        starts, pending = [], [(0, len(keys))]
+        while pending:
+            low, high = pending.pop()
+            if high - low <= self.burst:
+                starts.append(low)
                 continue
-            if container is None:
-                roots[word] = container = dict(zip(tails[start:end], numbers[start:end]))
-                self.entries += end - start
-            else:
-                self.entries -= len(container)
-                for k in range(start, end):
-                    tail = tails[k]
-                    container[tail] = container.get(tail, 0) + numbers[k]
-                self.entries += len(container)
-            if len(container) > self.burst:
-                self._burst(word)
-
-    def _burst(self, word: int) -> None:
-        container = self.roots.pop(word)
-        self.sizes[word] = len(container)
-        burst = self.inner[word] = {}
-        for tail, count in container.items():
-            burst.setdefault(tail >> BITS, {})[tail & WORD_MASK] = count
-
-    def _add_inner(self, word: int, tails: list[int], counts: list[int]) -> None:
-        burst, new = self.inner[word], 0
-        for tail, count in zip(tails, counts):
-            container = burst.setdefault(tail >> BITS, {})
-            new -= len(container)
-            third = tail & WORD_MASK
-            container[third] = container.get(third, 0) + count
-            new += len(container)
-        self.sizes[word] += new
-        self.entries += new
+            middle = int(keys[(low + high) // 2])
+            for shift in (2 * BITS, BITS, 0):
+                cut = low + int(np.searchsorted(keys[low:high], middle >> shift << shift))
+                if cut > low:
+                    break
+            pending += [(low, cut), (cut, high)]
+        starts.sort()
+        parts, bounds = [], []
+        for low, high in zip(starts, [*starts[1:], len(keys)]):
+            parts.append(Container(high - low))
+            parts[-1].add(keys[low:high], counts[low:high])
+            bounds.append(int(keys[low]))
+        bounds[0] = self.bounds[k]
+        self.containers[k:k + 1], self.bounds[k:k + 1] = parts, bounds
 
     def take(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """Remove whole subtrees, the largest first, until ``keep`` entries are left; packed sequences, counts."""
-        sizes = {word: len(container) for word, container in self.roots.items()} | self.sizes
-        heads: list[int] = []
-        lengths: list[int] = []
-        tails: list[int] = []
-        counts: list[int] = []
-        for word in sorted(sizes, key=sizes.__getitem__, reverse=True):
-            if self.entries <= keep:
+        taken = []
+        left = self.entries
+        for k in sorted(range(len(self.containers)), key=lambda k: -self.containers[k].size):
+            if left <= keep:
                 break
-            self.entries -= sizes[word]
-            self.sizes.pop(word, None)
-            parts = {0: self.roots.pop(word)} if word in self.roots else self.inner.pop(word)
-            for second, container in parts.items():
-                heads.append(word << (2 * BITS) | second << BITS)
-                lengths.append(len(container))
-                tails.extend(container)
-                counts.extend(container.values())
-        keys = np.repeat(np.array(heads, dtype=np.int64), lengths) | np.array(tails, dtype=np.int64)
-        return keys, np.array(counts, dtype=np.int64)
+            left -= self.containers[k].size
+            taken.append(self.containers[k].entries())
+            self.containers[k] = Container(1)
+        if not taken:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.concatenate([k for k, _ in taken]), np.concatenate([n for _, n in taken])
 
 
 class _Counter:
@@ -196,47 +218,123 @@ class _Counter:
             yield from self.spill(self.max_entries // 4)
 
     def spill(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Whole subtrees until ``keep`` entries are left, as runs in the order of their words."""
+        """Whole subtrees until ``keep`` entries are left, as runs in the order of their prefixes."""
         held = max(1, sum(t.entries for t in self.tries.values()))
         vocabulary = pa.array(self.ids.words, pa.binary())
-        rank = np.empty(len(vocabulary), dtype=np.int64)
-        rank[0] = 0
+        rank = np.zeros(len(vocabulary), dtype=np.int64)
         rank[pc.array_sort_indices(vocabulary[1:]).to_numpy() + 1] = np.arange(1, len(vocabulary))
+        slot = np.array([zlib.crc32(w) % SLOTS for w in self.ids.words], dtype=np.int64)
+        slot[0] = 0
         for language, trie in self.tries.items():
             keys, counts = trie.take(keep * trie.entries // held)
-            one, two, three = keys >> (2 * BITS), keys >> BITS & WORD_MASK, keys & WORD_MASK
-            order = np.argsort(rank[one] << (2 * BITS) | rank[two] << BITS | rank[three])
-            one, two, three, counts = (x[order] for x in (one, two, three, counts))
-            starts = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+            if not len(keys):
+                continue
+            two = keys >> BITS & WORD_MASK
+            order = np.argsort((rank[keys >> (2 * BITS)] * SLOTS + slot[two]) << BITS | rank[two])
+            keys, counts, two = keys[order], counts[order], two[order]
+            prefix = (keys >> (2 * BITS)) * SLOTS + slot[two]
+            starts = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
             bounds = [*range(0, len(starts), RUN_ROWS), len(starts)]
             for low, high in zip(bounds, bounds[1:]):
-                cut = slice(starts[low], starts[high] if high < len(starts) else len(keys))
-                yield _run(language, vocabulary, starts[low:high] - starts[low], one[cut], two[cut], three[cut], counts[cut])
+                first, end = starts[low], starts[high] if high < len(starts) else len(keys)
+                yield _run(language, vocabulary, prefix[starts[low:high]], starts[low:high] - first, keys[first:end], counts[first:end])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         yield from self.count()
         yield from self.spill(0)
         for language, total in self.totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([language]), pa.array([b""]), pa.array([b"\t%d" % total])], ["lang", "_prefix", "_tree"])
-
-
-def _run(language: str, vocabulary: pa.Array, starts: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray,
-         counts: np.ndarray) -> pa.RecordBatch:
-    """One row per prefix of one or two words: the subtree below it as ``third word TAB count``, by blanks."""
-    first, second = vocabulary.take(pa.array(one[starts])), vocabulary.take(pa.array(two[starts]))
-    joined = pc.binary_join_element_wise(first, second, pa.scalar(b" ", pa.binary()))
-    prefix = pc.if_else(pa.array(two[starts] == 0), first, joined)
-    third = pc.if_else(pa.array(three == 0), pa.scalar(b"", pa.binary()), vocabulary.take(pa.array(three)))
-    entries = pc.binary_join_element_wise(third, pc.cast(pc.cast(pa.array(counts), pa.string()), pa.binary()), pa.scalar(b"\t", pa.binary()))
-    offsets = pa.array(np.concatenate((starts, [len(one)])).astype(np.int32))
-    trees = pc.binary_join(pa.ListArray.from_arrays(offsets, entries), pa.scalar(b" ", pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([language]), pa.array([b""]), pa.array([0], pa.int32()), pa.array([b""]), pa.array([_packed(np.array([total]))])], RUN_COLUMNS
+            )
+
+
+RUN = "lang string, _prefix binary, _slot int, _tails binary, _counts binary"
+RUN_COLUMNS = [part.split()[0] for part in RUN.split(", ")]
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype("<i8").tobytes()
+
+
+def _run(language: str, vocabulary: pa.Array, prefix: np.ndarray, starts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row per prefix: the phrases below it, less their first words, by line ends, and their counts."""
+    two, three = keys >> BITS & WORD_MASK, keys & WORD_MASK
+    second = pc.if_else(pa.array(two == 0), pa.scalar(b"", pa.binary()), vocabulary.take(pa.array(two)))
+    blank = pa.scalar(b" ", pa.binary())
+    tails = second
+    longer = np.flatnonzero(three)
+    if len(longer):
+        joined = pc.binary_join_element_wise(second.take(pa.array(longer)), vocabulary.take(pa.array(three[longer])), blank)
+        tails = pc.replace_with_mask(second, pa.array(three > 0), joined)
+    ends = np.concatenate((starts, [len(keys)]))
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), tails)
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(_packed(counts))])
     names = pa.array([language], pa.string()).take(pa.array(np.zeros(len(starts), dtype=np.int32)))
-    return pa.RecordBatch.from_arrays([names, prefix, trees], ["lang", "_prefix", "_tree"])
+    return pa.RecordBatch.from_arrays(
+        [names, vocabulary.take(pa.array(prefix // SLOTS)), pa.array((prefix % SLOTS).astype(np.int32)),
+         pc.binary_join(lists, pa.scalar(b"\n", pa.binary())), packed], RUN_COLUMNS,
+    )
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """All counts in a column of packed counts."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i8")
+
+
+def _merge(min_count: int):
+    """Merges rows in the order of their prefixes; rows of one prefix come from different runs."""
+
+    def folded(rows: pa.Table) -> pa.RecordBatch:
+        tails = pc.split_pattern(rows.column("_tails").combine_chunks(), b"\n")
+        sizes = pc.list_value_length(tails).to_numpy()
+        counts, parents = _numbers(rows.column("_counts")), np.repeat(np.arange(rows.num_rows), sizes)
+        group = rows.column("_group").to_numpy()
+        several = np.bincount(group, minlength=group[-1] + 1)[group] > 1
+        flat = tails.flatten()
+        again = several[parents]
+        table = pa.table({"g": pa.array(group[parents[again]]), "t": flat.filter(pa.array(again)), "n": pa.array(counts[again])})
+        summed = table.group_by(["g", "t"], use_threads=False).aggregate([("n", "sum")])
+        first_of = np.searchsorted(group, np.arange(group[-1] + 1))
+        total = pc.equal(pc.binary_length(rows.column("_prefix")), 0).to_numpy()
+        kept = np.flatnonzero(~again & ((counts >= min_count) | total[parents]))
+        enough = (summed.column("n_sum").to_numpy() >= min_count) | total[first_of[summed.column("g").to_numpy()]]
+        merged = summed.filter(pa.array(enough))
+        row = np.concatenate((parents[kept], first_of[merged.column("g").to_numpy()])).astype(np.int64)
+        tail = pa.chunked_array([flat.take(pa.array(kept)), *merged.column("t").chunks], pa.binary()).combine_chunks()
+        prefix = rows.column("_prefix").combine_chunks().take(pa.array(row))
+        alone = pc.equal(pc.binary_length(tail), 0)
+        phrase = pc.if_else(alone, prefix, pc.binary_join_element_wise(prefix, tail, pa.scalar(b" ", pa.binary())))
+        words = np.where(alone.to_numpy(zero_copy_only=False), pc.binary_length(prefix).to_numpy() > 0, 2 + pc.count_substring(tail, b" ").to_numpy())
+        return pa.RecordBatch.from_arrays(
+            [rows.column("lang").combine_chunks().take(pa.array(row)), phrase.cast(pa.string()), pa.array(words.astype(np.int32)),
+             pa.array(np.concatenate((counts[kept], merged.column("n_sum").to_numpy())))],
+            ["lang", "phrase", "words", "f"],
+        )
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            if not rows.num_rows:
+                continue
+            new = np.zeros(rows.num_rows, dtype=bool)
+            for name in ("lang", "_prefix", "_slot"):
+                column = rows.column(name).combine_chunks()
+                new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            waiting = rows.slice(last)
+            if last:
+                yield folded(rows.slice(0, last).append_column("_group", pa.array(np.cumsum(new)[:last])))
+        if waiting is not None and waiting.num_rows:
+            yield folded(waiting.append_column("_group", pa.array(np.zeros(waiting.num_rows, dtype=np.int64))))
+
+    return merged
 
 
-def phrase_counts(df: DataFrame, text_column: str = "text", language_column: str = "lang",
+def phrase_counts(df: DataFrame, text_column: str = "text", language_column: str = "lang", min_count: int = 1,
                   max_entries: int = MAX_ENTRIES, burst: int = BURST) -> DataFrame:
-    """``lang``, ``phrase``, ``words`` and ``f`` of every phrase of one to three words.
+    """``lang``, ``phrase``, ``words`` and ``f`` of every phrase of one to three words met ``min_count`` times or more.
 
     One more row per language, with an empty phrase of 0 words, counts all word occurrences.
     """
@@ -252,18 +350,9 @@ def phrase_counts(df: DataFrame, text_column: str = "text", language_column: str
         F.coalesce(F.col(f"`{language_column}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"),
     )
-    runs = rows.mapInArrow(counted, "lang string, _prefix binary, _tree binary").repartition("lang", "_prefix")
-    entries = runs.select("lang", "_prefix", F.explode(F.split(F.col("_tree").cast("string"), " ")).alias("_entry")).select(
-        "lang", "_prefix", F.substring_index("_entry", "\t", 1).alias("_third"),
-        F.substring_index("_entry", "\t", -1).cast("long").alias("_n"),
-    )
-    merged = entries.groupBy("lang", "_prefix", "_third").agg(F.sum("_n").alias("f"))
-    prefix = F.col("_prefix").cast("string")
-    prefix_words = F.when(prefix == "", 0).when(F.contains(prefix, F.lit(" ")), 2).otherwise(1)
-    return merged.select(
-        "lang", F.when(F.col("_third") == "", prefix).otherwise(F.concat_ws(" ", prefix, "_third")).alias("phrase"),
-        F.when(F.col("_third") == "", prefix_words).otherwise(3).cast("int").alias("words"), "f",
-    )
+    keys = ["lang", "_prefix", "_slot"]
+    runs = rows.mapInArrow(counted, RUN).repartition(*keys).sortWithinPartitions(*keys)
+    return runs.mapInArrow(_merge(min_count), "lang string, phrase string, words int, f long")
 
 
 def _exact_score(a: Column, left: Column, right: Column) -> Column:
@@ -286,8 +375,8 @@ def collocations(df: DataFrame, text_column: str = "text", language_column: str
     below 10^16. Other columns are not read.
     """
     use_utc(df.sparkSession)
-    counts = phrase_counts(df, text_column, language_column, max_entries, burst)
-    frequent = written_table(counts.filter((F.col("f") >= min_count) | (F.col("words") == 0)), "phrases")
+    counts = phrase_counts(df, text_column, language_column, min_count, max_entries, burst)
+    frequent = written_table(counts, "phrases")
 
     def part(words: int, key: str, name: str) -> DataFrame:
         rows = frequent.filter(F.col("words") == words)

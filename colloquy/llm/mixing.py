@@ -91,18 +91,21 @@ def apportion(shares: DataFrame, seats: Column, weight: Column, over: list[str],
 
 def mixture(df: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text",
             weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS,
-            shard_words: int = SHARD_WORDS, seed: int = 42) -> DataFrame:
+            shard_words: int = SHARD_WORDS, seed: int = 42, seed_column: str | None = None) -> DataFrame:
     """One row per row: id, source, size, source_size, target, taken, whole_copies and pieces.
 
     ``taken`` is ``whole_copies`` times the size plus the ``pieces``, ranges of words of one more,
     partial copy: an array of (first word from 0, number of words). A missing text has no words; a
     missing source is a source of its own, the last. Rows that repeat an id are documents of their
     own, next to each other in the seeded order. Where the words are too few for a block, targets are
-    met to the nearest block. No words at all: every count is zero. The result depends on ids, sources,
-    sizes and the seed, not on how rows are stored.
+    met to the nearest block. No words at all, or an empty table: every count is zero, or no rows. Texts of any
+    length are counted whole and cut to blocks. The result depends on ids, sources, sizes and the seed, not on
+    how rows are stored; the seeded order can go by another column, ``seed_column``, than the id. Other
+    columns are not read.
     """
     use_utc(df.sparkSession)
-    digest = F.md5(F.concat(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    ordered_by = F.col(f"`{seed_column or id_column}`")
+    digest = F.md5(F.concat(F.coalesce(ordered_by.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     sized = written_table(
         df.select(
             F.col(f"`{id_column}`").alias("_id"), F.col(f"`{source_column}`").cast("string").alias("_source"),
@@ -161,19 +164,21 @@ def mixed_documents(df: DataFrame, decisions: DataFrame, id_column: str = "doc_i
                     length_column: str | None = "n_chars") -> DataFrame:
     """The mix itself: every document as often as it is taken whole, and the words of its pieces.
 
-    A partial copy holds the chosen words with one space between them. Columns are those of ``df``;
-    ``length_column``, if it exists, is measured again. Rows that repeat an id count as one document.
+    A partial copy holds the chosen words with one space between them. Columns are those of ``df``, under any
+    names; ``length_column``, if it exists, is measured again. Ids must be unique in ``decisions``: give
+    rows a number of their own where ids are missing or repeated.
     """
     narrow = decisions.select(F.col(id_column).alias("_mix_id"), F.col("whole_copies").alias("_copies"), F.col("pieces").alias("_pieces"))
-    text = F.col(f"`{text_column}`")
-    joined = df.join(narrow.dropDuplicates(["_mix_id"]), F.col(f"`{id_column}`").eqNullSafe(F.col("_mix_id")))
+    packed = df.select(F.col(f"`{id_column}`").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))
+    joined = packed.join(narrow, F.col("_id").eqNullSafe(F.col("_mix_id")))
+    text = F.col(f"_doc.`{text_column}`")
     part = let(
         F.regexp_extract_all(text, F.lit(f"({WORD})"), 1),
         lambda w: F.array_join(F.flatten(F.transform(F.col("_pieces"), lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " "),
     )
     whole = F.transform(F.array_repeat(F.lit(0), F.col("_copies").cast("int")), lambda _: text)
     texts = F.concat(whole, F.when(F.size("_pieces") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    mixed = joined.select(*[f"`{c}`" for c in df.columns], F.explode(texts).alias("_mixed"))
+    mixed = joined.select("_doc", F.explode(texts).alias("_mixed"))
     out = []
     for c in df.columns:
         if c == text_column:
@@ -181,5 +186,5 @@ def mixed_documents(df: DataFrame, decisions: DataFrame, id_column: str = "doc_i
         elif c == length_column:
             out.append(F.length("_mixed").cast(dict(df.dtypes)[c]).alias(c))
         else:
-            out.append(F.col(f"`{c}`"))
+            out.append(F.col(f"_doc.`{c}`").alias(c))
     return mixed.select(*out)

@@ -20,6 +20,7 @@ from colloquy.llm.pii import find_personal_data, personal_data_report
 from colloquy.llm.quality import quality
 from colloquy.llm.secrets import find_secrets, secret_report
 from colloquy.llm.simhash import near_duplicates
+from colloquy.llm.suffixes import remove_repeats, repeat_report
 from colloquy.llm.tokenfile import read_documents, token_folder, write_tokens
 from colloquy.llm.whitening import whiten
 
@@ -132,6 +133,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(documents(spark, folder))
 
 
+@query("op12_suffixes")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_report(remove_repeats(documents(spark, folder)))
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
