@@ -2,6 +2,10 @@
 
 Stages are functions of (spark, docs, folder). What one keeps is written and is all that the next one
 sees. All but the last return the columns of their input.
+
+Rows are told apart by a number that the stage writes beside them, never by ``doc_id``: ids that are missing
+or repeated, and rows that repeat, are rows like any other. Other columns may have any name. Every stage
+takes an empty table and texts of any length; a missing text counts as empty.
 """
 
 from __future__ import annotations
@@ -14,36 +18,64 @@ from colloquy.llm.bpe import encode
 from colloquy.llm.exact import exact_groups
 from colloquy.llm.mixing import mixed_documents, mixture
 from colloquy.llm.quality import quality_filter
-from colloquy.llm.similar import similar_documents
+from colloquy.llm.simhash import near_duplicates
 from colloquy.session import written_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+# The fingerprints of operator 1: words to a shingle, and differing bits at which texts are linked.
+SHINGLE_WORDS = 4
+MAX_BITS = 4
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a unique number, written so that it stays; its column has a name that ``docs`` does not use."""
+    name = "_row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return written_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose id is not in the one column of ``dropped``; only few ids are moved if few go."""
-    gone = written_table(dropped.toDF("_dropped").distinct(), "dropped")
-    return docs.join(gone, F.col("doc_id") == F.col("_dropped"), "left_anti")
+def without(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """The rows whose number is not in the one column of ``dropped``; only few numbers are moved if few go."""
+    gone = written_table(dropped.toDF(row), "dropped")
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the quality rules keep, without their failing lines."""
+    """Documents that the quality rules keep, without their failing lines. Rows that repeat fare alike."""
     return quality_filter(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document, the one with the largest id, of equal texts."""
-    return without(docs, exact_groups(docs).filter("_id != keep_id").select("_id"))
+    """One row of equal texts: the one with the largest id, and of several such rows the last one.
+
+    A row without an id stays only where no copy has one. A text without a copy always stays.
+    """
+    rows, row = numbered(docs)
+    keyed = rows.select(F.struct(F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("key"), "text")
+    return without(rows, row, exact_groups(keyed, "key").filter("_id != keep_id").select("_id.row"))
 
 
 def near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by five-word similarity of 0.8 or more."""
-    return without(docs, similar_documents(docs).filter("doc_id != component_id").select("doc_id"))
+    """One row of each group of texts that fingerprints link: the one with the smallest id, then the first.
+
+    A row without an id stays only where no member has one.
+    """
+    rows, row = numbered(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("_key"), "text"), "_key", "text", SHINGLE_WORDS, MAX_BITS)
+    ids = rows.select(F.col(row).alias("_key"), F.col("doc_id").alias("_id"))
+    member = written_table(found.select("_key", "component_id").join(ids, "_key"), "near-members")
+    place = F.struct(F.col("_id").isNull(), "_id", "_key")
+    stay = member.groupBy("component_id").agg(F.min_by("_key", place).alias("_key"))
+    return without(rows, row, member.join(stay, "_key", "left_anti").select("_key"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Sources at their target weights: documents repeated, cut to blocks or left out."""
-    return mixed_documents(docs, written_table(mixture(docs), "mixture"))
+    """Sources at their target weights: documents repeated, cut to blocks or left out, row by row."""
+    rows, row = numbered(docs)
+    narrow = rows.select(F.col(row).alias("key"), F.col("doc_id").alias("id"), "source", "text")
+    decisions = written_table(mixture(narrow, "key", seed_column="id"), "mixture")
+    return mixed_documents(rows, decisions.withColumnRenamed("key", row), row).drop(row)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
