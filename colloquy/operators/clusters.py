@@ -1,13 +1,7 @@
-"""Dimension reduction, clustering with a noise label, quality metrics and cluster labels.
-
-Reduction and noise labelling play the role that UMAP and HDBSCAN have in single-machine work, with
-algorithms that distribute: PCA, and KMeans whose small clusters and far points become noise (−1).
-"""
+"""Dimension reduction, KMeans, quality metrics and cluster labels; density clusters are in ``density.py``."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,10 +14,9 @@ from colloquy.functions.arrays import (
 from colloquy.functions.planning import explode_once
 from colloquy.functions.stats import safe_ratio
 from colloquy.functions.text import SPACE
+from colloquy.operators.density import NOISE
 from colloquy.operators.sequences import top_n_per_group
 
-NOISE = -1
-
 
 def reduce_dimensions(
     vectors: DataFrame, k: int = 2, vector_column: str = "embedding", output: str = "reduced"
@@ -42,30 +35,6 @@ def kmeans_clusters(
     return model.transform(prepared).drop("_vector")
 
 
-def density_clusters(
-    vectors: DataFrame, vector_column: str = "embedding", output: str = "cluster", k: int = 50,
-    min_cluster_size: int = 50, noise_quantile: float = 0.99, seed: int = 42,
-) -> DataFrame:
-    """KMeans clusters; members of small clusters and points far from their centre get −1.
-
-    "Far" is beyond the approximate ``noise_quantile`` of the distances inside the own cluster. The
-    per-cluster table has at most ``k`` rows.
-    """
-    prepared = vectors.withColumn("_vector", array_to_vector(doubles(F.col(vector_column))))
-    model = KMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="_nearest").fit(prepared)
-    centers = F.from_json(F.lit(json.dumps([c.tolist() for c in model.clusterCenters()])), "array<array<double>>")
-    distance = squared_distance(doubles(F.col(vector_column)), F.get(centers, F.col("_nearest")))
-    placed = model.transform(prepared).withColumn("_distance", distance).drop("_vector")
-    sizes = placed.groupBy("_nearest").agg(
-        F.count(F.lit(1)).alias("_size"),
-        F.percentile_approx("_distance", noise_quantile, 10_000).alias("_limit"),
-    )
-    kept = (F.col("_size") >= min_cluster_size) & (F.col("_distance") <= F.col("_limit"))
-    return placed.join(F.broadcast(sizes), "_nearest").withColumn(
-        output, F.when(kept, F.col("_nearest")).otherwise(F.lit(NOISE))
-    ).drop("_nearest", "_distance", "_size", "_limit")
-
-
 def cluster_quality(df: DataFrame, vector_column: str = "embedding", cluster: str = "cluster") -> DataFrame:
     """One row: sizes, noise share, Davies–Bouldin, Calinski–Harabasz and squared-Euclidean silhouette.
 
@@ -182,5 +151,5 @@ def label_clusters(
 
 
 __all__ = [
-    "NOISE", "cluster_quality", "density_clusters", "kmeans_clusters", "label_clusters", "reduce_dimensions",
+    "NOISE", "cluster_quality", "kmeans_clusters", "label_clusters", "reduce_dimensions",
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,12 @@ Encoder = Callable[[list[str]], np.ndarray]
 EncoderFactory = Callable[[], Encoder]
 
 
+class FrameEncoder(Protocol):
+    """An encoder that works on whole frames, such as ``latent.LatentEncoder``."""
+
+    def transform(self, df: DataFrame, text_column: str) -> DataFrame: ...
+
+
 def encode_column(factory: EncoderFactory, batch_size: int = 64, normalize: bool = True):
     """Arrow iterator UDF from text to ``array<float>``; the encoder is built once per worker."""
 
@@ -95,16 +102,23 @@ def cosine_top_k(
 
 
 def compare_encoders(
-    prompts: DataFrame, encoders: dict[str, EncoderFactory | None], text_column: str = "prompt_text",
+    prompts: DataFrame, encoders: dict[str, EncoderFactory | FrameEncoder | None], text_column: str = "prompt_text",
     id_column: str = "record_id", sample_size: int | None = None, batch_size: int = 64,
     normalize: bool = True,
 ) -> DataFrame:
-    """Time every encoder over the same sample: records, seconds, rate, dimensions."""
+    """Time every encoder over the same sample: records, seconds, rate, dimensions.
+
+    An encoder is a factory of a function from texts to vectors, a fitted one with ``transform(df, text_column)``,
+    or None for the built-in one.
+    """
     sample = exact_sample(load_prompts(prompts, (text_column, id_column), text_column), id_column, sample_size)
     rows = []
     for name, factory in encoders.items():
         started = time.perf_counter()
-        encoded = embed_prompts(sample, text_column, id_column, factory, 256, batch_size, normalize)
+        if hasattr(factory, "transform"):
+            encoded = factory.transform(sample, text_column)
+        else:
+            encoded = embed_prompts(sample, text_column, id_column, factory, 256, batch_size, normalize)
         total, size = encoded.agg(F.count("embedding"), F.max(F.size("embedding"))).first()
         seconds = max(time.perf_counter() - started, 1e-6)
         rows.append((name, total, batch_size, seconds, total / seconds, size))

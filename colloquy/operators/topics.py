@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from colloquy.functions.planning import explode_once, select_once
 from colloquy.functions.stats import safe_ratio
 from colloquy.functions.text import WORD, clean_text, content_tokens
-from colloquy.operators.clusters import NOISE, density_clusters
+from colloquy.operators.clusters import reduce_dimensions
+from colloquy.operators.density import NOISE, density_clusters
 from colloquy.operators.sequences import top_n_per_group
 from colloquy.session import written_table
 
 
+MAX_VOCABULARY = 2**31 - 1
+
+
 def english_stopwords() -> tuple[str, ...]:
     """Spark's own English stopword list (needs a running session)."""
     return tuple(StopWordsRemover.loadDefaultStopWords("english"))
@@ -100,10 +104,17 @@ def topic_evolution(df: DataFrame, period: str = "year_month", topic: str = "top
 
 
 def assign_topics(
-    vectors: DataFrame, vector_column: str = "embedding", min_topic_size: int = 50, k: int = 50, seed: int = 42
+    vectors: DataFrame, vector_column: str = "embedding", min_topic_size: int = 50, min_samples: int = 10,
+    components: int | None = 5, seed: int = 42,
 ) -> DataFrame:
-    """Topics from embeddings: dense clusters, everything else in topic −1."""
-    return density_clusters(vectors, vector_column, "topic", k, min_topic_size, seed=seed)
+    """Topics from embeddings: clusters of varying density, everything else in topic -1.
+
+    Distances are taken between ``components`` principal components; None takes the vectors as they are.
+    """
+    if components is None:
+        return density_clusters(vectors, vector_column, "topic", min_topic_size, min_samples, seed=seed)
+    reduced = reduce_dimensions(vectors, components, vector_column, "_reduced")
+    return density_clusters(reduced, "_reduced", "topic", min_topic_size, min_samples, seed=seed).drop("_reduced")
 
 
 def class_tfidf(
@@ -126,17 +137,21 @@ def class_tfidf(
 
 
 def tfidf_features(
-    df: DataFrame, text_column: str = "prompt_text", vocabulary: int = 1000, max_df: float = 0.8,
+    df: DataFrame, text_column: str = "prompt_text", vocabulary: int | None = 1000, max_df: float = 0.8,
     min_df: float = 10, stopwords: tuple[str, ...] | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Unigram and bigram TF-IDF vectors in ``features`` and the vocabulary (fits two models)."""
+    """Unigram and bigram TF-IDF vectors in ``features`` and the vocabulary (fits two models).
+
+    ``vocabulary`` is the model's size, the most frequent terms; None keeps every term that ``min_df`` and
+    ``max_df`` leave.
+    """
     words = english_stopwords() if stopwords is None else stopwords
     tokens = df.withColumn("_uni", content_tokens(clean_text(F.col(text_column)), words))
     both = NGram(n=2, inputCol="_uni", outputCol="_bi").transform(tokens).withColumn(
         "_terms", F.concat("_uni", "_bi")
     )
     counter = CountVectorizer(
-        inputCol="_terms", outputCol="_tf", vocabSize=vocabulary, minDF=min_df, maxDF=max_df
+        inputCol="_terms", outputCol="_tf", vocabSize=vocabulary or MAX_VOCABULARY, minDF=min_df, maxDF=max_df
     ).fit(both)
     counted = counter.transform(both)
     weighted = IDF(inputCol="_tf", outputCol="features").fit(counted).transform(counted)

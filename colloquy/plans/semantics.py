@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import clusters, drift, embeddings, topics
+from colloquy.operators.density import density_clusters
 from colloquy.operators.sampling import exact_sample
 from colloquy.session import use_utc
 from colloquy.settings import ClusterSettings
@@ -63,9 +64,8 @@ def run_clustering(
     write_dataset(clusters.reduce_dimensions(sample), sample_path)
     reduced = read_dataset(spark, sample_path)
     methods = {
-        "density": clusters.density_clusters(
-            reduced, "reduced", "cluster", settings.density_k, settings.min_cluster_size,
-            settings.noise_quantile, settings.seed,
+        "density": density_clusters(
+            reduced, "reduced", "cluster", settings.min_cluster_size, settings.min_samples, seed=settings.seed,
         ),
         **{f"kmeans_{k}": clusters.kmeans_clusters(reduced, k, "reduced", seed=settings.seed)
            for k in settings.kmeans_k},
@@ -87,13 +87,13 @@ def run_clustering(
 
 
 def run_topics(
-    spark: SparkSession, vectors_path: str, folder: str, min_topic_size: int = 50, k: int = 50,
+    spark: SparkSession, vectors_path: str, folder: str, min_topic_size: int = 50, min_samples: int = 10,
     text_column: str = "prompt_text", top_n: int = 10,
 ) -> DataFrame:
     """Assign topics to all prompts, write terms and evolution; returns the one-row statistics."""
     assigned_path = f"{folder}/topic_assignments.parquet"
     write_dataset(
-        topics.assign_topics(read_dataset(spark, vectors_path), min_topic_size=min_topic_size, k=k), assigned_path
+        topics.assign_topics(read_dataset(spark, vectors_path), min_topic_size=min_topic_size, min_samples=min_samples), assigned_path
     )
     assigned = read_dataset(spark, assigned_path)
     terms_path = f"{folder}/topic_top_terms.parquet"

@@ -98,7 +98,6 @@ class AnalyticsSettings:
 class ClusterSettings:
     sample_size: int | None = None
     min_cluster_size: int = 50
-    density_k: int = 50
-    noise_quantile: float = 0.99
+    min_samples: int = 10
     kmeans_k: tuple[int, ...] = (20, 50)
     seed: int = 42

@@ -230,33 +230,16 @@ def _(spark, folder):
     return archetypes.conversation_features(inputs.classified_prompts(spark, folder))
 
 
-@register(
-    "archetypes",
-    with_prompts(f", {FEATURES_CTE} SELECT *, TRUE AS assigned FROM features WHERE num_turns >= 2"),
-    (*FEATURES, "mean_prompt_word_count"),
-)
+@register("archetypes")
 def _(spark, folder):
-    """Every conversation with enough turns is in one of eight archetypes (the numbers are KMeans's own)."""
-    found = archetypes.discover_archetypes(inputs.classified_prompts(spark, folder))
-    return found.withColumn("assigned", F.col("archetype").between(0, 7)).drop("archetype")
+    """Every conversation with enough turns, its features and its archetype."""
+    return archetypes.discover_archetypes(inputs.classified_prompts(spark, folder))
 
 
-@register(
-    "archetype_summary",
-    with_prompts(f""", {FEATURES_CTE} SELECT count(*) AS num_conversations, CAST(sum(num_turns) AS BIGINT) AS num_turns,
-    {", ".join(f"avg({c}) AS {c}" for c in (*FEATURES, "mean_prompt_word_count"))}, TRUE AS named
-    FROM features WHERE num_turns >= 2"""),
-    (*FEATURES, "mean_prompt_word_count"),
-)
+@register("archetype_summary")
 def _(spark, folder):
-    """Sizes and means of all archetypes put together again; every archetype has a name."""
-    summary = archetypes.summarize_archetypes(archetypes.discover_archetypes(inputs.classified_prompts(spark, folder)))
-    size = F.col("num_conversations")
-    return summary.agg(
-        F.sum(size).alias("num_conversations"), F.round(F.sum(F.col("num_turns") * size)).cast("long").alias("num_turns"),
-        *[(F.sum(F.col(c) * size) / F.sum(size)).alias(c) for c in (*FEATURES, "mean_prompt_word_count")],
-        F.bool_and(F.col("archetype_name").isNotNull()).alias("named"),
-    )
+    """Size, mean features and name of every archetype."""
+    return archetypes.summarize_archetypes(archetypes.discover_archetypes(inputs.classified_prompts(spark, folder)))
 
 
 NAMES_SQL = """CASE

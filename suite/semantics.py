@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from colloquy.functions.arrays import doubles
-from colloquy.operators import clusters, drift, embeddings, sampling, topics
+from colloquy.operators import clusters, drift, embeddings, latent, sampling, search, topics
+from colloquy.operators.density import NOISE, density_clusters
+from colloquy.session import shared_folder, written_table
 from suite.exploration import CLEAN
 from suite.inputs import table, text_table
 from suite.registry import register
@@ -100,11 +103,36 @@ def _(spark, folder):
     return embeddings.embedding_reproducibility(docs, "text", "doc_id", sample_size=None)
 
 
-@register("encoder_comparison")
+@register(
+    "encoder_comparison",
+    """SELECT unnest(['hashed_tfidf', 'latent']) AS model_name, count(*) AS num_records, 64 AS batch_size,
+       unnest([256, 64]) AS embedding_dimensions FROM documents""",
+)
+def _(spark, folder):
+    """Two encoders over all documents; their timings differ from run to run and are left out here."""
+    docs = text_table(spark, folder, "documents").select("doc_id", "text")
+    encoders = {"hashed_tfidf": None, "latent": latent.fit_latent_encoder(docs, "text")}
+    return embeddings.compare_encoders(docs, encoders, "text", "doc_id").drop("seconds", "records_per_second")
+
+
+@register("latent_embeddings")
+def _(spark, folder):
+    """Latent coordinates of all documents."""
+    docs = text_table(spark, folder, "documents").select("doc_id", "text")
+    encoded = latent.fit_latent_encoder(docs, "text").transform(docs, "text")
+    return encoded.select("doc_id", "embedding")
+
+
+@register(
+    "embed_term_counts",
+    f"""SELECT doc_id, CAST(len(list_filter(string_split({CLEAN}, ' '), lambda t: t <> '')) AS DOUBLE) AS term_count FROM documents""",
+    ("term_count",),
+)
 def _(spark, folder):
-    """Throughput of the built-in encoder; timings differ from run to run."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return embeddings.compare_encoders(docs, {"hashed_tfidf": None}, "text", "doc_id")
+    """Without weights and unit length, the built-in vector of a text adds up to its number of terms."""
+    docs = text_table(spark, folder, "documents").select("doc_id", "text")
+    vectors = embeddings.hashed_tfidf(docs, "text", use_idf=False, normalize=False)
+    return vectors.select("doc_id", F.aggregate(doubles(F.col("embedding")), F.lit(0.0), lambda a, x: a + x).alias("term_count"))
 
 
 @register(
@@ -254,51 +282,83 @@ def _(spark, folder):
     return topics.class_tfidf(_language_topics(spark, folder), "text", stopwords=STOPWORDS)
 
 
-@register("pca_reduce", "SELECT count(*) AS num_records, 2 AS dimensions, TRUE AS largest_first FROM embeddings")
+@register("pca_reduce")
 def _(spark, folder):
-    """All rows get two components, the first with the larger variance."""
-    reduced = clusters.reduce_dimensions(_vectors(spark, folder)).select("reduced")
-    x, y = F.get("reduced", F.lit(0)), F.get("reduced", F.lit(1))
-    return reduced.agg(
-        F.count("reduced").alias("num_records"), F.max(F.size("reduced")).alias("dimensions"),
-        (F.var_samp(x) >= F.var_samp(y)).alias("largest_first"),
-    )
+    """Two components for every row, the first with the larger variance."""
+    reduced = clusters.reduce_dimensions(_vectors(spark, folder))
+    return _by_position(reduced.select("vec_id", "reduced"), "reduced")
 
 
-def _membership(assigned, cluster: str, k: int):
-    """Rows assigned to one of ``k`` clusters or to noise, and whether every number is in bounds."""
-    return assigned.agg(
-        F.lit(k).alias("k"), F.count(cluster).alias("num_records"), F.count_distinct("_id").alias("num_ids"),
-        F.bool_and(F.col(cluster).between(-1, k - 1)).alias("in_bounds"),
+@register("kmeans_clusters")
+def _(spark, folder):
+    """The cluster of every row, for both numbers of clusters."""
+    vectors = _vectors(spark, folder)
+    few, many = (
+        clusters.kmeans_clusters(vectors, k).select(F.lit(k).alias("k"), "vec_id", "cluster") for k in (20, 50)
     )
+    return few.unionByName(many)
 
 
-def _membership_sql(rows: str, key: str, *ks: int) -> str:
-    return " UNION ALL ".join(
-        f"SELECT {k} AS k, count(*) AS num_records, count(DISTINCT {key}) AS num_ids, TRUE AS in_bounds FROM {rows}" for k in ks
-    )
+def _with_sizes(assigned, cluster: str):
+    """Each row's cluster with its size, and the share of noise among all rows."""
+    noise = assigned.agg(F.avg((F.col(cluster) == NOISE).cast("double"))).scalar()
+    sizes = assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("cluster_size"))
+    return assigned.join(sizes, cluster).withColumn("noise_fraction", noise)
 
 
-@register("kmeans_clusters", _membership_sql("embeddings", "vec_id", 20, 50))
+@register("density_clusters")
 def _(spark, folder):
-    """Both numbers of clusters, every row assigned once."""
-    vectors = _vectors(spark, folder).withColumn("_id", F.col("vec_id"))
-    few, many = (_membership(clusters.kmeans_clusters(vectors, k), "cluster", k) for k in (20, 50))
-    return few.unionByName(many)
+    """Clusters of varying density over two principal components, as the reference settings have it."""
+    reduced = clusters.reduce_dimensions(_vectors(spark, folder)).select("vec_id", "reduced")
+    return _with_sizes(written_table(density_clusters(reduced, "reduced").select("vec_id", "cluster"), "density"), "cluster")
 
 
-@register("density_clusters", _membership_sql("embeddings", "vec_id", 50))
+@register("topic_assignment")
 def _(spark, folder):
-    reduced = clusters.reduce_dimensions(_vectors(spark, folder).withColumn("_id", F.col("vec_id")))
-    return _membership(clusters.density_clusters(reduced, "reduced"), "cluster", 50)
+    """Built-in encoder, then clusters of varying density as topics."""
+    docs = text_table(spark, folder, "documents").select("doc_id", "text")
+    vectors = embeddings.embed_prompts(docs, "text", "doc_id")
+    return _with_sizes(written_table(topics.assign_topics(vectors).select("doc_id", "topic"), "topics"), "topic")
 
 
-@register("topic_assignment", _membership_sql("documents", "doc_id", 50))
+@register(
+    "metadata_join",
+    f"""SELECT vec_id, label, '2023-' || {PERIOD} AS period, len(embedding) AS dimensions,
+        list_aggregate(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v), 'sum') AS squared_length FROM embeddings""",
+    ("squared_length",),
+)
 def _(spark, folder):
-    """Built-in encoder, then dense clusters as topics."""
-    docs = text_table(spark, folder, "documents").select("doc_id", "text")
-    vectors = embeddings.embed_prompts(docs, "text", "doc_id").withColumn("_id", F.col("doc_id"))
-    return _membership(topics.assign_topics(vectors), "topic", 50)
+    """Vectors and metadata stored apart and put together by id."""
+    rows = _vectors(spark, folder)
+    vectors = written_table(rows.select("vec_id", "embedding"), "vectors")
+    metadata = written_table(rows.select("vec_id", "label", "period"), "metadata")
+    together = drift.attach_metadata(vectors, metadata, "vec_id")
+    squares = F.aggregate(doubles(F.col("embedding")), F.lit(0.0), lambda a, x: a + x * x)
+    return together.select("vec_id", "label", "period", F.size("embedding").alias("dimensions"), squares.alias("squared_length"))
+
+
+@register(
+    "exact_search",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    pairs AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS similarity FROM v JOIN v q ON q.vec_id % 50 = 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM pairs)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, similarity FROM placed WHERE rank <= 10""",
+    ("similarity",),
+)
+def _(spark, folder):
+    vectors = _vectors(spark, folder)
+    return search.exact_search(vectors, vectors.filter("vec_id % 50 = 0"), 10, "vec_id")
+
+
+@register("index_search")
+def _(spark, folder):
+    """The same queries by an inverted-file index over all rows, and its recall against the exact way."""
+    vectors = _vectors(spark, folder)
+    asked = vectors.filter("vec_id % 50 = 0")
+    index = search.build_index(vectors, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "vec_id")
+    found = written_table(search.search_index(index, asked, 10, id_column="vec_id"), "index-found")
+    exact = search.exact_search(vectors, asked, 10, "vec_id")
+    return found.withColumn("recall", search.recall(found, exact, "vec_id").select("recall").scalar())
 
 
 def _lda_input(spark, folder):
@@ -306,44 +366,25 @@ def _lda_input(spark, folder):
     return topics.tfidf_features(docs, "text", stopwords=STOPWORDS)
 
 
-@register(
-    "lda_sweep",
-    "SELECT unnest([5, 8, 10, 12, 15]) AS k, TRUE AS best_is_lowest, 1 AS num_best",
-)
+@register("lda_sweep")
 def _(spark, folder):
-    """One model is the best of the sweep, the one with the lowest perplexity."""
+    """Likelihood and perplexity of every number of topics; the lowest perplexity is the best."""
     features, _ = _lda_input(spark, folder)
-    swept = topics.lda_sweep(features)[0]
-    best = F.min_by("is_best", "log_perplexity").over(Window.partitionBy())
-    return swept.select("k", best.alias("best_is_lowest"), F.sum(F.col("is_best").cast("int")).over(Window.partitionBy()).cast("int").alias("num_best"))
+    return topics.lda_sweep(features)[0]
 
 
-@register("lda_topics", "SELECT TRUE AS topics_in_sweep, 15 AS min_terms, 15 AS max_terms, TRUE AS heaviest_first")
+@register("lda_topics")
 def _(spark, folder):
     """Fifteen terms for every topic of the best model, the heaviest first."""
     features, vocabulary = _lda_input(spark, folder)
-    terms = topics.lda_topic_words(topics.lda_sweep(features)[1], vocabulary)
-    per_topic = terms.groupBy("topic").agg(
-        F.count("term").cast("int").alias("n"),
-        F.array_sort(F.collect_list(F.struct("rank", "weight"))).alias("_list"),
-    )
-    ordered = F.forall(F.arrays_zip(F.slice("_list.weight", 1, 14).alias("a"), F.slice("_list.weight", 2, 14).alias("b")), lambda p: p["a"] >= p["b"])
-    return per_topic.agg(
-        F.count(F.lit(1)).isin(5, 8, 10, 12, 15).alias("topics_in_sweep"), F.min("n").alias("min_terms"),
-        F.max("n").alias("max_terms"), F.bool_and(ordered).alias("heaviest_first"),
-    )
+    return topics.lda_topic_words(topics.lda_sweep(features)[1], vocabulary)
 
 
-@register("lda_categories", "SELECT count(*) AS num_records, TRUE AS in_bounds, TRUE AS named FROM documents")
+@register("lda_categories")
 def _(spark, folder):
-    """Every document has a dominant topic of the best model, and the category that goes with it."""
+    """Every document's dominant topic in the best model, and the category that goes with it."""
     features, _ = _lda_input(spark, folder)
     model = topics.lda_sweep(features)[1]
     kinds = ("Task-Based", "Interpersonal", "Intrapersonal")
     named = topics.dominant_topic(model, features, {k: kinds[k % 3] for k in range(model.getK())})
-    expected = F.get(F.array(*[F.lit(kind) for kind in kinds]), F.col("dominant_topic") % 3)
-    return named.agg(
-        F.count("dominant_topic").alias("num_records"),
-        F.bool_and(F.col("dominant_topic").between(0, model.getK() - 1)).alias("in_bounds"),
-        F.bool_and(F.col("prompt_category") == expected).alias("named"),
-    )
+    return named.select("doc_id", "dominant_topic", "topic_probability", "prompt_category")
