@@ -244,7 +244,7 @@ class _Counter:
         yield from self.spill(0)
         for language, total in self.totals.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([language]), pa.array([b""]), pa.array([0], pa.int32()), pa.array([b""]), pa.array([_packed(np.array([total]))])], RUN_COLUMNS
+                [pa.array([language]), pa.array([b""]), pa.array([0], pa.int32()), pa.array([b""]), _packed(np.array([total]), np.array([0]))], RUN_COLUMNS
             )
 
 
@@ -252,8 +252,38 @@ RUN = "lang string, _prefix binary, _slot int, _tails binary, _counts binary"
 RUN_COLUMNS = [part.split()[0] for part in RUN.split(", ")]
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    return counts.astype("<i8").tobytes()
+def _packed(counts: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """One binary value per row: its counts in as many bytes each (1, 2, 4 or 8) as the largest one needs."""
+    most = np.maximum.reduceat(counts, starts)
+    sizes = np.diff(np.concatenate((starts, [len(counts)])))
+    widths = 1 << np.searchsorted([1 << 8, 1 << 16, 1 << 32], most, side="right")
+    ends = np.cumsum(sizes * widths)
+    width, place = np.repeat(widths, sizes), _places(ends - sizes * widths, sizes, widths)
+    out = np.empty(int(ends[-1]), dtype=np.uint8)
+    for w in np.unique(widths).tolist():
+        own = width == w
+        out[place[own][:, None] + np.arange(w)] = counts[own].astype(f"<u{w}").view(np.uint8).reshape(-1, w)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _places(first: np.ndarray, sizes: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Byte at which every count of every row begins."""
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(first, sizes) + inside * np.repeat(widths, sizes)
+
+
+def _unpacked(column: pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
+    """The counts of all rows, of which each has so many as ``sizes`` says."""
+    lengths = pc.binary_length(column).to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+    widths = lengths // sizes
+    width, place = np.repeat(widths, sizes), _places(np.cumsum(lengths) - lengths, sizes, widths)
+    out = np.empty(len(place), dtype=np.int64)
+    for w in np.unique(widths).tolist():
+        own = width == w
+        out[own] = data[place[own][:, None] + np.arange(w)].view(f"<u{w}").ravel()
+    return out
 
 
 def _run(language: str, vocabulary: pa.Array, prefix: np.ndarray, starts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -268,26 +298,20 @@ def _run(language: str, vocabulary: pa.Array, prefix: np.ndarray, starts: np.nda
         tails = pc.replace_with_mask(second, pa.array(three > 0), joined)
     ends = np.concatenate((starts, [len(keys)]))
     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), tails)
-    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(_packed(counts))])
     names = pa.array([language], pa.string()).take(pa.array(np.zeros(len(starts), dtype=np.int32)))
     return pa.RecordBatch.from_arrays(
         [names, vocabulary.take(pa.array(prefix // SLOTS)), pa.array((prefix % SLOTS).astype(np.int32)),
-         pc.binary_join(lists, pa.scalar(b"\n", pa.binary())), packed], RUN_COLUMNS,
+         pc.binary_join(lists, pa.scalar(b"\n", pa.binary())), _packed(counts, starts)], RUN_COLUMNS,
     )
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    """All counts in a column of packed counts."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i8")
-
-
 def _merge(min_count: int):
     """Merges rows in the order of their prefixes; rows of one prefix come from different runs."""
 
     def folded(rows: pa.Table) -> pa.RecordBatch:
         tails = pc.split_pattern(rows.column("_tails").combine_chunks(), b"\n")
-        sizes = pc.list_value_length(tails).to_numpy()
-        counts, parents = _numbers(rows.column("_counts")), np.repeat(np.arange(rows.num_rows), sizes)
+        sizes = pc.list_value_length(tails).to_numpy().astype(np.int64)
+        counts, parents = _unpacked(rows.column("_counts"), sizes), np.repeat(np.arange(rows.num_rows), sizes)
         group = rows.column("_group").to_numpy()
         several = np.bincount(group, minlength=group[-1] + 1)[group] > 1
         flat = tails.flatten()

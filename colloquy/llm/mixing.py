@@ -106,10 +106,13 @@ def mixture(df: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     use_utc(df.sparkSession)
     ordered_by = F.col(f"`{seed_column or id_column}`")
     digest = F.md5(F.concat(F.coalesce(ordered_by.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    # Where the order does not go by the id, rows of equal place are told apart by what they hold.
+    tie = F.xxhash64(F.col(f"`{text_column}`").cast("string")) if seed_column else F.lit(0).cast("long")
     sized = written_table(
         df.select(
             F.col(f"`{id_column}`").alias("_id"), F.col(f"`{source_column}`").cast("string").alias("_source"),
             word_count(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))).alias("size"), digest.alias("_order"),
+            tie.alias("_tie"),
         ),
         "mixture-sizes",
     )
@@ -126,7 +129,7 @@ def mixture(df: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     quotas = written_table(
         apportion(joined, F.col("_blocks"), F.col("_cell"), ["_source"], ["_shard"], "_quota"), "mixture-quotas"
     )
-    cell = Window.partitionBy("_source", "_shard").orderBy("_order", "_id", "size")
+    cell = Window.partitionBy("_source", "_shard").orderBy("_order", "_tie", "_id", "size")
     placed = dealt.withColumn(
         "_start", F.coalesce(F.sum("size").over(cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     )
