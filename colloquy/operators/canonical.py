@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions import hashing, text
+from colloquy.functions.bloom import bits_for, may_contain
 from colloquy.functions.planning import select_once
 from colloquy.operators.sequences import with_row_number
 from colloquy.schema import CANONICAL_COLUMNS, first_existing, require_one_of
+from colloquy.session import written_table
 from colloquy.settings import CanonicalSettings
 
 UNITS_PER_SECOND = {"s": 1, "ms": 10**3, "us": 10**6, "ns": 10**9}
 ORDER = ("conversation_id", "turn_index")
+BROADCAST_ROWS = 200_000
 
 
 def parse_timestamp(column: Column, kind: T.DataType, unit: str = "ns") -> Column:
@@ -133,21 +136,44 @@ def normalize_records(
     return derived_columns(base_columns(raw, source_dataset, settings, cleaned_at))
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: list[str], order: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per key: the first in ``order``, remaining columns breaking ties.
 
-    Written as ``min(struct)`` rather than a ranking window: copies are folded map-side, so a text
-    that makes up a third of the table costs no task more than one row per map task. Null order
-    values come last. Maps have no order, so they travel as their entries.
+    Two passes over ``df``, which must give the same rows twice. The first counts rows by key and order
+    columns alone and writes the keys that repeat, each with its first place. The second lets rows of all
+    other keys pass where they are. Up to ``broadcast_rows`` repeated keys, counted before, are broadcast;
+    beyond that a Bloom filter of fixed size lets the rest pass and only what may repeat is joined. Rows
+    are compared as a whole only where several are first. Null order values come last.
     """
-    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
-    carried = {n: F.map_entries(n).alias(n) if n in maps else F.col(n) for n in df.columns}
-    rest = [name for name in df.columns if name not in keys and name not in order]
-    ranked = F.struct(
-        *[part for name in order for part in (F.col(name).isNull().alias(f"_null_{name}"), F.col(name))],
-        *[carried[name] for name in rest],
+    place = F.struct(*[part for name in order for part in (F.col(name).isNull().alias(f"_null_{name}"), F.col(name))])
+    first = place if order else F.struct(F.lit(0).alias("_none"))
+    places = df.select(*keys, first.alias("_place")).groupBy(*keys, "_place").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = places.groupBy(*keys).agg(F.sum("_n").alias("_rows"), F.min(F.struct("_place", "_n")).alias("_first"))
+    repeated = written_table(
+        repeated.filter("_rows > 1").select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_first"), "repeated-keys"
     )
-    picked = df.groupBy(*keys).agg(F.min(ranked).alias("_first"))
+    n = repeated.count()
+    if n == 0:
+        return df
+    match = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    if n <= broadcast_rows:
+        straight, joined = None, df.join(F.broadcast(repeated), match, "left")
+    else:
+        hashed = repeated.withColumn("_hash", F.xxhash64(*[f"_key{i}" for i in range(len(keys))]))
+        maybe = may_contain(hashed, "_hash", bits_for(n), F.xxhash64(*keys))
+        straight, joined = df.filter(~maybe), df.filter(maybe).join(repeated, match, "left")
+    kept = joined.filter(F.col("_first").isNull() | (first == F.col("_first._place")))
+    out = kept.filter(F.coalesce(F.col("_first._n"), F.lit(1)) == 1).select(*df.columns)
+    if not repeated.filter("_first._n > 1").isEmpty():
+        out = out.unionByName(_least(kept.filter("_first._n > 1").select(*df.columns), keys))
+    return out if straight is None else out.unionByName(straight)
+
+
+def _least(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the least by its other columns; maps have no order, so they travel as their entries."""
+    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
+    rest = [F.map_entries(n).alias(n) if n in maps else F.col(n) for n in df.columns if n not in keys]
+    picked = df.groupBy(*keys).agg(F.min(F.struct(*rest, F.lit(0).alias("_none"))).alias("_first"))
 
     def restore(name: str) -> Column:
         if name in keys:

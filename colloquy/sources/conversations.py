@@ -20,6 +20,8 @@ MESSAGE = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("role", "from", "content", "value")]
 )
 MESSAGES = T.ArrayType(MESSAGE)
+# Columns that name a conversation.
+ID_COLUMNS = ("conversation_id", "conversation_hash", "id")
 TURNS_PER_BLOCK = 4096
 
 
@@ -63,15 +65,19 @@ def extract_user_prompts(
     fallback_prefix: str = "conversation",
     max_conversations: int | None = None,
     sample_size: int | None = None,
-    number_records: bool = True,
+    number_records: bool | None = None,
 ) -> DataFrame:
     """Explode nested conversations into user prompts with turn and message positions.
 
     ``turn_index`` counts the kept user prompts, ``message_index`` is the position in the message
-    list. A record without any id gets its ordinal as id; with ``number_records=False`` (streams,
-    where rows have no ordinal) it gets a hash of its messages. The limits keep the first records
-    and then the first prompts, as a development aid.
+    list. Where the table has no id column, records are numbered, which reads it twice, and a record's ordinal
+    is its id. Where it has one, and with ``number_records=False`` (streams, where rows have no ordinal), a
+    record without an id gets a hash of its messages. The limits, which need numbers, keep the first
+    records and then the first prompts, as a development aid.
     """
+    if number_records is None:
+        has_id = any(name in records.columns for name in ID_COLUMNS)
+        number_records = not has_id or max_conversations is not None or bool(sample_size)
     element = _element_type(records, conversation_column)
     messages = F.filter(
         F.coalesce(_messages(records, conversation_column), F.array().cast(T.ArrayType(element))),
@@ -98,7 +104,7 @@ def extract_user_prompts(
     found = df.select(
         "_ordinal",
         F.coalesce(
-            _field(df, ("conversation_id", "conversation_hash", "id")),
+            _field(df, ID_COLUMNS),
             F.concat(F.lit(f"{fallback_prefix}_"), fallback),
         ).alias("conversation_id"),
         _field(df, ("timestamp", "created_at", "date")).alias("timestamp"),
