@@ -4,7 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from suite import analytics, classification, exploration, prompts, semantics  # noqa: F401
+from suite import analytics, classification, exploration, prompts, semantics, sources  # noqa: F401
 from suite.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

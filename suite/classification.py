@@ -10,6 +10,7 @@ from colloquy.operators.models import add_behavior_labels, add_emotion_labels
 from colloquy.operators.taxonomy import (
     add_matched_keywords, default_taxonomy, lexical_form, taxonomy_table,
 )
+from colloquy.operators.text_classifier import fit_text_classifier
 from colloquy.schema import FLAG_COLUMNS
 from colloquy.settings import ClassifySettings, ModelSettings
 from suite import inputs
@@ -273,6 +274,19 @@ def _(spark, folder):
     return rows.drop("text")
 
 
+@register("model_quality")
+def _(spark, folder):
+    """A classifier fitted on three quarters of the labelled documents, plugged in as the model, over all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    label = F.concat_ws("/", F.when(F.col("quality") == 1, "good").otherwise("poor"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
+    labelled = table(spark, folder, "labels").filter("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", label.alias("label"))
+    model = fit_text_classifier(docs.filter(~held_out).join(labelled, "doc_id"), "text")
+    settings = ClassifySettings(text_column="text", id_column="doc_id", emotion_model=ModelSettings(True, "hashed-terms", 64))
+    rows = add_emotion_labels(docs, settings, model.factory)
+    return rows.select("doc_id", held_out.alias("held_out"), "transformer_emotion_label", "transformer_emotion_score")
+
+
 def overlap_predictor(candidates):
     """Stand-in zero-shot model: the candidate at the text length modulo the number of candidates.
 

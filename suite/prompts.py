@@ -15,7 +15,7 @@ from colloquy.session import shared_folder
 from colloquy.settings import CanonicalSettings, LanguageFilter
 from colloquy.sources.conversations import extract_long_prompts, extract_user_prompts
 from colloquy.sources.files import json_lines
-from colloquy.streaming.acquire import stream_prompts, write_stream
+from colloquy.streaming.acquire import first_seen, merged_sums, stream_prompts, write_partial_sums, write_stream
 from suite import inputs
 from suite.inputs import WS, sql_detect, sql_split, table, text_table
 from suite.registry import register
@@ -97,6 +97,25 @@ def _(spark, folder):
     return spark.read.schema(prompts.schema).parquet(f"{target}/out")
 
 
+@register(
+    "stream_first_seen",
+    f"""SELECT "language", count(*) AS prompts, CAST(sum(length(prompt)) AS BIGINT) AS characters
+        FROM ({NESTED_SQL}) AS n GROUP BY ALL""",
+)
+def _(spark, folder):
+    """Conversations that arrive in two files, a third of them in both, are taken once; sums grow by batch."""
+    records = _nested(text_table(spark, folder, "documents"))
+    number = F.regexp_extract("conversation_id", r"(\d+)", 1).cast("long")
+    target = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    sums = {"prompts": F.lit(1), "characters": F.length("prompt")}
+    for part, wanted in (("first", number % 3 < 2), ("second", number % 3 > 0)):
+        records.filter(wanted).write.mode("append").parquet(f"{target}/in/{part}")
+        stream = spark.readStream.schema(records.schema).option("recursiveFileLookup", "true").parquet(f"{target}/in")
+        prompts = stream_prompts(first_seen(stream), "documents")
+        write_partial_sums(prompts, f"{target}/sums", f"{target}/state", ["language"], sums).awaitTermination()
+    return merged_sums(spark, f"{target}/sums", ["language"], list(sums))
+
+
 @register(
     "json_lines",
     """SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","user_id":' || user_id

@@ -334,7 +334,7 @@ def _(spark, folder):
     metadata = written_table(rows.select("vec_id", "label", "period"), "metadata")
     together = drift.attach_metadata(vectors, metadata, "vec_id")
     squares = F.aggregate(doubles(F.col("embedding")), F.lit(0.0), lambda a, x: a + x * x)
-    return together.select("vec_id", "label", "period", F.size("embedding").alias("dimensions"), squares.alias("squared_length"))
+    return together.select("vec_id", "label", "period", F.size("embedding").cast("long").alias("dimensions"), squares.alias("squared_length"))
 
 
 @register(
