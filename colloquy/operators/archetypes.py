@@ -13,6 +13,7 @@ from colloquy.schema import FLAG_COLUMNS
 from colloquy.session import written_table
 from colloquy.settings import AnalyticsSettings
 
+# Features of a conversation.
 FEATURE_COLUMNS = (
     *FLAG_COLUMNS, "dependency_score", "companionship_score", "vulnerability_score",
     "prompt_sophistication_score", "conversational_depth_score",

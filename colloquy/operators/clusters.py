@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,14 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.arrays import (
-    dot, doubles, squared_distance, vector_mean,
+    dot, doubles, squared_distance, vector_mean, vector_sum,
 )
 from colloquy.functions.planning import explode_once
 from colloquy.functions.stats import safe_ratio
 from colloquy.functions.text import SPACE
 from colloquy.operators.density import NOISE
+from colloquy.operators.neighbours import _matrix
 from colloquy.operators.sequences import top_n_per_group
 
+STAND_INS = 16_384
+
 
 def reduce_dimensions(
     vectors: DataFrame, k: int = 2, vector_column: str = "embedding", output: str = "reduced"
@@ -35,11 +42,112 @@ def kmeans_clusters(
     return model.transform(prepared).drop("_vector")
 
 
+def euclidean_silhouette(
+    df: DataFrame, vector_column: str = "embedding", cluster: str = "cluster", stand_ins: int = STAND_INS, seed: int = 42
+) -> DataFrame:
+    """One row: ``silhouette``, the mean over all rows outside the noise, and ``silhouette_error``, which bounds its error.
+
+    Distances to every row of a cluster are distances to its stand-ins, ``stand_ins`` in all. Rows go to the
+    nearest of their cluster's first rows by hash; each such cell counts with its size, mean and spread,
+    as sqrt(distance to the mean squared + spread). A row is at most the spread from the mean on average,
+    so the bound is twice the average spread, carried through the ratio. A cluster that has no more rows than
+    its share is exact. Both are null below two clusters or without more rows than clusters, and where there are
+    more clusters than half of ``stand_ins``.
+    """
+    schema = "silhouette double, silhouette_error double"
+    spark = df.sparkSession
+    members = df.select(doubles(F.col(vector_column)).alias("_x"), F.col(cluster).cast("long").alias("_c")).filter(
+        F.col("_c").isNotNull() & (F.col("_c") != NOISE) & F.col("_x").isNotNull()
+    )
+    counts = members.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).orderBy("_c").limit(stand_ins // 2 + 1).collect()
+    sizes = {r["_c"]: r["n"] for r in counts}
+    if not 2 <= len(sizes) <= stand_ins // 2 or sum(sizes.values()) <= len(sizes):
+        return spark.createDataFrame([(None, None)], schema)
+    order = [F.xxhash64(F.lit(seed), "_x"), F.col("_x")]
+    seeds = top_n_per_group(members, ["_c"], order, stand_ins // len(sizes), ["_x"]).select("_c", "_x").toArrow()
+    owner, first = np.asarray(seeds.column("_c")), _matrix(seeds.column("_x"))
+    centre = first.mean(axis=0)
+    first = first - centre
+    names = np.array(sorted(sizes))
+    total = np.array([sizes[c] for c in names.tolist()], dtype=float)
+    width = first.shape[1]
+
+    def cells_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Each row's cell: the nearest first row of its own cluster."""
+        out = np.empty(len(x), dtype=np.int64)
+        for name in np.unique(c):
+            rows, own = np.flatnonzero(c == name), np.flatnonzero(owner == name)
+            out[rows] = own[squared_distances(x[rows], first[own]).argmin(axis=1)]
+        return out
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weight, squares = np.zeros_like(first), np.zeros(len(first)), np.zeros(len(first))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0)) - centre
+                cell = cells_of(x, np.asarray(batch.column(1)))
+                np.add.at(sums, cell, x)
+                weight += np.bincount(cell, minlength=len(first))
+                squares += np.bincount(cell, weights=((x - first[cell]) ** 2).sum(axis=1), minlength=len(first))
+        used = np.flatnonzero(weight)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array(weight[used]), pa.array(squares[used]), pa.array(list(sums[used]), pa.list_(pa.float64()))],
+            ["cell", "w", "q", "s"],
+        )
+
+    parts = members.mapInArrow(moments, "cell long, w double, q double, s array<double>")
+    added = parts.groupBy("cell").agg(F.sum("w").alias("w"), F.sum("q").alias("q"), vector_sum(F.col("s")).alias("s")).orderBy("cell").toArrow()
+    used = np.asarray(added.column("cell"))
+    weight = np.asarray(added.column("w"))
+    mean = _matrix(added.column("s")) / weight[:, None]
+    # Squares around a cell's first row, moved to its mean; a cell of one row has no spread.
+    spread = np.maximum(np.asarray(added.column("q")) / weight - ((mean - first[used]) ** 2).sum(axis=1), 0.0)
+    spread[weight == 1] = 0.0
+    place = np.full(len(first), -1, dtype=np.int64)
+    place[used] = np.arange(len(used))
+    group = np.searchsorted(names, owner[used])
+    error = np.bincount(group, weights=2 * weight * np.sqrt(spread), minlength=len(names)) / total
+    share = np.zeros((len(used), len(names)))
+    share[np.arange(len(used)), group] = weight
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, value, bound = 0, 0.0, 0.0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                rows = batch.slice(start, 1024)
+                x, c = _matrix(rows.column(0)) - centre, np.searchsorted(names, np.asarray(rows.column(1)))
+                distance = np.sqrt(squared_distances(x, mean) + spread)
+                sums = distance @ share
+                at = np.arange(len(x))
+                own = place[cells_of(x, np.asarray(rows.column(1)))]
+                a = np.maximum(sums[at, c] - distance[at, own], 0.0) / np.maximum(total[c] - 1, 1)
+                means = sums / total
+                means[at, c] = np.inf
+                other = means.argmin(axis=1)
+                b = means[at, other]
+                most = np.maximum(a, b)
+                s = np.divide(b - a, most, out=np.zeros_like(a), where=most > 0)
+                off = error[c] * total[c] / np.maximum(total[c] - 1, 1) + error.max()
+                reach = most - off
+                wrong = np.where(off == 0, 0.0, np.where(reach > 0, np.minimum(off / np.where(reach > 0, reach, 1.0), 2.0), 2.0))
+                single = total[c] == 1
+                n, value, bound = n + len(x), value + s[~single].sum(), bound + wrong[~single].sum()
+        yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([float(value)]), pa.array([float(bound)])], ["n", "v", "e"])
+
+    found = members.mapInArrow(compared, "n double, v double, e double")
+    return found.agg((F.sum("v") / F.sum("n")).alias("silhouette"), (F.sum("e") / F.sum("n")).alias("silhouette_error"))
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T), 0.0)
+
+
 def cluster_quality(df: DataFrame, vector_column: str = "embedding", cluster: str = "cluster") -> DataFrame:
-    """One row: sizes, noise share, Davies–Bouldin, Calinski–Harabasz and squared-Euclidean silhouette.
+    """One row: sizes, noise share, Davies–Bouldin, Calinski–Harabasz, Euclidean and squared-Euclidean silhouette.
 
-    All metrics are exact and linear in the rows: a first pass gives the cluster means, a second one
-    compares each point with those means (one entry per cluster). Noise is left out of the metrics,
+    The Euclidean silhouette comes with a bound of its error (:func:`euclidean_silhouette`). All other metrics
+    are exact and linear in the rows: a first pass gives the cluster means, a second one compares each point
+    with those means (one entry per cluster). Noise is left out of the metrics,
     which are null unless there are two clusters and more points than clusters.
     """
     points = df.select(doubles(F.col(vector_column)).alias("_x"), F.col(cluster).alias("_c"))
@@ -116,8 +224,11 @@ def cluster_quality(df: DataFrame, vector_column: str = "embedding", cluster: st
             safe_ratio(F.count_if(F.col("_c") == NOISE), F.count(F.lit(1))).alias("noise"),
         )
     ).scalar()
-    return metrics.withColumn("_t", counts).select(
+    both = F.struct("silhouette", "silhouette_error")
+    exact = euclidean_silhouette(df, vector_column, cluster).select(both).scalar()
+    return metrics.withColumns({"_t": counts, "_e": exact}).select(
         F.col("_t.n").alias("num_records"), "num_clusters", F.col("_t.noise").alias("noise_fraction"),
+        F.col("_e.silhouette").alias("silhouette"), F.col("_e.silhouette_error").alias("silhouette_error"),
         "silhouette_squared_euclidean", "davies_bouldin", "calinski_harabasz",
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.stats import rate, safe_ratio
 from colloquy.schema import FLAG_COLUMNS, LABEL_COLUMNS
 
+# Flags whose coverage is reported.
 COVERAGE = (
     ("interaction_mode", "interaction_mode_score"),
     ("cognitive_outsourcing_type", "cognitive_outsourcing_score"),
@@ -25,6 +26,7 @@ COVERAGE = (
     ("reassurance_seeking", "reassurance_seeking_score"),
     ("self_disclosure", "self_disclosure_score"),
 )
+# Scores that are compared.
 SCORE_SETS = (
     ("interaction", (
         "interaction_mode_score", "cognitive_outsourcing_score", "emotion_score",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.stats import safe_ratio
 from colloquy.schema import require_columns
 
+# Predicted columns and the labels they are held against.
 DEFAULT_TARGETS = {
     name: name
     for name in (

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from colloquy.settings import DEFAULT_EVENTS, EventWindow
 
+# Measures before and after an event.
 EVENT_METRICS = (
     "is_companionship", "is_vulnerable", "is_dependency_signal", "is_cognitive_outsourcing",
     "dependency_score", "prompt_sophistication_score", "conversational_depth_score",

@@ -10,6 +10,7 @@ from colloquy.functions.stats import rate
 from colloquy.operators.sequences import count_adjacent_states
 from colloquy.schema import FLAG_COLUMNS, require_columns
 
+# Scores with a trend.
 SCORE_COLUMNS = (
     "dependency_score", "companionship_score", "vulnerability_score", "anthropomorphism_score",
     "reassurance_seeking_score", "prompt_sophistication_score", "conversational_depth_score",

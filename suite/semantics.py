@@ -177,11 +177,12 @@ def _labelled(spark, folder):
     f"""WITH {QUALITY}
     SELECT (SELECT count(*) FROM embeddings) AS num_records, (SELECT count(*) FROM sizes) AS num_clusters,
            (SELECT avg(CAST(label = 3 AS INTEGER)) FROM embeddings) AS noise_fraction,
+           (SELECT avg((b1 - a1) / greatest(a1, b1)) FROM sil) AS silhouette, CAST(0 AS DOUBLE) AS silhouette_error,
            (SELECT avg((b2 - a2) / greatest(a2, b2)) FROM sil) AS silhouette_squared_euclidean,
            (SELECT avg(r) FROM worst) AS davies_bouldin,
            (SELECT b FROM between_ss) / ((SELECT count(*) FROM sizes) - 1)
              / ((SELECT sum(w) FROM spread) / ((SELECT sum(n) FROM sizes) - (SELECT count(*) FROM sizes))) AS calinski_harabasz""",
-    ("noise_fraction", "silhouette_squared_euclidean", "davies_bouldin", "calinski_harabasz"),
+    ("noise_fraction", "silhouette", "silhouette_error", "silhouette_squared_euclidean", "davies_bouldin", "calinski_harabasz"),
     digits=7,
 )
 def _(spark, folder):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import density, neighbours
+from colloquy.operators import clusters, density, neighbours
 from colloquy.operators.density import density_clusters
 
 
@@ -181,3 +181,27 @@ def test_odd_tables(spark):
     rows = density_clusters(copies, min_cluster_size=50).collect()
     assert len({r.cluster for r in rows if r.cluster >= 0}) == 3 and [r.vec_id for r in rows if r._id != r.vec_id] == []
     assert density.NOISE == -1
+
+
+@pytest.mark.parametrize("stand_ins", [16_384, 60])
+def test_euclidean_silhouette_within_its_bound(spark, stand_ins):
+    rng = np.random.default_rng(3)
+    x = np.vstack([c + s * rng.standard_normal((n, 4)) for c, s, n in ((0, 0.3, 120), (4, 0.5, 90), (9, 0.4, 60))] + [np.full((1, 4), 30.0), np.full((3, 4), -9.0)])
+    labels = np.repeat([0, 1, 2, 3, -1], [120, 90, 60, 1, 3])
+    rows = [([float(v) for v in row], int(c)) for row, c in zip(x, labels)]
+    table = spark.createDataFrame(rows, "embedding array<double>, cluster int").repartition(3)
+    kept = labels >= 0
+    points, own = x[kept], labels[kept]
+    distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    wanted = []
+    for k in range(len(points)):
+        if (own == own[k]).sum() == 1:
+            wanted.append(0.0)
+            continue
+        a = distance[k][own == own[k]].sum() / ((own == own[k]).sum() - 1)
+        b = min(distance[k][own == c].mean() for c in set(own.tolist()) - {own[k]})
+        wanted.append((b - a) / max(a, b))
+    row = clusters.euclidean_silhouette(table, stand_ins=stand_ins).first()
+    gap = abs(row.silhouette - np.mean(wanted))
+    assert gap <= row.silhouette_error + 1e-7 and row.silhouette_error < 0.6
+    assert (row.silhouette_error == 0 and gap < 1e-7) if stand_ins > 1000 else row.silhouette_error > 0 and gap < 0.05
