@@ -101,21 +101,29 @@ def _encode_words(tokenizer, words: list[str], step: int = 10_000) -> tuple[np.n
     return np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32), lengths
 
 
-def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Finish, schema: str) -> DataFrame:
+def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Finish, schema: str,
+                     bounds: np.ndarray | None = None) -> DataFrame:
     """Encode ``_id, _text, _block`` and hand each block to ``finish``.
 
+    With ``bounds``, the least whole-number ids of all blocks but the first, ids give the blocks and ``_block``
+    is not read; a missing id is in the first.
+
     ``finish(block, rows, ids, counts)`` gets the block's rows (``_id``), all their ids in a row and
     the number of ids of each, and returns the block's result. ``tokenizer`` is the JSON text.
     """
     n_buckets = max(1, n_blocks // 2)
     width = np.uint16 if vocabulary_size(tokenizer) <= 1 << 16 else np.uint32
-    words = docs.select("_block", "_id", F.split("_text", BOUNDARY).alias("_words"))
+    block = F.col("_block") if bounds is None else F.lit(0)
+    words = docs.select(block.alias("_block"), "_id", F.split("_text", BOUNDARY).alias("_words"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             joined = pc.binary_join(batch.column(2).cast(pa.list_(pa.binary())), SEPARATOR)
             rows = pa.table({"_id": batch.column(1), "_joined": joined})
             places = np.asarray(batch.column(0))
+            if bounds is not None:
+                ids = batch.column(1)
+                places = np.where(np.asarray(ids.is_null()), 0, np.searchsorted(bounds, np.asarray(ids.fill_null(0)), side="right"))
             order = np.argsort(places, kind="stable")
             blocks, starts = np.unique(places[order], return_index=True)
             for block, a, b in zip(blocks, starts, [*starts[1:], len(order)]):
@@ -180,7 +188,7 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
         return finish(rows.column("_block")[0].as_py(), pa.concat_tables(known), np.concatenate(ids), np.concatenate(counts))
 
     requests = held.mapInArrow(wanted, "_bucket int, _block int, _payload binary")
-    answers = requests.repartition(n_buckets, "_bucket").mapInArrow(answered, "_block int, _answer binary")
+    answers = requests.repartitionById(n_buckets, F.col("_bucket")).mapInArrow(answered, "_block int, _answer binary")
     return held.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(placed, schema)
 
 

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.bpe import count_blocks, encode_in_blocks, read_tokenizer
+from colloquy.llm.bpe import encode_in_blocks, read_tokenizer
 from colloquy.llm.common import whole_text
 from colloquy.session import shared_folder, use_utc, written_table
 
@@ -70,40 +70,39 @@ def open_sequences(folder: str, name: str) -> pa.ipc.RecordBatchFileReader:
     return pa.ipc.open_file(target.open_input_file(f"{root}/{name}"))
 
 
-def _range_number(value: Column, bounds: list[int]) -> Column:
-    """How many bounds are below the value, by halving; a missing value is below all."""
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
-    ends = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+def block_bounds(df: DataFrame, ident: Column, text: Column, block_bytes: int) -> np.ndarray:
+    """The least ids of all blocks but the first, where blocks are ranges of ids with ``block_bytes`` of text each.
 
-    def halve(at: Column, _: Column) -> Column:
-        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
-        right = (at["low"] < at["high"]) & (F.get(table, middle) < value)
-        return F.struct(
-            F.when(right, middle + 1).otherwise(at["low"]).alias("low"), F.when(right, at["high"]).otherwise(middle).alias("high")
-        )
-
-    steps = F.array(*[F.lit(k) for k in range(len(bounds).bit_length() + 1)])
-    return F.when(value.isNull(), F.lit(0)).otherwise(F.aggregate(steps, ends, halve)["low"])
+    Ids are range-sorted beside their texts' sizes; running sums go on over partitions by one row of each.
+    An id given several times is in one block. What reaches the driver is one number per block.
+    """
+    sized = df.select(ident.alias("_id"), (F.octet_length(text) + 1).alias("_bytes")).filter("_id IS NOT NULL")
+    sized = sized.repartitionByRange("_id").sortWithinPartitions("_id").withColumn("_part", F.spark_partition_id())
+    sized = written_table(sized, "token-sizes")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sized.groupBy("_part").agg(F.sum("_bytes").alias("_sum")).select(
+        "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
+    )
+    inside = Window.partitionBy("_part").orderBy("_id").rangeBetween(Window.unboundedPreceding, -1)
+    running = sized.withColumn("_inside", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).join(F.broadcast(offsets), "_part")
+    blocks = running.groupBy(F.floor((F.col("_inside") + F.col("_offset")) / block_bytes).alias("_block")).agg(F.min("_id").alias("_least"))
+    return np.array(sorted(r["_least"] for r in blocks.filter("_block > 0").collect()), dtype=np.int64)
 
 
 def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, id_column: str = "doc_id", text_column: str = "text",
                  end_id: int = 0, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write the files and return the manifest: shard, ids_file, docs_file, n_docs, n_tokens.
 
-    The ids must be whole numbers. Ranges are cut at approximate quantiles of the ids.
+    The ids must be whole numbers. Ranges of ids hold ``block_bytes`` of text each.
     """
     use_utc(df.sparkSession)
-    n_blocks = count_blocks(df, text_column, block_bytes)
     ident = F.col(f"`{id_column}`").cast("long")
-    shares = [k / n_blocks for k in range(1, n_blocks)]
-    bounds = df.select(F.percentile_approx(ident, shares, 10_000)).first()[0] if shares else None
-    bounds = sorted(set(bounds or []))
+    bounds = block_bounds(df, ident, whole_text(text_column), block_bytes)
+    n_blocks = len(bounds) + 1
     tokenizer = read_tokenizer(tokenizer_path)
     target, root = _filesystem(folder)
     target.create_dir(root, recursive=True)
-    docs = df.select(ident.alias("_id"), whole_text(text_column).alias("_text"), _range_number(ident, bounds).alias("_block"))
+    docs = df.select(ident.alias("_id"), whole_text(text_column).alias("_text"))
 
     def finish(block: int, rows: pa.Table, ids: np.ndarray, counts: np.ndarray) -> pa.Table:
         known = rows.column("_id").combine_chunks()
@@ -134,7 +133,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, id_column: str
         })
 
     schema = "shard int, ids_file string, docs_file string, n_docs long, n_tokens long"
-    return written_table(encode_in_blocks(docs, tokenizer, n_blocks, finish, schema), "token-manifest")
+    return written_table(encode_in_blocks(docs, tokenizer, n_blocks, finish, schema, bounds), "token-manifest")
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
@@ -150,10 +149,10 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                 lengths = np.asarray(listed.column("n_tokens"))
                 ends = np.cumsum(lengths)
                 reader = open_sequences(folder, ids_file)
-                batches_of_ids = [reader.get_batch(k) for k in range(reader.num_record_batches)]
-                held = [np.asarray(b.column(0).flatten())[np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False))] for b in batches_of_ids]
-                ids = np.concatenate(held)
-                checks = [_checksum(ids[a:b]) for a, b in zip(ends - lengths, ends)]
+                held = [reader.get_batch(k).column(0).flatten().to_numpy() for k in range(reader.num_record_batches)]
+                # The mask is false at the end of the last sequence alone, after the ids of all documents.
+                data = memoryview(np.concatenate(held)[:int(ends[-1])].astype("<u4")).cast("B")
+                checks = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [listed.column("doc_id").combine_chunks(), pa.array(base + ends - lengths, pa.int64()),
                      pa.array(lengths, pa.int64()), pa.array(checks, pa.int64())],

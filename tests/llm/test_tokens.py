@@ -198,3 +198,15 @@ def test_pipeline(spark):
     assert mixed.columns == docs.columns
     wanted = sorted((r["doc_id"], PLAIN.encode(r["text"], add_special_tokens=False).ids) for r in mixed.collect())
     assert sorted((r["doc_id"], r["ids"]) for r in final) == wanted
+
+
+def test_blocks_hold_equal_bytes(spark):
+    from colloquy.llm.tokenfile import block_bounds
+
+    docs = spark.range(30_000).select((F.col("id") * 7 - 500).alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text")).repartition(9)
+    bounds = block_bounds(docs, F.col("doc_id"), F.col("text"), 60)
+    assert len(bounds) > 12_000 and (np.diff(bounds) > 0).all()
+    sizes = np.zeros(len(bounds) + 1, dtype=int)
+    for r in docs.collect():
+        sizes[np.searchsorted(bounds, r.doc_id, side="right")] += len(r.text) + 1
+    assert sizes.max() < 60 + 50 and len(block_bounds(docs.limit(0), F.col("doc_id"), F.col("text"), 60)) == 0
