@@ -1,14 +1,16 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences, sentences are normalised, and each known licence sentence stands for an
+A text is normalised to its words: lower case, letters and digits, single blanks. Line wraps, comment marks and
+punctuation are gone, so a notice reads the same on one line, hard-wrapped or in a source comment. Known
+licence sentences are recognised in it as whole runs of words, the longest first, and each stands for an
 identifier. The identifiers of a text, in order, are matched against an ordered list of rules; a rule is
 a sequence of identifiers that names a licence. An earlier rule takes its sentences away from later
 ones, so that a whole licence text is not also reported as the shorter ones it contains.
 
 Everything is built-in functions in one projection; nothing is shuffled.
 
-Defined results: a missing or empty text has no sentences and no licence; rows that repeat give the same
-result; an empty table gives an empty table; other columns are not read.
+Defined results: a missing or empty text has no sentences and no licence; texts of any length are read whole;
+rows that repeat give the same result; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.planning import select_once
-from colloquy.llm.common import let, whole_text
+from colloquy.llm.common import whole_text
 
 # Known sentences of public licences, normalised, by identifier.
 SENTENCES = {
@@ -31,7 +33,7 @@ SENTENCES = {
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     ),
     "ApacheSee": ("see the license for the specific language governing permissions and limitations under the license",),
-    "MitRef": ("released under the mit license", "licensed under the mit license"),
+    "MitRef": ("released under the mit license", "licensed under the mit license", "licensed under the terms of the mit license"),
     "MitGrant": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     ),
@@ -40,6 +42,9 @@ SENTENCES = {
         "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     ),
     "Gpl3Ref": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"),
+    "Gpl2Free": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    ),
     "Gpl2Ref": ("this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"),
     "GplFree": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
@@ -64,6 +69,14 @@ SENTENCES = {
     "CcByNcRef": ("licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"),
     "Cc0Ref": ("released under cc0 1 0", "licensed under cc0 1 0"),
     "AllRights": ("all rights reserved",),
+    "SpdxApache": ("spdx license identifier apache 2 0",),
+    "SpdxMit": ("spdx license identifier mit",),
+    "SpdxBsd2": ("spdx license identifier bsd 2 clause",),
+    "SpdxBsd3": ("spdx license identifier bsd 3 clause",),
+    "SpdxGpl2": ("spdx license identifier gpl 2 0 only", "spdx license identifier gpl 2 0"),
+    "SpdxGpl2Later": ("spdx license identifier gpl 2 0 or later",),
+    "SpdxGpl3": ("spdx license identifier gpl 3 0 only", "spdx license identifier gpl 3 0"),
+    "SpdxGpl3Later": ("spdx license identifier gpl 3 0 or later",),
 }
 # The rules in order of precedence, each a sequence of identifiers and a licence.
 RULES = (
@@ -77,6 +90,17 @@ RULES = (
     (("GplFree", "GplNoWarranty", "GplSee", "GplCopy"), "GPL-3.0-or-later"),
     (("GplFree", "GplNoWarranty", "GplSee"), "GPL-3.0-or-later"),
     (("GplFree",), "GPL-3.0-or-later"),
+    (("Gpl2Free", "GplNoWarranty", "GplSee", "GplCopy"), "GPL-2.0-or-later"),
+    (("Gpl2Free", "GplNoWarranty", "GplSee"), "GPL-2.0-or-later"),
+    (("Gpl2Free",), "GPL-2.0-or-later"),
+    (("SpdxApache",), "Apache-2.0"),
+    (("SpdxMit",), "MIT"),
+    (("SpdxBsd2",), "BSD-2-Clause"),
+    (("SpdxBsd3",), "BSD-3-Clause"),
+    (("SpdxGpl2Later",), "GPL-2.0-or-later"),
+    (("SpdxGpl2",), "GPL-2.0-only"),
+    (("SpdxGpl3Later",), "GPL-3.0-or-later"),
+    (("SpdxGpl3",), "GPL-3.0-only"),
     (("ApacheRef",), "Apache-2.0"),
     (("MitRef",), "MIT"),
     (("Gpl3Ref",), "GPL-3.0-only"),
@@ -87,22 +111,33 @@ RULES = (
     (("Cc0Ref",), "CC0-1.0"),
     (("AllRights",), "LicenseRef-All-rights-reserved"),
 )
-# A sentence ends at the end of a line, or at a mark before a blank.
-ENDS = r"([.!?;:])[\x20\t]+"
 KNOWN = {sentence: name for name, sentences in SENTENCES.items() for sentence in sentences}
+# A known sentence as a run of whole words; of several that begin at a word the longest is taken.
+RUN = rf"\b({'|'.join(sorted(KNOWN, key=lambda s: (-len(s), s)))})\b"
+ENDS = r"([.!?;:])[\x20\t]+"
+# Every known sentence holds one of these in a word.
+HINTS = ("licens", "software", "redistribution", "rights", "cc0", "warranty")
+
+
+def words_only(text: Column) -> Column:
+    """Lower case, letters and digits only, single blanks."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def sentences_of(text: Column) -> Column:
-    """Normalised sentences: lower case, letters and digits only, single blanks; empty ones left out."""
+    """Normalised sentences, which end with a line or at a mark before a blank; empty ones left out."""
     cut = F.split(F.regexp_replace(text, ENDS, "$1\n"), "\n")
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
+    return F.filter(F.transform(cut, words_only), lambda s: s != "")
 
 
-def identified(sentences: Column) -> Column:
-    """The identifiers of the known sentences, in order."""
+def identified(text: Column) -> Column:
+    """The identifiers of the known sentences, in order; most texts hold no hint and are not searched."""
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    known = F.array(*[F.lit(s) for s in KNOWN])
-    return F.transform(F.filter(sentences, lambda s: F.array_contains(known, s)), lambda s: F.element_at(names, s))
+    hinted = F.lit(False)
+    for hint in HINTS:
+        hinted = hinted | F.contains(F.lower(text), F.lit(hint))
+    found = F.transform(F.regexp_extract_all(words_only(text), F.lit(RUN), F.lit(1)), lambda s: F.element_at(names, s))
+    return F.when(hinted, found).otherwise(F.array().cast("array<string>"))
 
 
 def matched(identifiers: Column) -> Column:
@@ -126,17 +161,11 @@ def matched(identifiers: Column) -> Column:
 
 
 def find_licenses(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row: id, ``n_sentences``, ``sentence_ids`` and ``licenses``, the last two arrays."""
-    text = F.col("_text")
+    """One row per row: id, ``n_sentences`` of the text, ``sentence_ids`` and ``licenses``, the last two arrays."""
     source = df.select(F.col(f"`{id_column}`").alias(id_column), whole_text(text_column).alias("_text"))
-    facts = let(
-        sentences_of(text),
-        lambda s: F.struct(F.size(s).cast("long").alias("n_sentences"), identified(s).alias("sentence_ids")),
-    )
-    found = select_once(source, [id_column], {"_found": facts})
-    return found.select(
-        id_column, F.col("_found.n_sentences"), F.col("_found.sentence_ids"), matched(F.col("_found.sentence_ids")).alias("licenses")
-    )
+    text = F.col("_text")
+    found = select_once(source, [id_column], {"n_sentences": F.size(sentences_of(text)).cast("long"), "_ids": identified(text)})
+    return found.select(id_column, "n_sentences", F.col("_ids").alias("sentence_ids"), matched(F.col("_ids")).alias("licenses"))
 
 
 def sql() -> str:
@@ -151,20 +180,25 @@ def sql() -> str:
             f"AND NOT list_contains(names, {quote(name)}) THEN list_append(names, {quote(name)}) ELSE names END AS names FROM {last})"
         )
         last = f"r{k}"
+    run = RUN.replace("'", "''")
     return f"""
 WITH known(sentence, name) AS (VALUES {known}),
+found AS (
+  SELECT doc_id, regexp_extract_all(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), '{run}', 1) AS runs FROM documents
+),
 cut AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t]+', '\\1\n', 'g'), chr(10)) AS parts FROM documents
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t]+', '\\1\n', 'g'), chr(10)) AS pieces FROM documents
 ),
-lines AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS place FROM cut),
-clean AS (SELECT doc_id, place, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM lines),
+sizes AS (SELECT doc_id, len(list_filter(pieces, lambda p: regexp_matches(lower(p), '[a-z0-9]'))) AS n_sentences FROM cut),
+parts AS (SELECT doc_id, unnest(runs) AS sentence, unnest(range(len(runs))) AS place FROM found),
 marked AS (
-  SELECT d.doc_id, coalesce(string_agg('<' || k.name || '>', '' ORDER BY c.place) FILTER (k.name IS NOT NULL), '') AS left_,
-    CAST([] AS VARCHAR[]) AS names, count(c.sentence) AS n_sentences,
-    coalesce(string_agg(k.name, ',' ORDER BY c.place) FILTER (k.name IS NOT NULL), '') AS sentence_ids
-  FROM documents d LEFT JOIN (SELECT * FROM clean WHERE sentence != '') c USING (doc_id) LEFT JOIN known k USING (sentence)
-  GROUP BY d.doc_id
+  SELECT f.doc_id, coalesce(string_agg('<' || k.name || '>', '' ORDER BY p.place) FILTER (k.name IS NOT NULL), '') AS left_,
+    CAST([] AS VARCHAR[]) AS names,
+    coalesce(string_agg(k.name, ',' ORDER BY p.place) FILTER (k.name IS NOT NULL), '') AS sentence_ids
+  FROM found f LEFT JOIN parts p USING (doc_id) LEFT JOIN known k USING (sentence)
+  GROUP BY f.doc_id
 ),
 {', '.join(steps)}
-SELECT m.doc_id, m.n_sentences, m.sentence_ids, array_to_string(r.names, ',') AS licenses FROM marked m JOIN {last} r USING (doc_id)
+SELECT m.doc_id, n_sentences, m.sentence_ids, array_to_string(r.names, ',') AS licenses
+FROM marked m JOIN {last} r USING (doc_id) JOIN sizes USING (doc_id)
 """
