@@ -149,14 +149,14 @@ def condensed_tree(forest: DataFrame, min_cluster_size: int, part_edges: int = L
         width = total - low
         while True:
             level = edges.filter((F.col("rank") >= low) & (F.col("rank") < low + width))
-            labels = components(level)
-            if width <= part_edges:
+            if width <= part_edges:  # the whole level is small enough for one task
+                joined = level.withColumn("component", F.lit(0).cast("long"))
                 break
-            sizes = level.join(labels, level["a"] == labels["node"]).groupBy("component").count()
-            if sizes.filter(F.col("count") > part_edges).isEmpty():
+            labels = components(level).select(F.col("node").alias("a"), "component")
+            joined = level.join(labels, "a")
+            if joined.groupBy("component").count().filter(F.col("count") > part_edges).isEmpty():
                 break
             width = max(part_edges, width // 2)
-        joined = level.join(labels.select(F.col("node").alias("a"), "component"), "a")
         for end in "ab":
             if state is None:
                 known = joined.withColumns({f"{end}_size": F.lit(1).cast("long"), f"{end}_cluster": F.lit(None).cast("long"),
@@ -202,6 +202,8 @@ def condensed_tree(forest: DataFrame, min_cluster_size: int, part_edges: int = L
         own = members[level].select(F.col("node").alias("_at"), "cluster")
         here = at.join(own, "_at").select("node", "cluster")
         found = here if found is None else found.unionByName(here)
+        if level + 1 == len(moves):
+            break
         left = at.join(own, "_at", "left_anti").join(moved.select(F.col("node").alias("_at"), "root"), "_at", "left")
         at = written_table(left.select("node", F.coalesce("root", "_at").alias("_at")), "tree-rows")
     every = clusters[0]
