@@ -8,7 +8,7 @@ from colloquy.functions import text
 from colloquy.functions.text import (
     clean_text, content_tokens, length_category, period_bin, word_count,
 )
-from colloquy.operators import exploratory, trendtests
+from colloquy.operators import exploratory, sketches, trendtests
 from suite.analytics import FIT_COLUMNS, FIT_DOUBLES, regression_sql, unpivot_sql
 from suite.inputs import WS, table, text_table
 from suite.registry import register
@@ -381,3 +381,17 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return exploratory.sentiment_by(_sentiment(spark, folder), "lang")
+
+
+@register(
+    "sketched_quantiles",
+    """SELECT event_type, count(value) AS num_records, unnest([0.25, 0.5, 0.75, 0.9, 0.99]::DOUBLE[]) AS q, TRUE AS within_bound
+       FROM events WHERE value IS NOT NULL GROUP BY event_type""",
+)
+def _(spark, folder):
+    """Quantiles of a value by type, from sketches by type and day; their ranks are measured over all events."""
+    events = table(spark, folder, "events").withColumn("day", F.to_date("ts"))
+    daily = sketches.quantile_sketches(events, ["event_type", "day"], "value")
+    found = sketches.sketch_quantiles(sketches.merge_sketches(daily, ["event_type"]), ["event_type"], (0.25, 0.5, 0.75, 0.9, 0.99))
+    measured = sketches.rank_errors(events, ["event_type"], "value", found)
+    return measured.select("event_type", "num_records", "q", (F.col("rank_error") <= sketches.rank_bound()).alias("within_bound"))

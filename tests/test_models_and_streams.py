@@ -78,3 +78,20 @@ def test_filter_of_fixed_size(spark):
     found = {r.id for r in probed.collect()}
     assert set(range(0, 3000, 3)) <= found and len(found) < 1200
     assert bits_for(10**12) == 1 << 26 and spark.range(9).filter(may_contain(keys.limit(0), "k", bits_for(0), F.col("id"))).count() == 0
+
+
+def test_sketched_quantiles(spark):
+    from colloquy.operators import sketches
+
+    rng = np.random.default_rng(0)
+    rows = [(k % 3, k % 5, float(v)) for k, v in enumerate(rng.lognormal(size=9000))] + [(0, 0, None), (1, 0, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, day int, v double").repartition(6)
+    merged = sketches.merge_sketches(sketches.quantile_sketches(df, ["g", "day"], "v"), ["g"])
+    found = sketches.sketch_quantiles(merged, ["g"], (0.1, 0.5, 0.99))
+    measured = sketches.rank_errors(df, ["g"], "v", found).collect()
+    assert len(measured) == 9 and all(r.num_records == 3000 for r in measured)
+    for r in measured:
+        values = np.array([v for g, _, v in rows if g == r.g and v is not None and v == v])
+        low, high = (values < r.value).mean(), (values <= r.value).mean()
+        assert r.rank_error == pytest.approx(max(0.0, low - r.q, r.q - high)) and r.rank_error <= sketches.rank_bound()
+    assert abs(sketches.above_quantile(df.filter("NOT isnan(v)"), "v", 0.9).count() - 900) <= 9000 * sketches.rank_bound() + 1
