@@ -3,7 +3,8 @@
 A group of documents that agree so far is split by its next digit, a slice of bytes. A group of one is
 finished, and so is a group whose texts have ended. Digits grow sixteenfold from round to round, so
 the number of rounds is logarithmic in the longest text; no digest stands for a text. The byte length
-is compared along with the first digit, and only texts that share both are ever moved.
+is compared along with the first digit; texts that share both are moved, and those few that a filter of
+fixed size (8 MB) takes for such.
 
 Every round counts its groups with partial sums, so a group that holds a third of all rows is folded
 before the shuffle. Members find their new group by a join of written tables, whose hot keys adaptive
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.bloom import bits_for, may_contain
 from colloquy.llm.common import whole_text
 from colloquy.session import use_utc, written_table
 
@@ -53,8 +55,11 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     )
     ended = [members.filter("_ended").drop("_ended")]
     running = members.filter("NOT _ended").select("_id", *keys, F.col("_next").alias("_group")).distinct()
-    # A merge join at every size: one shuffle of the texts, in proportion to the input.
+    # Texts that share neither stay where they are, but for the few that a filter of fixed size lets pass. A merge
+    # join at every size: one shuffle of the rest.
     whole = texts.withColumns({"_length": F.octet_length("_rest"), "_digit": F.substring("_rest", 1, first_digit)})
+    name = F.xxhash64("_id", *keys)
+    whole = whole.filter(may_contain(running.select(name.alias("_hash")), "_hash", bits_for(running.count()), name))
     rest = F.expr(f"substring(_rest, {first_digit} + 1)").alias("_rest")
     active = written_table(
         whole.join(running.hint("merge"), ["_id", *keys]).select(*[F.col(k).alias(f"_head{k}") for k in keys], "_id", "_group", rest),
