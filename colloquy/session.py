@@ -53,12 +53,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def written_table(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once to the shared folder and read them back.
+def written_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write the rows once to the shared folder and read them back; ``compression`` is a codec of Parquet.
 
     For results that are read several times or in loops: the work behind them is done once, and lost
     executors do not bring it back. The folder is the cluster's to clean up, like any checkpoint.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

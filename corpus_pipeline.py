@@ -32,7 +32,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     name = "_row"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
-    return written_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return written_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", "zstd"), name
 
 
 def without(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
