@@ -33,7 +33,7 @@ MARK = b"\xff"  # in no UTF-8 text
 BITS = 21
 WORD_MASK = (1 << BITS) - 1
 EMPTY = -1
-MAX_ENTRIES = 1_500_000
+MAX_ENTRIES = 2_500_000
 BURST = 1 << 17
 SLOTS = 16
 CHUNK_WORDS = 300_000
