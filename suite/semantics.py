@@ -309,7 +309,7 @@ def _with_sizes(assigned, cluster: str):
 
 @register("density_clusters")
 def _(spark, folder):
-    """Clusters of varying density over two principal components, as the reference settings have it."""
+    """Clusters of varying density over two principal components."""
     reduced = clusters.reduce_dimensions(_vectors(spark, folder)).select("vec_id", "reduced")
     return _with_sizes(written_table(density_clusters(reduced, "reduced").select("vec_id", "cluster"), "density"), "cluster")
 
