@@ -26,6 +26,7 @@ ROW_BLOCK = 16_384
 QUERY_BLOCK = 2_048
 SAMPLE_PER_LIST = 64
 MAX_LISTS = 4_096
+SCORES = 1_000_000  # numbers of a matrix that a task holds at a time
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -49,6 +50,24 @@ def _best(ids: np.ndarray, queries: np.ndarray, scores: np.ndarray, k: int) -> t
     return queries[row], ids[column], scores[row, column]
 
 
+def _compare(queries: np.ndarray, asked: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pa.Table:
+    """The ``k`` best rows of every query, for as many queries at a time as ``SCORES`` allows."""
+    step = max(1, SCORES // len(ids))
+    found = [_best(ids, queries[low:low + step], asked[low:low + step] @ rows.T, k) for low in range(0, len(queries), step)]
+    return _matches(*[np.concatenate(part) for part in zip(*found)])
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row's centre of the largest product, and that product."""
+    step = max(1, SCORES // len(centres))
+    own, most = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+    for low in range(0, len(x), step):
+        scores = x[low:low + step] @ centres.T
+        own[low:low + step] = scores.argmax(axis=1)
+        most[low:low + step] = scores.max(axis=1)
+    return own, most
+
+
 MATCH = "_query long, _id long, similarity double"
 
 
@@ -91,8 +110,8 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column:
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _nothing()
-        scores = _unit(_matrix(left.column("_q"))) @ _unit(_matrix(right.column("_v"))).T
-        return _matches(*_best(np.asarray(right.column("_id")), np.asarray(left.column("_query")), scores, k))
+        asked, near = _unit(_matrix(left.column("_q"))), _unit(_matrix(right.column("_v")))
+        return _compare(np.asarray(left.column("_query")), asked, np.asarray(right.column("_id")), near, k)
 
     found = asked.groupBy("_row", "_block").cogroup(spread.groupBy("_row", "_block")).applyInArrow(compared, MATCH)
     return _result(found, k, id_column, query_column)
@@ -125,11 +144,10 @@ def _fit_centres(x: np.ndarray, lists: int, seed: int, rounds: int = 12) -> np.n
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), size=min(lists, len(x)), replace=False)]
     for _ in range(rounds):
-        scores = x @ centres.T
-        own = scores.argmax(axis=1)
+        own, most = _nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
-        worst = np.argsort(scores[np.arange(len(x)), own])
+        worst = np.argsort(most)
         for place, empty in enumerate(np.flatnonzero(np.bincount(own, minlength=len(centres)) == 0)):
             sums[empty] = x[worst[place % len(x)]]
         centres = _unit(sums)
@@ -152,7 +170,7 @@ def build_index(vectors: DataFrame, path: str, id_column: str = "record_id", vec
         raise ValueError("an index needs at least one vector")
     x = _unit(_matrix(sample.column("_v")))
     centres = _fit_centres(x, lists, seed)
-    residuals = x - centres[(x @ centres.T).argmax(axis=1)]
+    residuals = x - centres[_nearest(x, centres)[0]]
     scale = np.maximum(np.abs(residuals).max(axis=0), 1e-6) / 127
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +178,7 @@ def build_index(vectors: DataFrame, path: str, id_column: str = "record_id", vec
             if not batch.num_rows:
                 continue
             unit = _unit(_matrix(batch.column(1)))
-            own = (unit @ centres.T).argmax(axis=1)
+            own = _nearest(unit, centres)[0]
             codes = np.clip(np.rint((unit - centres[own]) / scale), -127, 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own.astype(np.int32)), batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()),
@@ -192,16 +210,17 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int = 10, probes: in
     asked = _named(queries, id_column, vector_column, "_query", "_q")
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCORES // max(len(centres), probes * centres.shape[1]))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = _unit(_matrix(batch.column(1)))
-            chosen = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes]
-            repeated = pa.array(np.repeat(np.arange(batch.num_rows), probes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(repeated), pa.array(list(unit), pa.list_(pa.float64())).take(repeated), pa.array(chosen.ravel().astype(np.int32))],
-                ["_query", "_q", "_list"],
-            )
+            for low in range(0, batch.num_rows, step):
+                rows = batch.slice(low, step)
+                unit = _unit(_matrix(rows.column(1)))
+                chosen = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes]
+                repeated = pa.array(np.repeat(np.arange(rows.num_rows), probes))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).take(repeated), pa.array(list(unit), pa.list_(pa.float64())).take(repeated), pa.array(chosen.ravel().astype(np.int32))],
+                    ["_query", "_q", "_list"],
+                )
 
     probing = written_table(asked.mapInArrow(probed, "_query long, _q array<double>, _list int"), "probes")
     rows = index.rows(spark)
@@ -218,8 +237,7 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int = 10, probes: in
             return _nothing()
         codes = np.frombuffer(b"".join(right.column("_code").to_pylist()), dtype=np.int8).reshape(right.num_rows, -1)
         near = centres[int(right.column("_list")[0].as_py())] + codes * scale
-        scores = _matrix(left.column("_q")) @ near.T
-        return _matches(*_best(np.asarray(right.column("_id")), np.asarray(left.column("_query")), scores, rerank * k))
+        return _compare(np.asarray(left.column("_query")), _matrix(left.column("_q")), np.asarray(right.column("_id")), near, rerank * k)
 
     found = asking.select(*keys, "_query", "_q").groupBy(*keys).cogroup(
         coded.select(*keys, "_id", "_code").groupBy(*keys)

@@ -99,3 +99,18 @@ def test_vectors_and_metadata_belong_together_by_id(spark):
     vectors = spark.createDataFrame([(2, [2.0]), (1, [1.0]), (4, [4.0])], "record_id long, embedding array<double>")
     metadata = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "record_id long, m string")
     assert sorted((r.record_id, r.embedding[0], r.m) for r in drift.attach_metadata(vectors, metadata).collect()) == [(1, 1.0, "a"), (2, 2.0, "b")]
+
+
+def test_scores_are_held_in_slices(monkeypatch):
+    """A block of queries meets a block of rows a slice at a time, with the same result."""
+    rng = np.random.default_rng(5)
+    queries, rows = rng.standard_normal((70, 4)), rng.standard_normal((90, 4))
+    names, ids = np.arange(70), np.arange(90)
+    monkeypatch.setattr(search, "SCORES", 500)
+    sizes, plain = [], search._best
+    monkeypatch.setattr(search, "_best", lambda i, q, s, k: sizes.append(s.size) or plain(i, q, s, k))
+    found = search._compare(names, queries, ids, rows, 3)
+    whole = search._matches(*plain(ids, names, queries @ rows.T, 3))
+    assert max(sizes) <= 500 and found.column("_query").to_pylist() == whole.column("_query").to_pylist()
+    assert found.column("_id").to_pylist() == whole.column("_id").to_pylist()
+    assert (search._nearest(queries, rows)[0] == (queries @ rows.T).argmax(axis=1)).all()
