@@ -172,3 +172,19 @@ def test_every_query_is_registered_with_its_columns(spark):
 
     assert set(oracle_sql()) <= set(queries()) and len(queries()) > 80
     assert entry(spark).columns == ["from_state", "to_state", "count", "probability"]
+
+
+def test_silhouette_holds_few_distances(spark, monkeypatch):
+    from colloquy.operators import clusters
+
+    monkeypatch.setattr(clusters, "DISTANCES", 100)
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(c, 1, 2).tolist(), c) for c in (0, 4, 9) for _ in range(40)]
+    shapes, plain = [], clusters.squared_distances
+    monkeypatch.setattr(clusters, "squared_distances", lambda x, y: shapes.append((len(x), len(y))) or plain(x, y))
+    found = clusters.euclidean_silhouette(spark.createDataFrame(rows, "embedding array<double>, cluster int")).first()
+    x, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    a = np.array([d[i, c == c[i]].sum() / 39 for i in range(len(x))])
+    b = np.array([min(d[i, c == o].mean() for o in set(c) if o != c[i]) for i in range(len(x))])
+    assert found.silhouette == pytest.approx(((b - a) / np.maximum(a, b)).mean()) and found.silhouette_error == 0
