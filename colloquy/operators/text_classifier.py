@@ -22,6 +22,7 @@ from colloquy.operators.models import Predictor
 from colloquy.session import written_table
 
 TERMS = 1024
+ROWS = 512  # rows of dense counts that a task holds at a time
 TERM = re.compile(r"\w+")
 
 
@@ -63,10 +64,13 @@ def fit_text_classifier(df: DataFrame, text_column: str = "prompt_text", label_c
     number = {name: float(k) for k, name in enumerate(classes)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [term_vector(t, terms) for t in batch.column(0).to_pylist()]
+        for batch in (whole.slice(low, ROWS) for whole in batches for low in range(0, whole.num_rows, ROWS)):
+            rows = np.empty((batch.num_rows, terms))
+            for place, text in enumerate(batch.column(0)):
+                rows[place] = term_vector(text.as_py(), terms)
+            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * terms)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number[n] for n in batch.column(1).to_pylist()], pa.float64()), pa.array(rows, pa.list_(pa.float64()))],
+                [pa.array([number[n] for n in batch.column(1).to_pylist()], pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))],
                 ["label", "_array"],
             )
 

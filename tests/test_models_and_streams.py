@@ -95,3 +95,13 @@ def test_sketched_quantiles(spark):
         low, high = (values < r.value).mean(), (values <= r.value).mean()
         assert r.rank_error == pytest.approx(max(0.0, low - r.q, r.q - high)) and r.rank_error <= sketches.rank_bound()
     assert abs(sketches.above_quantile(df.filter("NOT isnan(v)"), "v", 0.9).count() - 900) <= 9000 * sketches.rank_bound() + 1
+
+
+def test_classifier_rows_are_dense_a_slice_at_a_time(spark, monkeypatch):
+    from colloquy.operators import text_classifier
+
+    rows = spark.createDataFrame([(f"good day {k}", "a") for k in range(9)] + [(f"bad night {k}", "b") for k in range(9)], "text string, label string")
+    whole = text_classifier.fit_text_classifier(rows, "text", terms=32)
+    monkeypatch.setattr(text_classifier, "ROWS", 2)
+    parts = text_classifier.fit_text_classifier(rows, "text", terms=32)
+    assert parts.classes == whole.classes and parts.weights == pytest.approx(whole.weights, abs=1e-6)
