@@ -22,7 +22,7 @@ from colloquy.functions.text import clean_text, words
 from colloquy.session import written_table
 
 TERMS = 4096
-CHUNK = 50_000  # non-zero entries that are multiplied at a time
+CHUNK = 4_000  # non-zero entries that are multiplied at a time; their products stay in the cache
 
 
 def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +62,8 @@ class LatentEncoder:
     def transform(self, df: DataFrame, text_column: str, output: str = "embedding") -> DataFrame:
         """Add unit vectors (zero for texts without a known term), the latent coordinates of the texts."""
         kept = [c for c in df.columns if c != output]
-        packed = _weighted(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{text_column}`").alias("_text")), self.idf, self.terms)
+        texts = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{text_column}`").alias("_text"))
+        packed = _weighted(texts, self.idf, self.terms)
         axes = self.vectors
 
         def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +84,12 @@ def _counted(df: DataFrame, terms: int) -> DataFrame:
 
 def _weighted(df: DataFrame, idf: IDFModel, terms: int) -> DataFrame:
     """Columns of ``df`` but ``_text``, then ``_indices`` and ``_values`` of the unit TF-IDF rows."""
-    weighted = Normalizer(p=2.0, inputCol="_idf", outputCol="_unit").transform(idf.transform(_counted(df, terms)))
+    return _unit_rows(_counted(df, terms), idf)
+
+
+def _unit_rows(counted: DataFrame, idf: IDFModel) -> DataFrame:
+    """Columns of ``counted`` but ``_tf``, then ``_indices`` and ``_values`` of the unit TF-IDF rows."""
+    weighted = Normalizer(p=2.0, inputCol="_idf", outputCol="_unit").transform(idf.transform(counted))
     entries = weighted.withColumn("_u", F.unwrap_udt("_unit")).drop("_tf", "_idf", "_unit")
     return entries.select("*", F.col("_u.indices").alias("_indices"), F.col("_u.values").alias("_values")).drop("_u")
 
@@ -152,8 +158,9 @@ def fit_latent_encoder(df: DataFrame, text_column: str = "prompt_text", k: int =
                        extra: int = 10, seed: int = 42) -> LatentEncoder:
     """Fit on all rows with a text; ``rounds`` power rounds over a block of ``k + extra`` columns."""
     texts = df.filter(F.col(f"`{text_column}`").isNotNull()).select(F.col(f"`{text_column}`").alias("_text"))
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(_counted(texts, terms))
-    rows = written_table(_weighted(texts, idf, terms).select("_indices", "_values"), "tfidf-rows")
+    counted = written_table(_counted(texts, terms), "term-counts")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
+    rows = written_table(_unit_rows(counted, idf).select("_indices", "_values"), "tfidf-rows")
     width = min(k + extra, terms)
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
     for _ in range(rounds):

@@ -174,6 +174,16 @@ def test_every_query_is_registered_with_its_columns(spark):
     assert entry(spark).columns == ["from_state", "to_state", "count", "probability"]
 
 
+def test_words_reads_its_text_once(spark):
+    from colloquy.functions.text import clean_text, words
+
+    rows = spark.createDataFrame([("",), ("One two",), (" ",), (None,)], "t string")
+    plan = rows.select(words(F.regexp_replace("t", "x+", "y")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(t#") == 1
+    assert [r[0] for r in rows.select(words(clean_text(F.col("t")))).collect()] == [[], ["one", "two"], [], []]
+    assert [r[0] for r in rows.select(words(F.col("t"))).collect()] == [[], ["One", "two"], ["", ""], None]
+
+
 def test_silhouette_holds_few_distances(spark, monkeypatch):
     from colloquy.operators import clusters
 
