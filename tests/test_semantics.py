@@ -174,6 +174,29 @@ def test_every_query_is_registered_with_its_columns(spark):
     assert entry(spark).columns == ["from_state", "to_state", "count", "probability"]
 
 
+def test_topic_models_reach_the_fixed_point():
+    """Every row's topics are a fixed point of the plain variational round, also where rounds move slowly."""
+    from colloquy.operators import lda
+
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(0, 40, 60)
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    columns = np.concatenate([rng.choice(50, n, replace=False) for n in lengths])
+    values = rng.uniform(0.1, 9, len(columns))
+    topics, alpha = np.exp(lda._expected_log(rng.gamma(100, 0.01, (6, 50)))).T, np.full(6, 1 / 6)
+    seen = []
+    for rows, own, counts in lda._blocks(starts, columns, values):
+        gamma = lda._infer(own, counts, topics, alpha, np.ones((len(rows), 6)))
+        share = np.exp(lda._expected_log(gamma))
+        ratio = counts / (topics[own] @ share[:, :, None])[:, :, 0]
+        again = share * (ratio[:, None, :] @ topics[own])[:, 0, :] + alpha
+        assert np.abs(again - gamma).mean(axis=1).max() < 1e-3
+        assert gamma.sum(axis=1) == pytest.approx(counts.sum(axis=1) + 1)
+        seen.extend(rows.tolist())
+    assert sorted(seen) == np.flatnonzero(lengths).tolist()
+    assert lda.log_gamma(np.array([0.1, 5.0])) == pytest.approx([2.252712651734206, 3.1780538303479458])
+
+
 def test_words_reads_its_text_once(spark):
     from colloquy.functions.text import clean_text, words
 
