@@ -3,10 +3,11 @@
 The method, its step sizes and its priors are those of MLlib's online optimizer with ``subsamplingRate`` 1, but
 a pass infers the topics of every row once for all models, without resampling. Rows keep what they inferred, and
 the next pass starts from there: a model moves little between passes, so few rounds per row are left. A round
-goes over many rows of similar length at once.
+goes over a block of rows at once, as a dense matrix of the terms that occur in the block. Rows that share their
+first terms stand together, which keeps these few.
 
-Rows and their states alternate between two folders, so that only two passes are stored. What a task adds up
-is one row per term, whose size does not depend on the rows.
+Blocks and their states alternate between two folders as bytes, so that only two passes are stored. What a task
+adds up is one row per term, whose size does not depend on the rows.
 """
 
 from __future__ import annotations
@@ -26,21 +27,28 @@ from colloquy.session import shared_folder, written_table
 OFFSET, DECAY = 1024, 0.51
 SHAPE = 100.0
 CHANGE = 1e-4  # mean change of a row's topic weights at which it has converged; MLlib stops at 1e-3
-ENTRIES = 16_384  # entries of a block of rows
-ROWS = "_indices array<int>, _values array<double>"
+CELLS = 262_144  # rows times terms of a block
+BLOCKS = "_size int, _known binary, _cells binary, _values binary, _gamma binary"
 
 
 def _shifted(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return x + 6.0, [x + i for i in range(6)]
 
 
-def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of ln Γ for positive numbers."""
-    y, below = _shifted(x)
+def _digamma_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``y`` and ``c`` with digamma(x) = ln y - c."""
+    y = x + 6.0
     r = 1.0 / y
     s = r * r
-    series = s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s * (1 / 132)))))
-    return np.log(y) - 0.5 * r - series - sum(1.0 / b for b in below)
+    t = x * (x + 5.0)  # the reciprocals of x to x + 5 add up to one fraction of t
+    below = (2.0 * x + 5.0) * ((3.0 * t + 20.0) * t + 24.0) / (t * (t + 4.0) * (t + 6.0))
+    return y, 0.5 * r + s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s * (1 / 132))))) + below
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of ln Γ for positive numbers."""
+    y, c = _digamma_parts(x)
+    return np.log(y) - c
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:
@@ -66,55 +74,100 @@ def _expected_log(x: np.ndarray) -> np.ndarray:
     return digamma(x) - digamma(x.sum(axis=-1, keepdims=True))
 
 
+def _shares(gamma: np.ndarray) -> np.ndarray:
+    """exp(digamma(gamma)): a row's exp(E ln θ) but for a factor, which the variational round does not depend on."""
+    y, c = _digamma_parts(gamma)
+    return y * np.exp(-c)
+
+
 def _blocks(starts: np.ndarray, columns: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places, columns and values of rows with entries, padded to the longest of a block; padding has value 0."""
     lengths = np.diff(starts)
-    order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] > 0]
+    order = np.flatnonzero(lengths)
+    first = starts[order]
+    second = np.where(lengths[order] > 1, columns[np.minimum(first + 1, len(columns) - 1)], -1)
+    order = order[np.lexsort((lengths[order], second, columns[first]))]
+    terms = int(columns.max(initial=0)) + 1
     at = 0
     while at < len(order):
-        end = at + 1
-        while end < len(order) and (end + 1 - at) * lengths[order[end]] <= ENTRIES:
+        end, entries = at + 1, int(lengths[order[at]])
+        while end < len(order) and (end + 1 - at) * min(terms, entries + int(lengths[order[end]])) <= CELLS:
+            entries += int(lengths[order[end]])
             end += 1
         rows = order[at:end]
-        place = np.arange(lengths[rows[-1]])
+        place = np.arange(lengths[rows].max())
         filled = place < lengths[rows][:, None]
         source = np.where(filled, starts[rows][:, None] + place, starts[rows][:, None])
         yield rows, columns[source], np.where(filled, values[source], 0.0)
         at = end
 
 
+def _cells(columns: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of a block, and the places and values of its cells in a matrix of its rows by these terms."""
+    known, own = np.unique(columns, return_inverse=True)
+    places = np.arange(len(columns))[:, None] * len(known) + own.reshape(columns.shape)
+    held = values != 0
+    return known, places[held], values[held]
+
+
+def _matrix(size: int, terms: int, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    counts = np.zeros(size * terms)
+    counts[places] = values
+    return counts.reshape(size, terms)
+
+
 def _infer(columns: np.ndarray, values: np.ndarray, topics: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
-    """Topic weights of a block of rows, from ``gamma`` on; ``topics`` are exp(E ln β), a row per term.
+    """Topic weights of a block of rows, from ``gamma`` on; ``topics`` are exp(E ln β), a row per term."""
+    known, places, held = _cells(columns, values)
+    counts = _matrix(len(columns), len(known), places, held)
+    return _settle(counts, topics[known], _across(topics[known]), alpha, gamma, np.empty(counts.shape))
+
+
+def _across(topics: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(topics.T) + 1e-100
+
+
+def _settle(counts: np.ndarray, topics: np.ndarray, across: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Topic weights of the rows of ``counts``, whose columns are the rows of ``topics``; ``room`` is overwritten.
 
     The fixed point of the variational round, by squared extrapolation: two rounds give each row's direction and
     step. A row has converged when a plain round no longer moves it.
     """
-    found = gamma.copy()
-    left, now, reach = np.arange(len(gamma)), gamma.copy(), np.ones(len(gamma))
-    weights, counts = np.ascontiguousarray(topics[columns].transpose(0, 2, 1)), values
+    found = gamma.astype(np.float64)
+    left, now, reach = np.arange(len(gamma)), found, np.ones(len(gamma))
+    limit = CHANGE * len(alpha)
 
     def moved(at: np.ndarray) -> np.ndarray:
-        share = np.exp(_expected_log(at))
-        ratio = counts / (np.matmul(share[:, None, :], weights)[:, 0, :] + 1e-100)
-        return share * np.matmul(weights, ratio[:, :, None])[:, :, 0] + alpha
+        share = _shares(at)
+        ratio = np.matmul(share, across, out=room[:len(at)])
+        np.divide(counts, ratio, out=ratio)
+        after = np.matmul(ratio, topics)
+        after *= share
+        after += alpha
+        return after
 
     while True:
         one = moved(now)
         two = moved(one)
-        found[left] = two
-        going = np.abs(two - one).mean(axis=1) > CHANGE
-        still = int(going.sum())
+        if len(left) == len(found):
+            found = two
+        else:
+            found[left] = two
+        last = two - one
+        going = np.abs(last).sum(axis=1) > limit
+        still = np.count_nonzero(going)
         if not still:
             return found
         first = one - now
-        bend = two - one - first
-        length = np.sqrt((first * first).sum(axis=1) / np.maximum((bend * bend).sum(axis=1), 1e-300))
-        step = np.where(going, np.clip(length, 1.0, reach), 1.0)[:, None]
+        bend = last - first
+        length = np.sqrt(np.einsum("nk,nk->n", first, first) / np.maximum(np.einsum("nk,nk->n", bend, bend), 1e-300))
+        step = np.where(going, np.clip(length, 1.0, reach), 1.0)
         reach = np.where(length >= reach, 4 * reach, reach)
-        now = np.maximum(now + 2 * step * first + step * step * bend, alpha)
         if 2 * still <= len(left):
-            left, now, reach, weights, counts = left[going], now[going], reach[going], weights[going], counts[going]
+            left, now, reach, counts = left[going], now[going], reach[going], counts[going]
+            first, bend, step = first[going], bend[going], step[going]
+        step = step[:, None]
+        now = np.maximum(now + 2 * step * first + step * step * bend, alpha)
 
 
 def _entries(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +185,29 @@ def _sparse_rows(df: DataFrame, column: str, *kept: str) -> DataFrame:
     return entries.select(*kept, F.coalesce("_u.indices", dense).alias("_indices"), values.alias("_values"))
 
 
+def _packed(rows: DataFrame, width: int) -> DataFrame:
+    """Blocks of rows as bytes: terms, places of cells, their values, and ``width`` topic weights of 1 a row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(rows), *_cells(columns, values)) for rows, columns, values in _blocks(*_entries(batch, 0))]
+            sizes, known, places, values = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(sizes, pa.int32()),
+                *[pa.array([a.astype(kind).tobytes() for a in part], pa.binary()) for part, kind in ((known, np.int32), (places, np.int32), (values, np.float64))],
+                pa.array([np.ones(size * width, dtype=np.float32).tobytes() for size in sizes], pa.binary()),
+            ], ["_size", "_known", "_cells", "_values", "_gamma"])
+
+    return rows.select("_indices", "_values").mapInArrow(pack, BLOCKS)
+
+
+def _unpacked(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Terms, places, values and topic weights of each block."""
+    for known, places, values, gammas in zip(*batch.columns[1:5]):
+        yield (np.frombuffer(known.as_buffer(), dtype=np.int32), np.frombuffer(places.as_buffer(), dtype=np.int32),
+               np.frombuffer(values.as_buffer(), dtype=np.float64), np.frombuffer(gammas.as_buffer(), dtype=np.float32).reshape(-1, width))
+
+
 @dataclass(frozen=True)
 class TopicModel:
     """Term weights ``weights`` (``k`` by terms) and the priors ``alpha`` (of topics) and ``eta`` (of terms)."""
@@ -172,7 +248,7 @@ class TopicModel:
         return packed.mapInArrow(shared, schema).select("_row.*", output)
 
 
-def _bounds(rows: DataFrame, models: list[TopicModel]) -> list[tuple[float, float]]:
+def _bounds(blocks: DataFrame, models: list[TopicModel]) -> list[tuple[float, float]]:
     """Lower bound of each model's log likelihood, and minus that by the sum of all values."""
     logs = [np.ascontiguousarray(_expected_log(m.weights).T) for m in models]
     alphas = [m.alpha for m in models]
@@ -180,22 +256,24 @@ def _bounds(rows: DataFrame, models: list[TopicModel]) -> list[tuple[float, floa
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(alphas) + 1)
         for batch in batches:
-            gammas = np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            for places, columns, values in _blocks(*_entries(batch, 0)):
+            for known, places, values, gammas in _unpacked(batch, sum(map(len, alphas))):
+                row, column = np.divmod(places, len(known))
+                counts = _matrix(len(gammas), len(known), places, values)
                 total[-1] += values.sum()
-                low = 0
+                low, room = 0, np.empty(counts.shape)
                 for number, (log, alpha) in enumerate(zip(logs, alphas)):
-                    gamma = _infer(columns, values, np.exp(log), alpha, gammas[places, low:low + len(alpha)])
+                    beta = np.exp(log[known])
+                    gamma = _settle(counts, beta, _across(beta), alpha, gammas[:, low:low + len(alpha)], room)
                     low += len(alpha)
                     theta = _expected_log(gamma)
-                    both = theta[:, None, :] + log[columns]
-                    most = both.max(axis=2)
-                    total[number] += (values * (most + np.log(np.exp(both - most[:, :, None]).sum(axis=2)))).sum()
+                    both = theta[row] + log[known[column]]
+                    most = both.max(axis=1)
+                    total[number] += (values * (most + np.log(np.exp(both - most[:, None]).sum(axis=1)))).sum()
                     total[number] += ((alpha - gamma) * theta + log_gamma(gamma) - log_gamma(alpha)).sum()
                     total[number] += (log_gamma(alpha.sum()) - log_gamma(gamma.sum(axis=1))).sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["model", "part"])
 
-    parts = rows.select("_indices", "_values", "_gamma").mapInArrow(measured, "model long, part double")
+    parts = blocks.mapInArrow(measured, "model long, part double")
     sums = {r["model"]: r["part"] for r in parts.groupBy("model").agg(F.sum("part").alias("part")).collect()}
     found = []
     for number, (model, log) in enumerate(zip(models, logs)):
@@ -220,14 +298,14 @@ def fit_topic_models(features: DataFrame, terms: int, ks: tuple[int, ...], max_i
                      column: str = "features") -> list[tuple[TopicModel, float, float]]:
     """A model per ``k`` with its bound of the log likelihood and its log perplexity, all rows in every pass."""
     spark = features.sparkSession
-    rows = written_table(_sparse_rows(features, column).filter(F.size("_indices") > 0), "lda-rows")
-    n = rows.count()
     width = sum(ks)
     ends = np.cumsum((0, *ks)).tolist()
     models = [TopicModel(np.random.default_rng([seed, k]).gamma(SHAPE, 1 / SHAPE, (k, terms)), np.full(k, 1 / k), 1 / k) for k in ks]
-    state = rows.withColumn("_gamma", F.array_repeat(F.lit(1.0).cast("float"), width))
+    state = written_table(_packed(_sparse_rows(features, column).filter(F.size("_indices") > 0), width), "lda-blocks")
+    n = state.agg(F.sum("_size")).first()[0] or 0
     folders = [f"{shared_folder(spark)}/lda-{uuid.uuid4().hex}" for _ in range(2)]
-    schema = f"{ROWS}, _gamma array<float>, term int, sums array<double>"
+    columns = [f"s{j}" for j in range(width)]
+    schema = f"{BLOCKS}, term int, {', '.join(f'{c} double' for c in columns)}"
 
     for turn in range(max_iter if n else 0):
         topics, alphas = [m._topics() for m in models], [m.alpha for m in models]
@@ -235,44 +313,45 @@ def fit_topic_models(features: DataFrame, terms: int, ks: tuple[int, ...], max_i
         def inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, logs, used = np.zeros((terms, width)), np.zeros(width), np.zeros(terms, dtype=bool)
             for batch in batches:
-                gammas = np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(batch.num_rows, width)
-                for places, columns, values in _blocks(*_entries(batch, 0)):
-                    known, own = np.unique(columns, return_inverse=True)
+                states = []
+                for known, places, values, gammas in _unpacked(batch, width):
                     used[known] = True
-                    cell = (np.arange(len(places))[:, None] * len(known) + own.reshape(columns.shape)).ravel()
+                    counts, gamma, added = _matrix(len(gammas), len(known), places, values), np.empty(gammas.shape), np.empty((len(known), width))
+                    room = np.empty(counts.shape)
                     for low, high, beta, alpha in zip(ends, ends[1:], topics, alphas):
-                        gamma = _infer(columns, values, beta, alpha, gammas[places, low:high])
-                        gammas[places, low:high] = gamma
-                        log = _expected_log(gamma)
-                        share = np.exp(log)
-                        ratio = values / (np.matmul(beta[columns], share[:, :, None])[:, :, 0] + 1e-100)
-                        spread = np.bincount(cell, ratio.ravel(), len(places) * len(known)).reshape(len(places), -1)
-                        total[known, low:high] += spread.T @ share
-                        logs[low:high] += log.sum(axis=0)
-                offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
-                kept = pa.ListArray.from_arrays(offsets, pa.array(gammas.ravel().astype(np.float32)))
-                nothing = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, *nothing], names)
+                        own = beta[known]
+                        across = _across(own)
+                        gamma[:, low:high] = settled = _settle(counts, own, across, alpha, gammas[:, low:high], room)
+                        share = _shares(settled)
+                        np.divide(counts, np.matmul(share, across, out=room), out=room)
+                        added[:, low:high] = room.T @ share
+                    logs += digamma(gamma).sum(axis=0)
+                    wholes = digamma(np.add.reduceat(gamma, ends[:-1], axis=1)).sum(axis=0)
+                    logs -= np.repeat(wholes, ks)
+                    total[known] += added
+                    states.append(gamma.astype(np.float32).tobytes())
+                nothing = [pa.nulls(batch.num_rows, f.type) for f in sums]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(states, pa.binary()), *nothing], names)
             places = np.flatnonzero(used)
             if len(places):
-                sums = np.concatenate((total[places], logs[None, :]))
-                offsets = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * width)
-                nothing = [pa.nulls(len(sums), t) for t in (pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float32()))]
+                added = np.concatenate((total[places], logs[None, :]))
                 term = pa.array(np.concatenate((places, [-1])).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*nothing, term, pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], names)
+                nothing = [pa.nulls(len(added), t) for t in (pa.int32(), *[pa.binary()] * 4)]
+                yield pa.RecordBatch.from_arrays([*nothing, term, *map(pa.array, np.ascontiguousarray(added.T))], names)
 
-        names = ["_indices", "_values", "_gamma", "term", "sums"]
+        sums = [pa.field("term", pa.int32()), *[pa.field(c, pa.float64()) for c in columns]]
+        names = ["_size", "_known", "_cells", "_values", "_gamma", "term", *columns]
         path = folders[turn % 2]
-        state.select("_indices", "_values", "_gamma").mapInArrow(inferred, schema).write.mode("overwrite").parquet(path)
+        state.mapInArrow(inferred, schema).write.mode("overwrite").parquet(path)
         written = spark.read.schema(schema).parquet(path)
-        state = written.filter("term IS NULL")
-        added = written.filter("term IS NOT NULL").groupBy("term").agg(*[F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(width)]).toArrow()
-        sums = np.zeros((terms + 1, width))  # the last row, term -1, has the logarithms
-        sums[np.asarray(added.column("term"))] = np.column_stack([np.asarray(added.column(f"s{j}")) for j in range(width)])
+        state = written.filter("term IS NULL").select(*names[:5])
+        added = written.filter("term IS NOT NULL").groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+        found = np.zeros((terms + 1, width))  # the last row, term -1, has the logarithms
+        found[np.asarray(added.column("term"))] = np.column_stack([np.asarray(added.column(c)) for c in columns])
         step = (OFFSET + turn + 1) ** -DECAY
         models = [
-            TopicModel((1 - step) * m.weights + step * (sums[:terms, low:high] * beta + m.eta).T,
-                       _new_alpha(m.alpha, sums[terms, low:high] / n, n, step), m.eta)
+            TopicModel((1 - step) * m.weights + step * (found[:terms, low:high] * beta + m.eta).T,
+                       _new_alpha(m.alpha, found[terms, low:high] / n, n, step), m.eta)
             for m, low, high, beta in zip(models, ends, ends[1:], topics)
         ]
     return [(m, *bound) for m, bound in zip(models, _bounds(state, models))]

@@ -197,6 +197,66 @@ def test_topic_models_reach_the_fixed_point():
     assert lda.log_gamma(np.array([0.1, 5.0])) == pytest.approx([2.252712651734206, 3.1780538303479458])
 
 
+def test_tfidf_features_count_words_and_pairs(spark):
+    """Features equal a plain count, and pairs of words that are too rare to be taken are not counted at all."""
+    from collections import Counter
+    from math import log
+
+    rng = np.random.default_rng(4)
+    common, rare = [f"w{a}{b}x" for a in "abc" for b in "de"], [f"r{a}{b}x" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [" ".join([*rng.choice(common, 9), "the", "an", *rng.choice(rare, 2), *rng.choice(common, 3)]) for _ in range(60)]
+    texts += [None, "", "the", "Www.x.org wadx-WADX http://y.z/wbdx wbex\u00e9wcdx"]
+    words = [[w for w in t.split() if w not in ("the", "an")] if t else [] for t in texts]
+    words[-2:] = [[], ["wadx", "wadx", "wbex", "wcdx"]]
+    terms = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]
+    n, d = Counter(t for row in terms for t in row), Counter(t for row in terms for t in set(row))
+    fit = sorted((t for t in n if 3 <= d[t] <= 0.9 * len(texts)), key=lambda t: (-n[t], t))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    plans, written = [], topics.written_table
+    topics.written_table = lambda df, *a: plans.append(written(df, *a)) or plans[-1]
+    try:
+        for size in (20, None):
+            features, vocabulary = topics.tfidf_features(frame, "text", size, 0.9, 3, ("the", "an"))
+            assert vocabulary == fit[:size] and features.columns == ["doc_id", "text", "features"]
+            for row in features.collect():
+                held = Counter(t for t in terms[row.doc_id] if t in vocabulary)
+                wanted = sorted((vocabulary.index(t), c * log((len(texts) + 1) / (d[t] + 1))) for t, c in held.items())
+                assert row.features.size == len(vocabulary) and row.features.indices.tolist() == [k for k, _ in wanted]
+                assert row.features.values.tolist() == pytest.approx([v for _, v in wanted])
+    finally:
+        topics.written_table = written
+    # What is grouped by term are words alone.
+    assert {t for p in plans if "term" in p.columns for t, in p.select("term").collect()} == {w for row in words for w in row}
+
+
+def test_topic_models_store_blocks(spark):
+    """Passes hand on blocks of many rows as bytes, and one pass equals the plain update."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
+
+    from colloquy.operators import lda
+
+    rng = np.random.default_rng(5)
+    counts = rng.poisson(0.7, (90, 12)) * 1.5
+    counts[7] = 0
+    frame = spark.createDataFrame([([int(i) for i in np.flatnonzero(r)], r[r > 0].tolist()) for r in counts], "_indices array<int>, _values array<double>")
+    blocks = lda._packed(frame.coalesce(1).filter("size(_indices) > 0"), 5).collect()
+    assert len(blocks) == 1 and sum(b["_size"] for b in blocks) == (counts.sum(axis=1) > 0).sum()
+    vectors = [(Vectors.sparse(12, np.flatnonzero(r), r[r > 0]),) for r in counts]
+    found = lda.fit_topic_models(spark.createDataFrame(vectors, T.StructType().add("features", VectorUDT())), 12, (2, 3), 1)
+    counts = counts[counts.sum(axis=1) > 0]
+    for (model, _, perplexity), k in zip(found, (2, 3)):
+        start = np.random.default_rng([42, k]).gamma(100, 0.01, (k, 12))
+        topic, gamma = np.exp(lda._expected_log(start)), np.ones((len(counts), k))
+        for _ in range(3000):
+            share = np.exp(lda._expected_log(gamma))
+            gamma = share * ((counts / (share @ topic)) @ topic.T) + 1 / k
+        share = np.exp(lda._expected_log(gamma))
+        step = 1025 ** -0.51
+        weights = (1 - step) * start + step * (share.T @ (counts / (share @ topic)) * topic + 1 / k)
+        assert model.weights == pytest.approx(weights, rel=1e-3) and 0 < perplexity < 10
+
+
 def test_words_reads_its_text_once(spark):
     from colloquy.functions.text import clean_text, words
 
