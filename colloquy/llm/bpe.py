@@ -40,6 +40,9 @@ BOUNDARY = r"(?=[\x20\n])(?<=[!-~\p{L}])|(?=[.,!$%&*#])(?<=\p{L})"
 # Between the words of a packed text; no UTF-8 holds this byte.
 SEPARATOR = b"\xff"
 
+# Packed parts of a block are looked up together, as each lookup hashes all of the block's distinct words.
+PART_BYTES = 4_000_000
+
 Finish = Callable[[int, pa.Table, np.ndarray, np.ndarray], pa.Table]
 
 
@@ -101,6 +104,42 @@ def _encode_words(tokenizer, words: list[str], step: int = 10_000) -> tuple[np.n
     return np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32), lengths
 
 
+class DistinctWords:
+    """The distinct words of many arrays; arrays wait until they are as many as the words known, so that all hashing is linear."""
+
+    def __init__(self) -> None:
+        self.known: pa.Array | None = None
+        self.waiting: list[pa.Array] = []
+        self.size = 0
+
+    def add(self, words: pa.Array) -> None:
+        words = pc.unique(words)
+        self.waiting.append(words)
+        self.size += len(words)
+        if self.known is None or self.size > len(self.known):
+            self.merged()
+
+    def merged(self) -> pa.Array:
+        held = [*([self.known] if self.known is not None else []), *self.waiting]
+        self.known = pc.unique(pa.chunked_array(held)) if len(held) > 1 else held[0]
+        self.waiting, self.size = [], 0
+        return self.known
+
+
+def _parts(payloads: pa.ChunkedArray) -> Iterator[list[pa.Scalar]]:
+    """Runs of payloads of at most ``PART_BYTES`` together, packed as they are, or of one payload."""
+    run, size = [], 0
+    for payload in payloads:
+        n = len(payload.as_buffer())
+        if run and size + n > PART_BYTES // 2:  # words pack to half their size or less
+            yield run
+            run, size = [], 0
+        run.append(payload)
+        size += n
+    if run:
+        yield run
+
+
 def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Finish, schema: str,
                      bounds: np.ndarray | None = None) -> DataFrame:
     """Encode ``_id, _text, _block`` and hand each block to ``finish``.
@@ -126,34 +165,33 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
                 places = np.where(np.asarray(ids.is_null()), 0, np.searchsorted(bounds, np.asarray(ids.fill_null(0)), side="right"))
             order = np.argsort(places, kind="stable")
             blocks, starts = np.unique(places[order], return_index=True)
-            for block, a, b in zip(blocks, starts, [*starts[1:], len(order)]):
-                payload = _payload(rows.take(pa.array(order[a:b])))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([payload], pa.binary())], ["_block", "_packed"])
+            payloads = [_payload(rows.take(pa.array(order[a:b]))) for a, b in zip(starts, [*starts[1:], len(order)])]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(payloads, pa.binary())], ["_block", "_packed"])
 
     # Both readers below share this shuffle.
     held = words.mapInArrow(packed, "_block int, _packed binary").repartition(n_blocks, "_block")
 
-    def words_in(payload: pa.Scalar) -> tuple[pa.Table, pa.ListArray]:
-        table = _unpacked(payload).combine_chunks()
-        return table, pc.split_pattern(table.column("_joined").combine_chunks(), SEPARATOR)
+    def words_in(payloads: list[pa.Scalar]) -> tuple[pa.Table, pa.ListArray]:
+        table = pa.concat_tables([_unpacked(p) for p in payloads]).combine_chunks()
+        joined = table.column("_joined")
+        return table, pc.split_pattern(joined.combine_chunks() if joined.num_chunks else pa.array([], joined.type), SEPARATOR)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, pa.Array] = {}
+        known: dict[int, DistinctWords] = {}
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                new = pc.unique(words_in(payload)[1].flatten())
-                known[block] = pc.unique(pa.chunked_array([known[block], new])) if block in known else new
-        for block, distinct in known.items():
+                known.setdefault(block, DistinctWords()).add(words_in([payload])[1].flatten())
+        for block in list(known):
+            distinct = known.pop(block).merged()
             places = np.fromiter(map(zlib.crc32, distinct.to_pylist()), dtype=np.int64, count=len(distinct)) % n_buckets
             order = np.argsort(places, kind="stable")
             buckets, starts = np.unique(places[order], return_index=True)
             ordered = distinct.take(pa.array(order))
-            for bucket, a, b in zip(buckets, starts, [*starts[1:], len(order)]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket], pa.int32()), pa.array([block], pa.int32()),
-                     pa.array([_payload(pa.table({"word": ordered[a:b]}))], pa.binary())],
-                    ["_bucket", "_block", "_payload"],
-                )
+            payloads = [_payload(pa.table({"word": ordered[a:b]})) for a, b in zip(starts, [*starts[1:], len(order)])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(buckets, pa.int32()), pa.array(np.full(len(buckets), block), pa.int32()), pa.array(payloads, pa.binary())],
+                ["_bucket", "_block", "_payload"],
+            )
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_tokenizer(tokenizer)
@@ -162,12 +200,13 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
             for bucket, block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 asked.setdefault(bucket, []).append((block, _unpacked(payload).column(0).combine_chunks()))
         for requests in asked.values():
-            distinct = pc.unique(pa.chunked_array([w for _, w in requests]))
-            ids, lengths = _encode_words(coder, distinct.cast(pa.string()).to_pylist())
-            table = _lists(pa.array(ids.astype(width)), lengths)
+            coded = pa.concat_arrays([w for _, w in requests]).dictionary_encode()
+            ids, lengths = _encode_words(coder, coded.dictionary.cast(pa.string()).to_pylist())
+            table, at = _lists(pa.array(ids.astype(width)), lengths), 0
             for block, words_of_block in requests:
-                coded = table.take(pc.index_in(words_of_block, value_set=distinct))
-                answer = _payload(pa.table({"word": words_of_block, "ids": coded}))
+                found = table.take(coded.indices[at:at + len(words_of_block)])
+                at += len(words_of_block)
+                answer = _payload(pa.table({"word": words_of_block, "ids": found}))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([answer], pa.binary())], ["_block", "_answer"])
 
     def placed(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -176,8 +215,8 @@ def encode_in_blocks(docs: DataFrame, tokenizer: str, n_blocks: int, finish: Fin
         starts, pieces = np.asarray(coded.offsets), np.asarray(coded.values)
         sizes = np.diff(starts)
         known, ids, counts = [], [], []
-        for payload in rows.column("_packed"):
-            part, listed = words_in(payload)
+        for payloads in _parts(rows.column("_packed")):
+            part, listed = words_in(payloads)
             at = np.asarray(pc.index_in(listed.flatten(), value_set=dictionary))
             lengths = sizes[at]
             before = np.concatenate(([0], np.cumsum(lengths)))

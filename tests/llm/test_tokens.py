@@ -32,6 +32,23 @@ def frame(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "_block": F.lit("b"), "_id": F.lit(None).cast("int")})
 
 
+def test_words_of_many_parts_are_hashed_a_few_times(monkeypatch):
+    """A block gets a part from each batch of the input; its distinct words are not hashed again for each."""
+    hashed, unique = [], bpe.pc.unique
+    monkeypatch.setattr(bpe.pc, "unique", lambda a: hashed.append(len(a)) or unique(a))
+    words, parts = bpe.DistinctWords(), [[b"w%d" % (k % 900), b"all", b"x%d" % k] for k in range(2_000)]
+    for part in parts:
+        words.add(pa.array(part))
+    assert set(words.merged().to_pylist()) == {w for part in parts for w in part} and len(words.merged()) == 2_901
+    assert sum(hashed) < 10 * 3 * len(parts)
+    payloads = [bpe._payload(pa.table({"_joined": [b"a" * n]})) for n in range(300)]
+    runs = list(bpe._parts(pa.chunked_array([pa.array(payloads, pa.binary())])))
+    assert len(runs) == 1 and [p.as_py() for p in runs[0]] == payloads
+    monkeypatch.setattr(bpe, "PART_BYTES", 3 * len(payloads[0]))
+    assert [len(r) for r in bpe._parts(pa.chunked_array([pa.array(payloads[:4], pa.binary())]))] == [1] * 4
+
+
+
 @pytest.mark.parametrize("block_bytes", [24_000_000, 500])
 def test_encode_and_decode(spark, block_bytes):
     coded = bpe.decode(bpe.encode(frame(spark, TEXTS), PATH, block_bytes=block_bytes), PATH)
