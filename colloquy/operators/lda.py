@@ -7,13 +7,13 @@ goes over a block of rows at once, as a dense matrix of the terms that occur in
 first terms stand together, which keeps these few.
 
 Blocks and their states alternate between two folders as bytes, so that only two passes are stored. What a task
-adds up is one row per term, whose size does not depend on the rows.
+adds up is a matrix of terms by topics, whose size does not depend on the rows.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,7 @@ OFFSET, DECAY = 1024, 0.51
 SHAPE = 100.0
 CHANGE = 1e-4  # mean change of a row's topic weights at which it has converged; MLlib stops at 1e-3
 CELLS = 262_144  # rows times terms of a block
+ADDERS = 8  # tasks that add up what the tasks of a pass found
 BLOCKS = "_size int, _known binary, _cells binary, _values binary, _gamma binary"
 
 
@@ -294,6 +295,16 @@ def _new_alpha(alpha: np.ndarray, logs: np.ndarray, rows: int, step: float) -> n
     return moved if (moved > 0).all() else alpha
 
 
+def _sum(parts: Iterable[pa.Scalar]) -> np.ndarray:
+    return sum(np.frombuffer(part.as_buffer()) for part in parts)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = _sum(part for batch in batches for part in batch.column(0))
+    if isinstance(sums, np.ndarray):
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["_sums"])
+
+
 def fit_topic_models(features: DataFrame, terms: int, ks: tuple[int, ...], max_iter: int, seed: int = 42,
                      column: str = "features") -> list[tuple[TopicModel, float, float]]:
     """A model per ``k`` with its bound of the log likelihood and its log perplexity, all rows in every pass."""
@@ -304,18 +315,16 @@ def fit_topic_models(features: DataFrame, terms: int, ks: tuple[int, ...], max_i
     state = written_table(_packed(_sparse_rows(features, column).filter(F.size("_indices") > 0), width), "lda-blocks")
     n = state.agg(F.sum("_size")).first()[0] or 0
     folders = [f"{shared_folder(spark)}/lda-{uuid.uuid4().hex}" for _ in range(2)]
-    columns = [f"s{j}" for j in range(width)]
-    schema = f"{BLOCKS}, term int, {', '.join(f'{c} double' for c in columns)}"
+    names = ["_size", "_known", "_cells", "_values", "_gamma", "_sums"]
 
     for turn in range(max_iter if n else 0):
         topics, alphas = [m._topics() for m in models], [m.alpha for m in models]
 
         def inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, logs, used = np.zeros((terms, width)), np.zeros(width), np.zeros(terms, dtype=bool)
+            total, logs = np.zeros((terms, width)), np.zeros(width)
             for batch in batches:
                 states = []
                 for known, places, values, gammas in _unpacked(batch, width):
-                    used[known] = True
                     counts, gamma, added = _matrix(len(gammas), len(known), places, values), np.empty(gammas.shape), np.empty((len(known), width))
                     room = np.empty(counts.shape)
                     for low, high, beta, alpha in zip(ends, ends[1:], topics, alphas):
@@ -330,24 +339,16 @@ def fit_topic_models(features: DataFrame, terms: int, ks: tuple[int, ...], max_i
                     logs -= np.repeat(wholes, ks)
                     total[known] += added
                     states.append(gamma.astype(np.float32).tobytes())
-                nothing = [pa.nulls(batch.num_rows, f.type) for f in sums]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(states, pa.binary()), *nothing], names)
-            places = np.flatnonzero(used)
-            if len(places):
-                added = np.concatenate((total[places], logs[None, :]))
-                term = pa.array(np.concatenate((places, [-1])).astype(np.int32))
-                nothing = [pa.nulls(len(added), t) for t in (pa.int32(), *[pa.binary()] * 4)]
-                yield pa.RecordBatch.from_arrays([*nothing, term, *map(pa.array, np.ascontiguousarray(added.T))], names)
-
-        sums = [pa.field("term", pa.int32()), *[pa.field(c, pa.float64()) for c in columns]]
-        names = ["_size", "_known", "_cells", "_values", "_gamma", "term", *columns]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(states, pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names)
+            sums = pa.array([np.concatenate((total, logs[None, :])).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.binary())] * 4, sums], names)
+
         path = folders[turn % 2]
-        state.mapInArrow(inferred, schema).write.mode("overwrite").parquet(path)
-        written = spark.read.schema(schema).parquet(path)
-        state = written.filter("term IS NULL").select(*names[:5])
-        added = written.filter("term IS NOT NULL").groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
-        found = np.zeros((terms + 1, width))  # the last row, term -1, has the logarithms
-        found[np.asarray(added.column("term"))] = np.column_stack([np.asarray(added.column(c)) for c in columns])
+        state.mapInArrow(inferred, f"{BLOCKS}, _sums binary").write.mode("overwrite").parquet(path)
+        written = spark.read.schema(f"{BLOCKS}, _sums binary").parquet(path)
+        state = written.filter("_sums IS NULL").drop("_sums")
+        added = written.filter("_sums IS NOT NULL").select("_sums").coalesce(ADDERS).mapInArrow(_added, "_sums binary").toArrow()
+        found = _sum(added.column("_sums")).reshape(terms + 1, width)  # the last row has the logarithms
         step = (OFFSET + turn + 1) ** -DECAY
         models = [
             TopicModel((1 - step) * m.weights + step * (found[:terms, low:high] * beta + m.eta).T,
